@@ -110,10 +110,10 @@ l AS (
   SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(most) OVER b, 0)::DOUBLE)
     / ((sum(w) OVER ())::DOUBLE - coalesce(sum(w) OVER b, 0)::DOUBLE) AS level
   FROM w WINDOW b AS (ORDER BY most::DOUBLE / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT level AS lambda FROM l WHERE level <= most::DOUBLE / w ORDER BY most::DOUBLE / w, place LIMIT 1),
+f AS (SELECT level AS shared FROM l WHERE level <= most::DOUBLE / w ORDER BY most::DOUBLE / w, place LIMIT 1),
 t AS (
-  SELECT source, source_size, least(most::DOUBLE, w * lambda) AS target,
-    CASE WHEN source_size > 0 THEN floor(least(most::DOUBLE, w * lambda) / source_size)::BIGINT ELSE 0 END AS epochs
+  SELECT source, source_size, least(most::DOUBLE, w * shared) AS target,
+    CASE WHEN source_size > 0 THEN floor(least(most::DOUBLE, w * shared) / source_size)::BIGINT ELSE 0 END AS epochs
   FROM l, f),
 c AS (
   SELECT doc_id, size, source_size, target, epochs,
