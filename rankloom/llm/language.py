@@ -311,6 +311,27 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, docs_per_language: int = 300, least: float = 0.35) -> DataFrame:
+    """The documents, all columns, whose language the model can tell: not ``und``, and a score of ``least`` or more."""
+    model = fit(training_rows(docs.where(~F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))), docs_per_language))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep: list[bool] = []
+            for group in _groups(batch.column(at).to_pylist()):
+                if model is None:
+                    keep += [bool(words) for words in group]
+                    continue
+                p, lengths = model.posteriors(group)
+                sums = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
+                ends = np.cumsum(lengths)
+                keep += (((sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1)[:, None]).max(axis=1) >= least).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def label_spans(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and spans, the runs of equally labelled words: array of (start, end, lang) in characters."""
 

@@ -85,6 +85,15 @@ def mix(
     return dealt.withColumn("epochs", epochs).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def repeat_by_mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, all columns, each as often as the mix takes it. Rows of equal doc_id are taken equally often."""
+    rows = with_quality(sized(docs), labels)
+    taken = mix(rows, size=F.col("size"), quality=F.col("quality_weight")).where("taken > 0")
+    times = taken.groupBy(F.col("doc_id").alias("of")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
+    joined = docs.join(cut(times), F.col("doc_id").eqNullSafe(F.col("of")))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).drop("time")
+
+
 def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs(doc_id, source, size) with a quality weight from labels: GOOD, POOR or 1 where there is none."""
     found = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("good"))
