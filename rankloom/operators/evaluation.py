@@ -95,8 +95,9 @@ def compare(diffs: DataFrame) -> DataFrame:
     grouped = grouped.select(*by, F.transform("rows", lambda r: r["diff"]).alias("d"))
     moved = F.size(F.filter("d", lambda x: F.abs(x) > SLACK))
     grouped = grouped.withColumns({"n": F.size("d"), "moved": moved, "observed": F.abs(_folded(F.col("d")))})
-    masks = grouped.where(F.col("n").between(1, EXACT_LIMIT)).select(*by, "d", "observed", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftleft(F.lit(1).cast("long"), F.col("n")) - 1 if False else F.expr("shiftleft(1L, n) - 1"))).alias("mask"))
-    flipped = F.abs(F.aggregate(F.transform("d", lambda x, i: F.when(F.expr("1") == 1, x * (1 - 2 * F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2.0), i)), F.lit(2))))), F.lit(0.0), lambda a, x: a + x))
+    masks = grouped.where(F.col("n").between(1, EXACT_LIMIT)).select(*by, "d", "observed", F.explode(F.expr("sequence(0L, shiftleft(1L, n) - 1)")).alias("mask"))
+    flips = F.transform("d", lambda x, i: x * (1 - 2 * F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2.0), i)), F.lit(2))))
+    flipped = F.abs(_folded(flips))
     tested = masks.groupBy(*by).agg(F.avg((flipped >= F.col("observed") - SLACK).cast("double")).alias("p"))
     floor = F.when(F.col("moved") == 0, 1.0).otherwise(2.0 / F.pow(F.lit(2.0), F.col("moved")))
     return grouped.join(tested, by, "left").select(*by, "n", (_folded(F.col("d")) / F.col("n")).alias("diff"), "p", floor.alias("p_floor"), "moved")
