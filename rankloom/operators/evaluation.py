@@ -87,18 +87,21 @@ def _folded(values: Column) -> Column:
 def compare(diffs: DataFrame) -> DataFrame:
     """For each (a, b, metric): n, diff, the exact two-sided sign-flip p, its floor, and the questions that moved.
 
-    All 2^n sign vectors of up to ``EXACT_LIMIT`` questions are rows of a
-    generated sequence; beyond that p is null.
+    All 2^n sign vectors of up to ``EXACT_LIMIT`` questions are counted; beyond
+    that p is null.
     """
     by = ["a", "b", "metric"]
     grouped = diffs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("qid", "diff"))).alias("rows"))
     grouped = grouped.select(*by, F.transform("rows", lambda r: r["diff"]).alias("d"))
     moved = F.size(F.filter("d", lambda x: F.abs(x) > SLACK))
     grouped = grouped.withColumns({"n": F.size("d"), "moved": moved, "observed": F.abs(_folded(F.col("d")))})
-    masks = grouped.where(F.col("n").between(1, EXACT_LIMIT)).select(*by, "d", "observed", F.explode(F.expr("sequence(0L, shiftleft(1L, n) - 1)")).alias("mask"))
-    flips = F.transform("d", lambda x, i: x * (1 - 2 * F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2.0), i)), F.lit(2))))
-    flipped = F.abs(_folded(flips))
-    tested = masks.groupBy(*by).agg(F.avg((flipped >= F.col("observed") - SLACK).cast("double")).alias("p"))
+    # Sign vectors of a half are sums in an array; each pair of halves' sums is a row.
+    half = F.floor(F.col("n") / 2).cast("int")
+    sums = lambda part: F.aggregate(part, F.array(F.lit(0.0)), lambda acc, x: F.concat(F.transform(acc, lambda y: y + x), F.transform(acc, lambda y: y - x)))
+    small = grouped.where(F.col("n").between(1, EXACT_LIMIT))
+    halves = small.select(*by, "observed", sums(F.slice("d", F.lit(1), half)).alias("low"), sums(F.slice("d", half + 1, F.col("n"))).alias("high"))
+    flipped = halves.select(*by, "observed", "high", F.explode("low").alias("x")).select(*by, "observed", "x", F.explode("high").alias("y"))
+    tested = flipped.groupBy(*by).agg(F.avg((F.abs(F.col("x") + F.col("y")) >= F.col("observed") - SLACK).cast("double")).alias("p"))
     floor = F.when(F.col("moved") == 0, 1.0).otherwise(2.0 / F.pow(F.lit(2.0), F.col("moved")))
     return grouped.join(tested, by, "left").select(*by, "n", (_folded(F.col("d")) / F.col("n")).alias("diff"), "p", floor.alias("p_floor"), "moved")
 

@@ -1,11 +1,452 @@
-"""All queries of the library proper, with their SQL."""
+"""All queries of the library proper over the driver's tables, with their SQL.
+
+The corpus is ``documents``, the questions are ``benchmark``, and a question's
+gold documents are those that contain its text. Three systems are evaluated:
+BM25, plain term overlap, and their reciprocal rank fusion.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankloom.functions import text as T
+from rankloom.operators import chunking, evaluation, labels, retrieval
+from rankloom.sources.readers import manifest, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+ALL: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        ALL[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(ALL)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+# ---- inputs
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, id: documents that contain a question's text. Candidates share the text's first token run; the rest is checked."""
+    d, q = docs(spark, sf_dir), questions(spark, sf_dir)
+    # A document that contains a question has all its words but the two at the edges, which may be parts of longer ones;
+    # the longest inner word is the key of an equality join, and questions without one are compared with each document.
+    word = lambda text: F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    inner = F.filter(word(F.col("text")), lambda w, i: (i > 0) & (i < F.size(word(F.col("text"))) - 1))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = q.select("qid", F.col("text").alias("question"), longest.alias("word"))
+    has = d.select("id", "text", F.explode(F.array_distinct(word(F.col("text")))).alias("word")).join(keyed.where("word is not null"), "word")
+    found = has.where(F.contains("text", "question")).select("qid", "id")
+    rest = F.broadcast(keyed.where("word is null").select("qid", "question"))  # the stated set of questions, against all rows
+    return found.unionByName(d.join(rest, F.contains("text", "question")).select("qid", "id"))
+
+
+def hits(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    d, q = docs(spark, sf_dir), questions(spark, sf_dir)
+    a, b = retrieval.bm25(d, q, 50), retrieval.term_overlap(d, q, 50)
+    return {"bm25": a, "overlap": b, "fused": retrieval.fuse([a, b], 10)}
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each system and question that has gold documents."""
+    rows = None
+    for name, h in hits(spark, sf_dir).items():
+        part = h.where("rank <= 10").select(F.lit(name).alias("system"), "qid", "id", "rank")
+        rows = part if rows is None else rows.unionByName(part)
+    ranked = rows.groupBy("system", "qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("r"))
+    ranked = ranked.select("system", "qid", F.transform("r", lambda x: x["id"]).alias("ranked"))
+    wanted = gold(spark, sf_dir).groupBy("qid").agg(F.array_sort(F.collect_set("id")).alias("gold"))
+    anchors = questions(spark, sf_dir).select("qid", F.slice(F.array_sort(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda w: F.length(w) >= 8))), 1, 2).alias("required"))
+    top5 = rows.where("rank <= 5").join(docs(spark, sf_dir), "id").groupBy("system", "qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
+    joined = ranked.join(wanted, "qid").join(anchors, "qid").join(top5, ["system", "qid"])
+    support = evaluation.evidence_support(F.col("texts"), F.col("required"))
+    return joined.select("system", "qid", "ranked", "gold", (F.size("ranked") / 1000.0).alias("seconds"), support.alias("support"), "required")
+
+
+# ---- SQL parts
+
+_STOP = ", ".join(f"'{w}'" for w in T.SEARCH_STOPWORDS)
+_CLAIM_STOP = ", ".join(f"'{w}'" for w in T.CLAIM_STOPWORDS)
+_TOK = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ({_STOP}))"
+_BM25 = f"""
+dt AS (SELECT doc_id AS id, {_TOK} AS toks FROM documents),
+qt AS (SELECT item_id AS qid, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM (SELECT item_id, {_TOK} AS toks FROM benchmark)),
+po AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(toks) AS term FROM dt) GROUP BY 1, 2),
+st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM dt),
+fr AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
+co AS (SELECT qid, id, pos, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * len(toks) / avgdl)) AS c
+  FROM qt JOIN po USING (term) JOIN fr USING (term) JOIN dt USING (id), st),
+bs AS (SELECT qid, id, list_sum(list(c ORDER BY pos)) AS score, min(pos) AS first FROM co GROUP BY 1, 2),
+bm AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, first, id) AS rank FROM bs) WHERE rank <= 50)"""
+_FUSED = f"""{_BM25},
+os AS (SELECT qid, id, count(*) AS score FROM (SELECT DISTINCT qid, term FROM qt) JOIN (SELECT id, term FROM po) USING (term) GROUP BY 1, 2),
+ov AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM os) WHERE rank <= 50),
+ul AS (SELECT qid, id, 0 AS list, rank FROM bm UNION ALL SELECT qid, id, 1, rank FROM ov),
+fs AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list * 1000 + rank) AS first FROM ul GROUP BY 1, 2),
+fu AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, first) AS rank FROM fs) WHERE rank <= 10)"""
+_GOLD = "go AS (SELECT item_id AS qid, doc_id AS id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text))"
+_RESULTS = f"""{_FUSED}, {_GOLD},
+hi AS (SELECT 'bm25' AS system, qid, id, rank FROM bm WHERE rank <= 10 UNION ALL SELECT 'overlap', qid, id, rank FROM ov WHERE rank <= 10 UNION ALL SELECT 'fused', qid, id, rank FROM fu),
+an AS (SELECT item_id AS qid, list_sort(list_distinct(list_filter({_TOK}, lambda w: len(w) >= 8)))[1:2] AS required FROM benchmark),
+tx AS (SELECT system, qid, lower(string_agg(text, chr(10) ORDER BY rank)) AS body FROM hi JOIN documents ON doc_id = id WHERE rank <= 5 GROUP BY 1, 2),
+re AS (
+  SELECT system, qid, ranked, gold, len(ranked) / 1000.0 AS seconds, required,
+    CASE WHEN len(required) = 0 THEN 1.0 ELSE len(list_filter(required, lambda r: contains(body, r))) / len(required)::DOUBLE END AS support
+  FROM (SELECT system, qid, list(id ORDER BY rank) AS ranked FROM hi GROUP BY 1, 2)
+    JOIN (SELECT qid, list(id) AS gold FROM go GROUP BY 1) USING (qid) JOIN an USING (qid) JOIN tx USING (system, qid)),
+me AS (SELECT *,
+  {", ".join(f"len(list_intersect(gold, ranked[1:{k}])) / len(gold)::DOUBLE AS r{k}, (len(list_intersect(gold, ranked[1:{k}])) > 0)::INT::DOUBLE AS h{k}" for k in evaluation.KS)},
+  coalesce(1.0 / list_min(list_filter([CASE WHEN list_contains(gold, ranked[i]) THEN i END for i in range(1, len(ranked) + 1)], lambda i: i IS NOT NULL)), 0.0) AS rr, seconds * 1000 AS ms
+  FROM re),
+lo AS (
+  {" UNION ALL ".join(f"SELECT system, qid, '{m}' AS metric, {c} AS value FROM me" for m, c in (("recall@1", "r1"), ("recall@5", "r5"), ("recall@10", "r10"), ("hit@1", "h1"), ("hit@5", "h5"), ("mrr@10", "rr"), ("support@5", "support"), ("ms", "ms")))}),
+di AS (SELECT x.system AS a, y.system AS b, x.metric, x.qid, x.value - y.value AS diff FROM lo x JOIN lo y ON x.qid = y.qid AND x.metric = y.metric AND x.system <> y.system),
+sm AS (SELECT system, metric, count(*) AS n, avg(value) AS value FROM lo GROUP BY 1, 2)"""
+
+
+# ---- text and postings
+
+
+@query(f"SELECT doc_id AS id, len({_TOK})::INT AS n_tokens, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]'))::INT AS n_approximate FROM documents")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("id", F.size(T.tokens(F.col("text"))).alias("n_tokens"), T.approximate_tokens(F.col("text")).alias("n_approximate"))
+
+
+@query(f"SELECT id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id AS id, unnest({_TOK}) AS term FROM documents) GROUP BY 1, 2")
+def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.postings(retrieval.lengths(docs(spark, sf_dir))).select("id", "term", "tf")
+
+
+@query(f"""SELECT term, count(*)::BIGINT AS df, round(ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf
+FROM (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY 1""")
+def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenized = retrieval.lengths(docs(spark, sf_dir))
+    per = retrieval.document_frequency(retrieval.postings(tokenized))
+    return per.join(F.broadcast(retrieval.corpus_stats(tokenized))).select("term", "df", F.round(retrieval.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+@query(f"SELECT count(*)::BIGINT AS n, round(avg(len({_TOK})), 6) AS avgdl FROM documents")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.corpus_stats(retrieval.lengths(docs(spark, sf_dir))).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+# ---- retrieval
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("qid", "id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_BM25} SELECT qid, id, rank::INT AS rank, round(score, 6) AS score FROM bm WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(retrieval.bm25(docs(spark, sf_dir), questions(spark, sf_dir), 10))
+
+
+@query(f"WITH {_FUSED} SELECT qid, id, rank::INT AS rank, round(score::DOUBLE, 6) AS score FROM ov WHERE rank <= 10")
+def overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(retrieval.term_overlap(docs(spark, sf_dir), questions(spark, sf_dir), 10))
+
+
+@query("""WITH s AS (
+  SELECT q.vec_id AS qid, v.vec_id AS id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
+  FROM embeddings q JOIN embeddings v ON q.vec_id % 10 = 0 AND q.vec_id <> v.vec_id)
+SELECT qid, id, rank::INT AS rank, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions are a stated set: every tenth vector."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return _shown(retrieval.dense(v, v.where("id % 10 = 0").withColumnRenamed("id", "qid"), 10, exclude_self=True))
+
+
+@query(f"WITH {_FUSED} SELECT qid, id, rank::INT AS rank, round(score, 6) AS score FROM fu")
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(hits(spark, sf_dir)["fused"])
+
+
+@query(f"""WITH {_FUSED},
+ks AS (SELECT unnest([1, 10, 60, 200]) AS k),
+sc AS (SELECT k, qid, id, sum(1.0::DOUBLE / (k + rank)) AS score, min(list * 1000 + rank) AS first FROM ul, ks GROUP BY 1, 2, 3)
+SELECT k::INT AS k, qid, id FROM (SELECT *, row_number() OVER (PARTITION BY k, qid ORDER BY round(score, 12) DESC, first) AS rank FROM sc) WHERE rank = 1""")
+def rrf_constant_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = hits(spark, sf_dir)
+    out = None
+    for k in (1, 10, 60, 200):
+        part = retrieval.fuse([h["bm25"], h["overlap"]], 1, k).select(F.lit(k).alias("k"), "qid", "id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""WITH {_FUSED},
+qd AS (SELECT qid, list_distinct(list(term)) AS asked FROM qt GROUP BY 1),
+sc AS (SELECT qid, fu.id, rank AS before, len(list_intersect(asked, toks)) / greatest(len(asked), 1)::DOUBLE AS score FROM fu JOIN qd USING (qid) JOIN dt ON dt.id = fu.id)
+SELECT qid, id, rank::INT AS rank, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, before) AS rank FROM sc) WHERE rank <= 5""")
+def rerank_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(retrieval.rerank(hits(spark, sf_dir)["fused"], questions(spark, sf_dir), docs(spark, sf_dir), 5))
+
+
+# ---- evaluation
+
+
+@query(f"WITH {_GOLD} SELECT qid, id FROM go")
+def gold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gold(spark, sf_dir)
+
+
+@query(f"WITH {_RESULTS} SELECT system, qid, round(support, 6) AS support, len(required)::INT AS n_required, ranked[1] AS first_id FROM re")
+def evidence_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(spark, sf_dir).select("system", "qid", F.round("support", 6).alias("support"), F.size("required").alias("n_required"), F.get("ranked", F.lit(0)).alias("first_id"))
+
+
+@query(f"WITH {_RESULTS} SELECT system, qid, metric, round(value, 6) AS value FROM lo")
+def per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.per_question(results(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {_RESULTS} SELECT system, count(*)::BIGINT AS n, {", ".join(f"round(avg(r{k}), 6) AS recall_{k}, round(avg(h{k}), 6) AS hit_{k}" for k in evaluation.KS)},
+  round(avg(rr), 6) AS mrr_10, round(avg(support), 6) AS support_5, round(avg(ms), 6) AS ms FROM me GROUP BY 1""")
+def summary_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = evaluation.summarise(results(spark, sf_dir))
+    return s.select("system", "n", *(F.round(F.col(f"`{c}`"), 6).alias(c.replace("@", "_")) for c in s.columns if c not in ("system", "n")))
+
+
+@query(f"WITH {_RESULTS} SELECT a, b, metric, qid, round(diff, 6) AS diff FROM di")
+def paired_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.paired(evaluation.per_question(results(spark, sf_dir))).withColumn("diff", F.round("diff", 6))
+
+
+@query(f"""WITH {_RESULTS},
+gr AS (SELECT a, b, metric, list(diff ORDER BY qid) AS d FROM di WHERE a = 'fused' AND b = 'bm25' GROUP BY 1, 2, 3),
+nn AS (SELECT *, len(d) AS n, abs(list_sum(d)) AS observed, len(list_filter(d, lambda x: abs(x) > 1e-12)) AS moved FROM gr),
+fl AS (SELECT metric, observed, abs(list_sum(list_transform(d, lambda x, i: x * (1 - 2 * ((mask >> (i - 1)) & 1))))) AS s FROM nn, range(1048576) r(mask) WHERE n <= 20 AND mask < (1::BIGINT << n)),
+pv AS (SELECT metric, avg((s >= observed - 1e-12)::INT) AS p FROM fl GROUP BY 1)
+SELECT metric, n::INT AS n, round(list_sum(d) / n, 6) AS diff, round(p, 6) AS p, round(CASE WHEN moved = 0 THEN 1.0 ELSE 2.0 / pow(2.0, moved) END, 6) AS p_floor, moved::INT AS moved
+FROM nn LEFT JOIN pv USING (metric)""")
+def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluation.compare(evaluation.paired(evaluation.per_question(results(spark, sf_dir)), "fused", "bm25"))
+    return found.select("metric", "n", *(F.round(c, 6).alias(c) for c in ("diff", "p", "p_floor")), "moved")
+
+
+@query(f"""WITH {_RESULTS},
+gr AS (SELECT a, b, metric, list(diff ORDER BY qid) AS d FROM di GROUP BY 1, 2, 3),
+dr AS (SELECT a, b, metric, d, rep, i, d[1 + (('0x' || substr(md5('b0|' || rep || '|' || i), 1, 8))::BIGINT % len(d))] AS x FROM gr, range(1000) r(rep), range(100000) s(i) WHERE i < len(d)),
+mn AS (SELECT a, b, metric, rep, list_sum(list(x ORDER BY i)) / count(*) AS mean FROM dr GROUP BY 1, 2, 3, 4),
+pl AS (SELECT *, row_number() OVER (PARTITION BY a, b, metric ORDER BY mean, rep) AS place FROM mn)
+SELECT a, b, metric, round(max(CASE WHEN place = 26 THEN mean END), 6) AS ci_low, round(max(CASE WHEN place = 976 THEN mean END), 6) AS ci_high FROM pl GROUP BY 1, 2, 3""")
+def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluation.bootstrap_hashed(evaluation.paired(evaluation.per_question(results(spark, sf_dir))))
+    return found.select("a", "b", "metric", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
+
+
+@query()
+def bootstrap_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.bootstrap(evaluation.paired(evaluation.per_question(results(spark, sf_dir)), "fused", "bm25"), 2000)
+
+
+@query(f"""WITH {_RESULTS},
+ba AS (SELECT 'overlap' AS system, metric, n, value FROM sm WHERE system = 'bm25' UNION ALL SELECT 'fused', metric, n, value FROM sm WHERE system = 'bm25'),
+tl AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {t}::DOUBLE)" for m, t in evaluation.TOLERANCE.items())}, ('ms', NULL)) v(metric, tol))
+SELECT system, metric, CASE WHEN ba.value IS NULL THEN 'missing' WHEN sm.n <> ba.n THEN 'partial'
+  WHEN metric = 'ms' THEN CASE WHEN sm.value > 2 * ba.value AND sm.value - ba.value > 5 THEN 'fail' ELSE 'ok' END
+  WHEN ba.value - sm.value > tol THEN 'fail' WHEN ba.value - sm.value < -tol THEN 'up' ELSE 'ok' END AS status, round(sm.value - ba.value, 6) AS change
+FROM sm JOIN tl USING (metric) LEFT JOIN ba USING (system, metric)""")
+def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every system against a baseline recorded of BM25; the baseline lacks BM25's own name."""
+    current = evaluation.long_summary(evaluation.summarise(results(spark, sf_dir)))
+    base = current.where("system = 'bm25'").select(F.explode(F.array(F.lit("overlap"), F.lit("fused"))).alias("system"), "metric", "n", "value")
+    return evaluation.gate(current, base).withColumn("change", F.round("change", 6))
+
+
+@query(f"""WITH {_RESULTS},
+ds AS (SELECT system, qid, CASE WHEN support >= 1 AND h10 = 0 THEN 'support without evidence' WHEN support <= 0 AND h10 = 1 THEN 'evidence without support' END AS kind FROM me)
+SELECT qid, kind, string_agg(system, ',' ORDER BY system) AS systems, count(*) = 3 AS all_systems FROM ds WHERE kind IS NOT NULL GROUP BY 1, 2""")
+def disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluation.by_question(evaluation.disagreements(results(spark, sf_dir)), 3)
+    return found.select("qid", "kind", F.array_join("systems", ",").alias("systems"), "all_systems")
+
+
+@query(f"WITH {_RESULTS} SELECT DISTINCT qid, len(required)::INT AS n_required FROM re WHERE len(required) <= 1")
+def thin_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.thin_anchors(results(spark, sf_dir), "system")
+
+
+@query(f"WITH {_RESULTS} SELECT qid, {', '.join(f"round(max(CASE WHEN system = '{s}' THEN rr END), 6) AS {s}" for s in ('bm25', 'overlap', 'fused'))} FROM me GROUP BY 1")
+def reciprocal_rank_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluation.reciprocal_rank_pivot(results(spark, sf_dir), ("bm25", "overlap", "fused"))
+    return found.select("qid", *(F.round(c, 6).alias(c) for c in ("bm25", "overlap", "fused")))
+
+
+@query(f"""WITH {_FUSED}, {_GOLD}
+SELECT system, sum((qid IN (SELECT go.qid FROM go WHERE go.qid = h.qid AND list_contains(ids, go.id)))::INT)::BIGINT AS n_found, count(*)::BIGINT AS n
+FROM (SELECT 'bm25' AS system, qid, list(id) AS ids FROM bm WHERE rank <= 5 GROUP BY 2 UNION ALL SELECT 'fused', qid, list(id) FROM fu WHERE rank <= 5 GROUP BY 2) h
+WHERE qid IN (SELECT qid FROM go) GROUP BY 1""")
+def source_found_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = gold(spark, sf_dir).groupBy("qid").agg(F.collect_set("id").alias("gold"))
+    out = None
+    for name, h in hits(spark, sf_dir).items():
+        if name != "overlap":
+            part = h.where("rank <= 5").groupBy("qid").agg(F.collect_set("id").alias("ids")).join(wanted, "qid").agg(F.count_if(F.arrays_overlap("ids", "gold")).alias("n_found"), F.count(F.lit(1)).alias("n"))
+            part = part.select(F.lit(name).alias("system"), "n_found", "n")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""SELECT s.system, b.item_id AS qid FROM (VALUES ('bm25'), ('dense'), ('fused')) s(system), benchmark b
+WHERE NOT (b.item_id % 3 = 0 AND s.system = 'bm25')""")
+def pending_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = questions(spark, sf_dir).select("qid")
+    systems = spark.sql("select * from values ('bm25'), ('dense'), ('fused') as t(system)")
+    return evaluation.pending(systems, q, q.where("qid % 3 = 0").select(F.lit("bm25").alias("system"), "qid"))
+
+
+# ---- labels and corpora
+
+_GOLDEN = """
+SELECT line, id, doc, difficulty, answer FROM (
+  SELECT n_nationkey::BIGINT AS line, 'q' || (n_nationkey % 23) AS id, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_name || '.md' END AS doc,
+    CASE n_nationkey % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'hard' WHEN 2 THEN 'medium' ELSE 'odd' END AS difficulty,
+    'Set spark.' || lower(n_name) || '.memory; rows of ' || n_name || ' move between partitions. Use spark.sql.shuffle.partitions.' AS answer FROM nation)"""
+
+
+def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions made of ``nation``, some with broken fields."""
+    n, name = F.col("n_nationkey"), F.col("n_name")
+    doc = F.when(n % 5 != 0, F.concat(name, F.lit(".md")))
+    difficulty = F.get(F.array(*map(F.lit, ("easy", "hard", "medium", "odd"))), n % 4)
+    answer = F.concat(F.lit("Set spark."), F.lower(name), F.lit(".memory; rows of "), name, F.lit(" move between partitions. Use spark.sql.shuffle.partitions."))
+    docs_ = F.when(doc.isNull(), F.array().cast("array<string>")).otherwise(F.array(doc))
+    keys = {k: F.lit("") for k in ("id", "question", "source_docs", "difficulty")}
+    fields = F.map_from_entries(F.concat(
+        F.array(*(F.struct(F.lit(k), v) for k, v in keys.items())), F.when(n % 6 != 1, F.array(F.struct(F.lit("answer"), F.lit("")))).otherwise(F.array().cast("array<struct<col1:string,col2:string>>")),
+        F.when(n % 7 == 2, F.array(F.struct(F.lit("note"), F.lit("")))).otherwise(F.array().cast("array<struct<col1:string,col2:string>>"))))
+    return table(spark, sf_dir, "nation").select(n.cast("long").alias("line"), F.concat(F.lit("q"), n % 23).alias("id"), docs_.alias("source_docs"), difficulty.alias("difficulty"), answer.alias("answer"), F.array(name).alias("answer_spans"), fields.alias("fields"))
+
+
+def small_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("n_name")
+    text = F.concat(F.lit("# "), name, F.lit("\n\nThe key spark."), F.lower(name), F.lit(".memory.\n\nAll rows of "), name, F.lit(" move often.\n\n| a |\n```\n# x\n```\n<table>\n<tr><th>k</th></tr><tr><td>"), name, F.lit("</td></tr></table>"))
+    return table(spark, sf_dir, "nation").where("n_nationkey % 3 <> 0").select(F.concat(name, F.lit(".md")).alias("name"), text.alias("text"))
+
+
+_CORPUS = """(SELECT n_name || '.md' AS name, '# ' || n_name || chr(10) || chr(10) || 'The key spark.' || lower(n_name) || '.memory.' || chr(10) || chr(10) || 'All rows of ' || n_name || ' move often.'
+  || chr(10) || chr(10) || '| a |' || chr(10) || '```' || chr(10) || '# x' || chr(10) || '```' || chr(10) || '<table>' || chr(10) || '<tr><th>k</th></tr><tr><td>' || n_name || '</td></tr></table>' AS text
+  FROM nation WHERE n_nationkey % 3 <> 0)"""
+
+
+@query(f"""WITH g AS ({_GOLDEN}), w AS (SELECT * FROM g WHERE line % 6 <> 1)
+SELECT line, 'missing fields' AS problem, 'answer' AS detail FROM g WHERE line % 6 = 1
+UNION ALL SELECT line, 'unknown fields', 'note' FROM w WHERE line % 7 = 2
+UNION ALL SELECT line, 'duplicate id', id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY line) AS k FROM w) WHERE k > 1
+UNION ALL SELECT line, 'bad difficulty', difficulty FROM w WHERE difficulty = 'odd'
+UNION ALL SELECT line, 'no source_docs', '' FROM w WHERE doc IS NULL
+UNION ALL SELECT line, 'unknown source_doc', doc FROM w WHERE doc IS NOT NULL AND doc NOT IN (SELECT name FROM {_CORPUS})""")
+def schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.schema_problems(golden(spark, sf_dir), small_corpus(spark, sf_dir).select("name"))
+
+
+@query(f"""WITH g AS (SELECT * FROM ({_GOLDEN}) WHERE line < 23), j AS (SELECT g.*, coalesce(c.text, '') AS body FROM g LEFT JOIN {_CORPUS} c ON c.name = g.doc),
+k AS (SELECT id, body, unnest(list_distinct(regexp_extract_all(answer, 'spark\\.[a-zA-Z0-9._]+[a-zA-Z0-9]'))) AS missing FROM j)
+SELECT id, 'key' AS kind, missing FROM k WHERE NOT contains(body, missing)
+UNION ALL SELECT id, 'span', n_name FROM j JOIN nation ON n_nationkey = line WHERE NOT contains(lower(body), lower(n_name))""")
+def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.ungrounded(golden(spark, sf_dir).where("line < 23"), small_corpus(spark, sf_dir))
+
+
+@query(f"SELECT line, unnest(list_sort(list_distinct(regexp_extract_all(answer, 'spark\\.[a-zA-Z0-9._]+[a-zA-Z0-9]')))) AS key FROM ({_GOLDEN})")
+def config_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden(spark, sf_dir).select("line", F.explode(F.array_sort(F.array_distinct(T.config_keys(F.col("answer"))))).alias("key"))
+
+
+@query(f"""WITH cl AS (SELECT id AS qid, doc, 'rows of ' || n_name || ' move between partitions.' AS claim FROM ({_GOLDEN}) JOIN nation ON n_nationkey = line WHERE line < 23),
+cw AS (SELECT *, list_filter(regexp_extract_all(lower(claim), '[a-z0-9]+'), lambda w: w NOT IN ({_CLAIM_STOP}) AND len(w) > 2) AS words FROM cl),
+pa AS (SELECT name, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) AS paragraph, generate_subscripts(regexp_split_to_array(text, '\\n\\s*\\n'), 1) AS ord FROM {_CORPUS}),
+sc AS (SELECT qid, claim, coalesce(ord, 0) AS ord, paragraph, len(list_filter(words, lambda w: list_contains(regexp_extract_all(lower(coalesce(paragraph, '')), '[a-z0-9]+'), w))) / greatest(len(words), 1)::DOUBLE AS coverage FROM cw LEFT JOIN pa ON pa.name = cw.doc)
+SELECT qid, claim, round(coverage, 6) AS coverage, CASE WHEN coverage > 0 THEN paragraph ELSE '' END AS paragraph
+FROM (SELECT *, row_number() OVER (PARTITION BY qid, claim ORDER BY coverage DESC, ord) AS k FROM sc) WHERE k = 1""")
+def claim_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = golden(spark, sf_dir).where("line < 23")
+    claims = g.select(F.col("id").alias("qid"), F.explode(T.claim_clauses(F.col("answer"))).alias("claim"))
+    cited = g.select(F.col("id").alias("qid"), F.explode("source_docs").alias("name")).join(small_corpus(spark, sf_dir), "name")
+    passages = cited.select("qid", F.posexplode(T.paragraphs(F.col("text"))).alias("ord", "paragraph"))
+    return labels.claim_coverage(claims, passages).withColumn("coverage", F.round("coverage", 6))
+
+
+@query(f"""SELECT name, len(text)::BIGINT AS chars, len(regexp_extract_all(text, '(?m)^#{{1,6}} '))::BIGINT AS headings, (len(regexp_extract_all(text, '(?m)^```')) // 2)::BIGINT AS fenced_blocks,
+  len(regexp_extract_all(text, '<table'))::BIGINT AS html_tables, len(regexp_extract_all(text, '<tr>'))::BIGINT AS html_rows, len(regexp_extract_all(text, '(?m)^\\|'))::BIGINT AS md_table_rows
+FROM (SELECT name, text FROM {_CORPUS} UNION ALL SELECT 'doc' || doc_id, text FROM documents)""")
+def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = docs(spark, sf_dir).select(F.concat(F.lit("doc"), "id").alias("name"), "text")
+    return labels.profile(small_corpus(spark, sf_dir).unionByName(more))
+
+
+@query("SELECT 'doc' || doc_id AS name, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS bytes FROM documents")
+def sha256_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(docs(spark, sf_dir).select(F.concat(F.lit("doc"), "id").alias("name"), "text"))
+
+
+@query("""WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT id, w, unnest(range(0, greatest(len(w) - 16 - 1, 0) + 1, 112)) AS pos FROM w WHERE len(w) > 0)
+SELECT id, (pos // 112)::INT AS ord, array_to_string(w[pos + 1 : pos + 128], ' ') AS text, len(w[pos + 1 : pos + 128])::INT AS n_tokens FROM s""")
+def fixed_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.fixed_windows(docs(spark, sf_dir), 128, 16)
+
+
+_TABLES = """(SELECT p_partkey AS id, '<table><tr><th>name</th><th>price</th></tr><tr><td>' || p_name || '</td></tr>' || chr(10) || '<TR class="x"><td>' || p_brand || '</td></TR></table>' AS text FROM part)"""
+
+
+@query(f"""WITH r AS (SELECT id, unnest(x) AS "row", generate_subscripts(x, 1) - 1 AS ord FROM (SELECT id, regexp_extract_all(text, '(?is)<tr\\b.*?</tr>') AS x FROM {_TABLES}))
+SELECT id, ord::INT AS ord, "row", ord = 0 AS is_header FROM r""")
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("<table><tr><th>name</th><th>price</th></tr><tr><td>"), "p_name", F.lit('</td></tr>\n<TR class="x"><td>'), "p_brand", F.lit("</td></TR></table>"))
+    return labels.table_rows(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text")))
+
+
+@query("SELECT name FROM (SELECT unnest([n_name || '.md', n_name || '.txt', 'README.md', 'index.md', n_name || '.MD']) AS name FROM nation) WHERE ends_with(name, '.md') AND name NOT IN ('README.md', 'index.md', '404.md')")
+def documentation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(F.concat("n_name", F.lit(".md")), F.concat("n_name", F.lit(".txt")), F.lit("README.md"), F.lit("index.md"), F.concat("n_name", F.lit(".MD")))
+    return table(spark, sf_dir, "nation").select(F.explode(names).alias("name")).where(T.is_documentation(F.col("name")))
+
+
+def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as Markdown with headings, and a table of parts."""
+    body = F.regexp_replace(F.regexp_replace("html", r"(?i)<h1[^>]*>", "\n# "), r"<[^>]+>", "\n")
+    return table(spark, sf_dir, "pages").select(F.concat(F.lit("page"), "page_id", F.lit(".md")).alias("name"), body.alias("text"))
+
+
+@query()
+def structure_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_documents(markdown(spark, sf_dir), 256, 32)
+
 
-def queries() -> dict:
-    return {}
+@query()
+def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_stats(structure_chunks(spark, sf_dir))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT quality::INT AS quality, toxic::INT AS toxic, count(*)::BIGINT AS n FROM labels GROUP BY 1, 2")
+def label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").groupBy(F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n"))
