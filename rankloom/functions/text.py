@@ -18,7 +18,7 @@ CLAIM_STOPWORDS = tuple(
     "these those be been being will would should could may might there here also".split()
 )
 CONFIG_KEY = r"spark\.[a-zA-Z0-9._]+[a-zA-Z0-9]"
-LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def words(text: Column) -> Column:
