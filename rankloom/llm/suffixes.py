@@ -48,9 +48,9 @@ LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 #: An anchor's surroundings: the strings that hold it.
 REACH = WINDOW - 1 + LENGTH
-CHUNK, RANGE = 2 << 20, 16 << 20
+CHUNK, RANGE = 2 << 20, 4 << 20
 HOT = 1024
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 KEYS, STATE, COPY = 0, 1, 2
 
@@ -224,8 +224,11 @@ def surroundings(chunk: Chunk, p: np.ndarray, h: np.ndarray, code: np.ndarray) -
 
 def rows_of(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Bytes as a matrix of REACH columns, zeros behind."""
-    columns = np.arange(REACH)
-    return np.where(columns < length[:, None], data[np.minimum(start[:, None] + columns, max(0, len(data) - 1))], 0).astype(np.uint8)
+    columns, out = np.arange(REACH), np.zeros((len(start), REACH), np.uint8)
+    for a in range(0, len(start), 4096):  # index matrices are eight times the bytes: a block at a time
+        i = np.minimum(start[a : a + 4096, None] + columns, len(data) - 1)
+        out[a : a + 4096] = np.where(columns < length[a : a + 4096, None], data[i], 0)
+    return out
 
 
 def whole_hash(matrix: np.ndarray, left: np.ndarray, length: np.ndarray) -> np.ndarray:
