@@ -72,7 +72,7 @@ def laced(frames: list[bytes], lacing: int) -> bytes:
     sizes = [len(f) for f in frames]
     if lacing == XIPH_LACING:
         head += b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
-    elif lacing == EBML_LACING:
+    elif lacing == EBML_LACING and len(frames) > 1:
         head += size_bytes(sizes[0])
         for a, b in zip(sizes, sizes[1:-1], strict=False):
             width = 1
