@@ -59,8 +59,9 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.filter(word(F.col("text")), lambda w, i: (i > 0) & (i < F.size(word(F.col("text"))) - 1))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     keyed = q.select("qid", F.col("text").alias("question"), longest.alias("word"))
-    has = d.select("id", "text", F.explode(F.array_distinct(word(F.col("text")))).alias("word")).join(keyed.where("word is not null"), "word")
-    found = has.where(F.contains("text", "question")).select("qid", "id")
+    has = d.select("id", F.explode(F.array_distinct(word(F.col("text")))).alias("word"))  # texts join late, for candidates only
+    likely = has.join(keyed.where("word is not null"), "word").select("id", "qid", "question")
+    found = likely.join(d, "id").where(F.contains("text", "question")).select("qid", "id")
     rest = F.broadcast(keyed.where("word is null").select("qid", "question"))  # the stated set of questions, against all rows
     return found.unionByName(d.join(rest, F.contains("text", "question")).select("qid", "id"))
 
