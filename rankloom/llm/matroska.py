@@ -290,21 +290,23 @@ def features(parsed: Parsed, payload: bytes) -> str:
     """What the file shows of its samples: frames, cues, levels."""
     samples = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
     crossings = int(np.count_nonzero((samples[1:] < 0) != (samples[:-1] < 0)))
-    indexed = sum(c[2] in set(parsed.clusters) for c in parsed.cues)
+    clusters = set(parsed.clusters)
+    indexed = sum(c[2] in clusters for c in parsed.cues)
     return f"clusters={len(parsed.clusters)} cues={indexed} packets={len(parsed.packets)} samples={len(samples)} sum={int(samples.sum())} energy={int((samples * samples).sum())} crossings={crossings}"
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: every whole text as a Matroska file."""
+def _stored(batches: Iterator[pa.RecordBatch], rows_at_once: int = 200) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) as (doc_id, n_bytes, media), few at a time: files are as large as their texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows_at_once):
+            rows = batch.slice(at, rows_at_once)
+            made = [payload_of(t) for t in rows.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([write(p) for _, p in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
-                made = [payload_of(t) for t in rows.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([write(p) for _, p in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, media binary")
+def store(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media: every whole text as a Matroska file."""
+    return docs.select("doc_id", "text").mapInArrow(_stored, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, media binary")
 
 
 def packets(files: DataFrame, key: str, media: str) -> DataFrame:
@@ -327,24 +329,28 @@ def packets(files: DataFrame, key: str, media: str) -> DataFrame:
     return files.select(key, media).mapInArrow(run, f"id {kind}, cluster long, block long, track long, timestamp long, is_key boolean, offset long, length long, error string")
 
 
-def read(files: DataFrame) -> DataFrame:
-    """The digest rows of files(doc_id, n_bytes, media), all from the stored bytes."""
+DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for media in batch.column(2):
-                data = media.as_py()
-                parsed = parse(data)
-                payload = b"".join([data[p.offset : p.offset + p.length] for p in parsed.packets])
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), features(parsed, payload)))
-            columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if rows else []
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    kind = dict(files.dtypes)["doc_id"]
-    return files.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, n_bytes, media) as digest rows, all from the stored bytes."""
+    for batch in batches:
+        rows = []
+        for media in batch.column(2):
+            data = media.as_py()
+            parsed = parse(data)
+            payload = b"".join([data[p.offset : p.offset + p.length] for p in parsed.packets])
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), features(parsed, payload)))
+        if rows:
+            columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+
+def read(files: DataFrame) -> DataFrame:
+    """The digest rows of files(doc_id, n_bytes, media)."""
+    return files.mapInArrow(_digested, f"doc_id {dict(files.dtypes)['doc_id']}, {DIGEST}")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return read(store(docs))
+    """``read`` of ``store`` in one pass: the stored files are read back where they are made and don't travel between workers."""
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _digested(_stored(batches)), f"doc_id {dict(docs.dtypes)['doc_id']}, {DIGEST}")
