@@ -51,6 +51,8 @@ REACH = WINDOW - 1 + LENGTH
 CHUNK, RANGE = 2 << 20, 4 << 20
 HOT = 1024
 BLOCK = 1 << 18
+#: Pairs of suffixes that are compared at once.
+PAIRS = 1 << 14
 BASE = 0x9E3779B97F4A7C15
 KEYS, STATE, COPY = 0, 1, 2
 
@@ -301,16 +303,28 @@ class Suffixes:
         self.prefix = prefix.ravel()
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """The lengths of common extensions, LENGTH at most, by binary search over prefix hashes."""
-        low, high = np.zeros(len(x), np.int64), np.full(len(x), LENGTH)
-        px, py = self.prefix[x], self.prefix[y]
-        while True:
-            mid = (low + high + 1) >> 1
-            if (low >= high).all():
-                return low
-            power = POWER[mid]
-            same = self.prefix[x + mid] - px * power == self.prefix[y + mid] - py * power
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        """The lengths of common extensions, LENGTH at most, by binary search over prefix hashes; pairs in blocks that stay in cache."""
+        if len(x) <= PAIRS:
+            return self._common(x, y)
+        return np.concatenate([self._common(x[i : i + PAIRS], y[i : i + PAIRS]) for i in range(0, len(x), PAIRS)])
+
+    def _common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whole strings are compared first; only the others are searched, all by the same steps, each from where the last equal one ended."""
+        prefix, power = self.prefix, POWER[LENGTH]
+        px, py = prefix.take(x), prefix.take(y)
+        out = np.full(len(x), LENGTH)
+        rest = np.flatnonzero(prefix.take(x + LENGTH) - px * power != prefix.take(y + LENGTH) - py * power)
+        x, y, px, py = x[rest], y[rest], px[rest], py[rest]
+        start, left = x, LENGTH
+        while left:
+            step = (left + 1) // 2
+            left -= step
+            qx, qy = prefix.take(x + step), prefix.take(y + step)
+            same = qx - px * POWER[step] == qy - py * POWER[step]
+            x, y = x + same * step, y + same * step
+            px, py = np.where(same, qx, px), np.where(same, qy, py)
+        out[rest] = x - start
+        return out
 
     def before(self, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         n = self.common(x, y)
