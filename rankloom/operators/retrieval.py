@@ -61,7 +61,11 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
     wanted = asked.select("term").distinct()
     posted = tokenized.select("id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
     posted = posted.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = corpus_stats(tokenized)
+    return score_postings(posted, corpus_stats(tokenized), asked, k)
+
+
+def score_postings(posted: DataFrame, stats: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """qid, id, rank, score from the postings(id, dl, term, tf) of asked(qid, pos, term) and the corpus's one row of statistics."""
     per_term = document_frequency(posted).join(F.broadcast(stats)).select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
     scored = posted.join(per_term, "term").join(asked, "term")
     part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

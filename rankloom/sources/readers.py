@@ -5,11 +5,13 @@ Every read has an explicit schema; nothing is inferred.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +77,22 @@ def fetch(url: str, retries: int = 3, *, opener: Callable = urllib.request.urlop
 def list_documentation(listing: bytes) -> list[dict]:
     """The documentation files of a repository listing in JSON."""
     return [x for x in json.loads(listing) if x["type"] == "file" and x["name"].endswith(".md") and x["name"] not in ("README.md", "index.md", "404.md")]
+
+
+def fetch_corpus(listing: str, folder: str, *, verify: bool = False, get: Callable[[str], bytes] = fetch) -> dict:
+    """Download the documentation files that a listing names into a folder of the driver, with a manifest of what is there.
+
+    Files that are there stay, unless ``verify`` downloads and hashes all anew.
+    """
+    place, found = Path(folder), {}
+    place.mkdir(parents=True, exist_ok=True)
+    for entry in list_documentation(get(listing)):
+        if Path(entry["name"]).name != entry["name"]:
+            raise ValueError(f"not a file name: {entry['name']!r}")
+        at = place / entry["name"]
+        if verify or not at.exists():
+            at.write_bytes(get(entry["download_url"]))
+        content = at.read_bytes()
+        found[entry["name"]] = {"sha256": hashlib.sha256(content).hexdigest(), "bytes": len(content), "upstream_sha": entry.get("sha")}
+    (place / "manifest.json").write_text(json.dumps(found, indent=2, sort_keys=True), encoding="utf-8")
+    return found
