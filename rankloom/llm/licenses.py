@@ -3,9 +3,13 @@
 Words that are unique in both the text and the template anchor the alignment:
 their longest increasing subsequence is matched, and the gaps between anchors
 are aligned in the same way. In a gap without unique common words, equal words
-at its edges are matched, then what is left by the longest common subsequence
-if it is small. A template's coverage is the share of its words matched inside
-the best-aligned stretch of the text.
+at its edges are matched, then what is left by the longest common subsequence.
+A template's coverage is the share of its words matched inside the best stretch
+of the text: of all stretches of up to twice the template's words, the one
+with the longest common subsequence, and of those the shortest. A patience
+alignment of the whole template to consecutive words can't be bettered; any
+other (repeated notices have no unique words) gives way to the exact search
+over all stretches, whose work is stretch by template, without a limit.
 
 A template is only aligned if the text holds enough of its words: the multiset
 intersection is an upper bound of what any alignment can match, so skipping
@@ -41,8 +45,6 @@ TEMPLATES = {
 }
 THRESHOLD = 0.8
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-#: Gaps without anchors are aligned by LCS up to this many cells.
-CELLS = 4096
 
 
 def words_of(text: str) -> tuple[list[str], list[int], list[int]]:
@@ -72,21 +74,70 @@ def increasing(pairs: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def subsequence(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence; for small gaps only."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
+    """Index pairs of a longest common subsequence: bit j of a row is 0 where word j of b adds a match."""
+    at: dict[str, int] = {}
+    for j, w in enumerate(b):
+        at[w] = at.get(w, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    rows = [whole]
+    for w in a:
+        row = rows[-1]
+        hit = row & at.get(w, 0)
+        rows.append(((row + hit) | (row - hit)) & whole if hit else row)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif rows[i - 1] >> (j - 1) & 1:
+            i, j = i - 1, j - 1
             out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
         else:
-            j += 1
-    return out
+            i -= 1
+    return out[::-1]
+
+
+def best_stretch(a: Sequence[str], b: Sequence[str], most: int) -> tuple[int, int, int]:
+    """Of all stretches of up to ``most`` words of a, the first of the shortest with the longest common subsequence with b: its length, start and end.
+
+    Semi-local comparison: word i of a adds no match to stretches that begin at
+    or before ``lost[i]``, so a stretch's subsequence is its length without the
+    words in it that are lost to it.
+    """
+    at: dict[str, list[int]] = {}
+    for j, w in enumerate(b):
+        at.setdefault(w, []).append(j)
+    strands, lost = [-1 - j for j in range(len(b))], []
+    for i, w in enumerate(a):
+        h = i
+        if w in at:
+            j = at[w][0]  # i is the largest strand: nothing turns before its first match
+            h, strands[j] = strands[j], h
+            for j in range(j + 1, len(b)):
+                if h < strands[j] or b[j] == w:
+                    h, strands[j] = strands[j], h
+        lost.append(h)
+    where = {h: i for i, h in enumerate(lost) if h >= 0}
+
+    def without(start: int, end: int) -> bool:
+        """Whether the stretch keeps its matches without its first word."""
+        return where.get(start, end) < end
+
+    best, s, n = 0, 0, 0
+    for e in range(len(a)):
+        n += lost[e] < s
+        if e + 1 - s > most:
+            n -= not without(s, e + 1)
+            s += 1
+        best = max(best, n)
+    found, s, n = (len(a) + 1, 0, 0), 0, 0
+    for e in range(len(a)):
+        n += lost[e] < s
+        while s <= e and (n > best or without(s, e + 1)):
+            n -= not without(s, e + 1)
+            s += 1
+        if n == best and e + 1 - s < found[0]:
+            found = (e + 1 - s, s, e + 1)
+    return best, found[1], found[2]
 
 
 def align(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
@@ -110,7 +161,7 @@ def align(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
             out += anchors
             for (x, y), (x2, y2) in zip([(i - 1, j - 1), *anchors], [*anchors, (k, m)], strict=True):
                 todo.append((x + 1, x2, y + 1, y2))
-        elif (k - i) * (m - j) <= CELLS:
+        else:
             out += [(i + x, j + y) for x, y in subsequence(a[i:k], b[j:m])]
     return sorted(out)
 
@@ -142,14 +193,23 @@ class Scanner:
             if sum(min(n, here[w]) for w, n in counts.items()) < need:
                 continue
             for low, high in self.windows(words, counts, len(template), need):
-                matched = densest(align(words[low:high], template), 2 * len(template))
-                coverage = len(matched) / len(template)
+                n, first, end = self.stretch(words[low:high], template)
+                coverage = n / len(template)
                 if coverage >= self.threshold and (coverage, len(template)) > best[:2]:
-                    best = (coverage, len(template), name, starts[low + matched[0][0]], ends[low + matched[-1][0]])
+                    best = (coverage, len(template), name, starts[low + first], ends[low + end - 1])
         if not best[2]:
             return None, 0.0, 0, None, None
         return best[2], best[0], round(best[0] * best[1]), best[3], best[4]
 
+    @staticmethod
+    def stretch(words: list[str], template: list[str]) -> tuple[int, int, int]:
+        """How many template words the best stretch matches, and where it begins and ends."""
+        n = len(template)
+        matched = densest(align(words, template), 2 * n)
+        if len(matched) == n and matched[-1][0] - matched[0][0] == n - 1:
+            return n, matched[0][0], matched[-1][0] + 1
+        return best_stretch(words, template, 2 * n)
+
     def windows(self, words: list[str], counts: Counter, n: int, need: float) -> Iterator[tuple[int, int]]:
         """Merged stretches that hold enough template words in some window of 2 n words: words outside can't be in a match that counts."""
         span, here, held = 2 * n, Counter(), 0

@@ -232,3 +232,40 @@ def test_alignment_is_a_common_subsequence(a, b):
     assert all(a[i] == b[j] for i, j in pairs)
     assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
     assert len(pairs) <= len(licenses.subsequence(a, b)) and (a != b or len(pairs) == len(a))
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return row[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), max_size=16), st.lists(st.sampled_from("abcdef"), min_size=1, max_size=7))
+def test_best_stretch_against_plain_lcs(a, b):
+    most = 2 * len(b)
+    every = [(-plain_lcs(a[s:e], b), e - s, s, e) for s in range(len(a) + 1) for e in range(s, min(len(a), s + most) + 1)]
+    n, s, e = licenses.best_stretch(a, b, most)
+    assert n == -min(every)[0] and (n == 0 or (s, e) == min(every)[2:])
+    assert len(licenses.subsequence(a, b)) == plain_lcs(a, b)
+    assert licenses.Scanner.stretch(a, b)[0] == n
+
+
+@pytest.mark.parametrize("name", ["MIT-text", "ISC-text", "Apache-2.0-notice", "GPL-3.0-notice", "BSD-3-Clause-text"])
+def test_repeated_notices_are_found(name):
+    rng = random.Random(8)
+    noise = lambda n: ["".join(rng.choice("klmnop") for _ in range(5)) for _ in range(n)]
+    notice = licenses.TEMPLATES[name].rstrip(".").split()
+    text = " ".join([*noise(50), *notice, *noise(50), *notice, *noise(50)])
+    got = licenses.Scanner().scan(text)
+    assert got[:2] == (name, 1.0) and text[got[3] : got[4]] == " ".join(notice)
+    # each copy lacks other words: matches of both don't add up
+    worn = [" ".join(w for i, w in enumerate(notice) if i % 10 != k) for k in (3, 7)]
+    text = " ".join([*noise(50), worn[0], *noise(50), worn[1], *noise(50)])
+    words, template = licenses.words_of(text)[0], licenses.words_of(licenses.TEMPLATES[name])[0]
+    most = max(plain_lcs(words[s : s + 2 * len(template)], template) for s in range(len(words)))
+    got = licenses.Scanner({name: licenses.TEMPLATES[name]}).scan(text)
+    assert got[0] == name and got[2] == most
