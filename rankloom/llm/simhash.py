@@ -207,54 +207,140 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
     return fps.join(labelled, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", "component_id")
 
 
-def _spread(h: np.ndarray) -> np.ndarray:
-    """Other hashes of the same things."""
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+#: Of ``one_of_each``: a shared part of all shingles of two texts that makes them near copies; least hashes of a band,
+#: and bands (a pair of 0.8 shares none with a probability of 3e-6); bits of 128 in which sketches of a candidate may
+#: differ (a similarity of 0.8 gives 13 on average, with a deviation of 3.4).
+SIMILAR, WIDTH, BANDS, SKETCH_BITS = (4, 5), 5, 32, 34
+_random = np.random.default_rng(SEED)
+_FLIP = _random.integers(0, 2**64, (WIDTH * BANDS, 1), np.uint64)
+_TIMES = _random.integers(0, 2**64, (WIDTH * BANDS, 1), np.uint64) | np.uint64(1)
+_MIX = _random.integers(0, 2**64, (BANDS, WIDTH), np.uint64) | np.uint64(1)
+#: Slots of shingles that bound the number two sets share; shingles that are hashed at once.
+SLOTS, AT_ONCE = 1 << 20, 1024
 
 
-#: Of ``one_of_each``: bits in which word fingerprints may differ, and the 128 bits of shingle fingerprints.
-WORD_BITS, SHINGLE_BITS = 5, 27
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(words_of(text), size))
 
 
-def text_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id and four fingerprints: two of a text's distinct words, two of its distinct shingles."""
+def set_digest(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)
+
+
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least of each of WIDTH * BANDS other hashes of a set."""
+    least = np.full(WIDTH * BANDS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), AT_ONCE):
+        np.minimum(least, ((hashes[at : at + AT_ONCE] ^ _FLIP) * _TIMES).min(axis=1), out=least)
+    return least
+
+
+def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, and of a text's distinct shingles: a digest d, a key for each band, and two sketches of 64 bits (a bit each of 128 least hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[int]] = [[], [], [], []]
+            d, bands, bits = [], [], []
             for t in batch.column(1):
-                words = words_of(t.as_py())
-                single = shingle_hashes(list(set(words)), 1)
-                several = np.unique(shingle_hashes(words, shingle))
-                for to, h in zip(out, (single, _spread(single), several, _spread(several)), strict=True):
-                    to.append(majority(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(_signed, out)], names=["doc_id", "w1", "w2", "s1", "s2"])
+                hashes = shingle_set(t.as_py(), shingle)
+                least = min_hashes(hashes)
+                mixed = (least.reshape(BANDS, WIDTH) * _MIX).sum(axis=1, dtype=np.uint64)
+                d.append(set_digest(hashes))
+                bands.append(mixed ^ (mixed >> np.uint64(31)))
+                bits.append(np.packbits((least[:128] >> np.uint64(31) & np.uint64(1)).astype(bool), bitorder="little").view("<u8"))
+            keys = pa.array(np.concatenate(bands or [np.zeros(0, np.uint64)]).view(np.int64))
+            k1, k2 = np.array(bits, np.uint64).reshape(-1, 2).T
+            offsets = pa.array(np.arange(len(d) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(d), pa.ListArray.from_arrays(offsets, keys), _signed(k1), _signed(k2)], names=["doc_id", "d", "bands", "k1", "k2"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, d long, bands array<long>, k1 long, k2 long")
+
+
+def connected(sets: list[np.ndarray]) -> np.ndarray:
+    """A group number for each of some sorted sets: groups are connected by pairs of at least the similarity, all exactly compared.
+
+    Sets are searched from member to member, as long runs are: each takes what
+    it links to out of the rest. Slots give an upper bound of what two sets
+    share, so only pairs that may reach the similarity are intersected.
+    """
+    part, of = SIMILAR
+    sizes = np.array([len(x) for x in sets], np.int64)
+    group = np.full(len(sets), -1, np.int64)
+    slots = [(x & np.uint64(SLOTS - 1)).astype(np.int32) for x in sets]
+    flat, owner = np.concatenate(slots), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    marked, rest, number = np.zeros(SLOTS, bool), np.arange(len(sets)), 0
+    while len(rest):
+        waiting, rest = [int(rest[0])], rest[1:]
+        group[waiting[0]] = number
+        while waiting and len(rest):
+            x = waiting.pop()
+            marked[slots[x]] = True
+            shared = np.bincount(owner[marked[flat]], minlength=len(sets))[rest]
+            marked[slots[x]] = False
+            found = []
+            for y in rest[(of + part) * shared >= part * (sizes[x] + sizes[rest])].tolist():
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if of * both >= part * (len(sets[x]) + len(sets[y]) - both):
+                    found.append(y)
+            if found:
+                group[found] = number
+                waiting += found
+                rest = rest[group[rest] < 0]
+                left = group[owner] < 0
+                flat, owner = flat[left], owner[left]
+        number += 1
+    return group
+
+
+def verified(members: DataFrame, shingle: int, partitions: int) -> DataFrame:
+    """d, keeper (the smallest node of its group) of members(component, d, node, text); components are compared in whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            group = connected([x for _, x in held.values()]).tolist()
+            least: dict[int, int] = {}
+            for g, (node, _) in zip(group, held.values(), strict=True):
+                least[g] = min(node, least.get(g, node))
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([least[g] for g in group], pa.int64())], names=["d", "keeper"])
+
+        at, held = None, {}
+        for batch in batches:
+            for component, d, node, text in zip(*batch.columns, strict=True):
+                component, d = component.as_py(), d.as_py()
+                if component != at:
+                    if held:
+                        yield out(held)
+                    at, held = component, {}
+                if d not in held:
+                    hashes = shingle_set(text.as_py(), shingle)
+                    if set_digest(hashes) == d % 2**64:  # else another row of the same doc_id
+                        held[d] = node.as_py(), hashes
+        if held:
+            yield out(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, w1 long, w2 long, s1 long, s2 long")
+    rows = members.select("component", "d", "node", "text").repartition(partitions, "component").sortWithinPartitions("component")
+    return rows.mapInArrow(run, "d long, keeper long")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The documents, all columns, without near copies: the smallest doc_id of each group stays.
 
-    Texts are near copies if their shingles' similarity is about 0.8 or more.
-    Fingerprints of the distinct words, which one changed word moves least, find
-    the candidates; 128 bits of the distinct shingles verify them: at most
-    ``SHINGLE_BITS`` may differ, where a similarity of 0.8 gives 19 on average.
+    Texts are near copies if the Jaccard similarity of their distinct shingles
+    is 0.8 or more; groups are connected by such pairs. Texts of equal shingles
+    are one class. Bands of least hashes find the candidates and sketches drop
+    unlike ones; components of these are then compared by their whole shingle
+    sets, so no document goes without a pair of the similarity.
     Rows of equal doc_id stay or go together; null ids stay.
     """
-    marks = ["w1", "w2", "s1", "s2"]
-    fps = cut(text_fingerprints(docs, shingle))
-    classes = cut(fps.groupBy(*marks).agg(F.min("doc_id").alias("node")).where("node is not null"))
-    keys = lambda w, table: F.explode(F.transform(variants(F.col(w), WORD_BITS), lambda k: k.bitwiseXOR(F.lit(table << 60))))
-    indexed = classes.select(keys("w1", 0).alias("key"), "node", F.col("w1").alias("w"), "s1", "s2").union(classes.select(keys("w2", 1).alias("key"), "node", F.col("w2").alias("w"), "s1", "s2"))
-    found = components(links(indexed, [(1, WORD_BITS), (2, SHINGLE_BITS)], partitions_for(classes.count() * 128)))
-    named = [c.alias(f"_{m}") for m, c in ((m, F.col(m)) for m in marks)]
-    labelled = classes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(*named, F.coalesce("component", "node").alias("keeper"))
-    same = F.lit(True)
-    for m in marks:
-        same = same & (F.col(m) == F.col(f"_{m}"))
-    gone = cut(fps.join(labelled, same).where("doc_id <> keeper").select(F.col("doc_id").alias("gone")).distinct())
+    rows = cut(sketches(docs, shingle))
+    classes = cut(rows.groupBy("d").agg(F.min("doc_id").alias("node"), *(F.any_value(c).alias(c) for c in ("bands", "k1", "k2"))).where("node is not null"))
+    indexed = classes.select(F.explode("bands").alias("key"), F.col("d").alias("node"), "k1", "k2")
+    loose = components(links(indexed, [(2, SKETCH_BITS)], partitions_for(classes.count() * BANDS)))
+    members = cut(classes.select("d", "node").join(loose.withColumnRenamed("node", "n"), F.col("d") == F.col("n")).select("component", "d", "node"))
+    texts = members.join(docs.select("doc_id", "text"), F.col("node") == F.col("doc_id"))
+    found = verified(texts, shingle, partitions_for(members.count(), 20_000)).withColumnRenamed("d", "e")
+    labelled = classes.select("d", "node").join(found, F.col("d") == F.col("e"), "left").select(F.col("d").alias("e"), F.coalesce("keeper", "node").alias("keeper"))
+    gone = cut(rows.select("doc_id", "d").join(labelled, F.col("d") == F.col("e")).where("doc_id <> keeper").select(F.col("doc_id").alias("gone")).distinct())
     return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
 
 

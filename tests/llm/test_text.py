@@ -151,6 +151,36 @@ def test_one_of_each_keeps_clean_documents(spark):
     assert set(range(120)) <= kept and len(kept & set(range(1000, 1040))) <= 2 and not kept & set(range(2000, 2010))
 
 
+def shingles_of(text):
+    w = text.split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_one_of_each_equals_brute_force(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(150):
+        d = [word() for _ in range(rng.randrange(80, 300))]
+        rows.append((i, " ".join(d)))
+        for share in (0.11, 0.2, 0.24, 0.3, 0.4)[: rng.randrange(1, 6)]:  # one passage of new words, at the end or inside
+            at = rng.choice([len(d), rng.randrange(len(d))])
+            rows.append((1000 + len(rows), " ".join(d[:at] + [word() for _ in range(int(share * len(d)))] + d[at:])))
+        e = [word() if rng.random() < rng.choice([0.02, 0.04, 0.06]) else w for w in d]
+        rows.append((1000 + len(rows), " ".join(e)))
+    base = [word() for _ in range(100)]  # a chain: neighbours are near copies, its ends are not
+    rows += [(5000 + i, " ".join(base[i * 8 :] + [f"new{k}" for k in range(i * 8)])) for i in range(8)]
+    rows += [(6000, "one two three"), (6001, "One  two three"), (6002, "one two four"), (6003, ""), (6004, "")]
+    sets = {i: shingles_of(t.lower()) for i, t in rows}
+    near = {(a, b) for a in sets for b in sets if a < b and 5 * (n := len(sets[a] & sets[b])) >= 4 * (len(sets[a]) + len(sets[b]) - n)}
+    up = {i: i for i in sets}
+    for _ in sets:
+        for a, b in near:
+            up[a] = up[b] = min(up[a], up[b])
+    kept = {r["doc_id"] for r in simhash.one_of_each(frame(spark, rows)).collect()}
+    assert len(near) > 200 and kept == {i for i in sets if up[i] == i}
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
