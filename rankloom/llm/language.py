@@ -17,8 +17,9 @@ texts, without a shuffle.
 
 Defined cases: a text that is null or has no letters is ``und`` with score 0,
 as is every text if no document is labelled. Repeated rows get equal results.
-Very long texts are labelled whole; forward-backward runs over fixed blocks
-of words whose transition products are combined, so its work is linear.
+Very long texts and words are labelled whole (runs of over 40 letters in
+consecutive pieces); forward-backward runs over fixed blocks of words whose
+transition products are combined, so its work is linear.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words: runs of letters; longer runs (scripts without spaces, joined words) are consecutive words of 40 letters.
+LETTERS = re.compile(r"[^\W\d_]{1,40}")
 UNKNOWN = "und"
 BLOCK = 32
 #: Steps after which vectors are scaled anew; weights are clipped so that none vanishes before.
@@ -45,7 +47,7 @@ MOST_WORDS, WORDS_AT_ONCE = 400_000, 200_000
 
 
 def features_of(word: str) -> list[str]:
-    framed = f"^{word[:40]}$"
+    framed = f"^{word}$"
     found = [f"a{framed[:k]}" for k in (2, 3, 4) if k < len(framed)]
     found += [f"z{framed[-k:]}" for k in (2, 3, 4) if k < len(framed)]
     found += [f"g{framed[i : i + 3]}" for i in range(len(framed) - 2)]

@@ -228,6 +228,17 @@ def test_language_of_held_out_documents(spark):
     assert [s["lang"] for s in language.label_spans(mixed, model).first()["spans"]] == ["xx", "yy"]
 
 
+def test_long_runs_of_letters_are_labelled_whole(spark):
+    rng = random.Random(1)
+    make = {"xx": "banana mango papaya guava lychee".split(), "yy": "straße brücke glück tür über".split()}
+    model = language.fit([(k, " ".join(rng.choice(make[k]) + rng.choice("ns") for _ in range(30))) for k in make for _ in range(60)])
+    text = "bananamango" * 4 + "straßebrücke" * 40  # one run of letters
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert language.predict(docs, model).first()["lang_pred"] == "yy"
+    spans = [tuple(s) for s in language.label_spans(docs, model).first()["spans"]]
+    assert [s[2] for s in spans] == ["xx", "yy"] and spans[0][0] == 0 and spans[-1][1] == len(text)
+
+
 def test_bpe_equals_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     pytest.importorskip("public_tokenizers")
