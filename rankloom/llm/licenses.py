@@ -16,9 +16,12 @@ intersection is an upper bound of what any alignment can match, so skipping
 below the threshold loses nothing. Templates go with the task (they are a
 fixed, small table); documents are scanned whole and without a shuffle.
 
+Every template at or over the threshold is told with its best stretch, the best
+template first; the columns of the single license are those of the first.
+
 Defined cases: null and empty texts, and texts under every threshold, get no
-license: license null, coverage 0, span null. Ties go to the longer template,
-then the name. Repeated rows get equal results.
+license: license null, coverage 0, span null, no licenses. Ties go to the
+longer template, then the name. Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -44,6 +47,7 @@ TEMPLATES = {
     "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
 }
 THRESHOLD = 0.8
+NONE = (None, 0.0, 0, None, None)
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -183,23 +187,27 @@ class Scanner:
         self.templates = [(name, words, Counter(words)) for name, t in sorted((templates or TEMPLATES).items()) if (words := words_of(t)[0])]
         self.vocabulary = {w for _, words, _ in self.templates for w in words}
 
-    def scan(self, text: str | None) -> tuple[str | None, float, int, int | None, int | None]:
-        """The best license: name, coverage, words matched, and the stretch in characters."""
-        best: tuple = (0.0, 0, "", None, None)
+    def every(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
+        """All licenses, the best first: name, coverage, words matched, and the stretch in characters."""
+        out: list[tuple[int, tuple]] = []
         words, starts, ends = words_of(text or "")
         here = Counter(w for w in words if w in self.vocabulary)
         for name, template, counts in self.templates:
             need = self.threshold * len(template)
             if sum(min(n, here[w]) for w, n in counts.items()) < need:
                 continue
+            best, span = 0, (0, 0)
             for low, high in self.windows(words, counts, len(template), need):
                 n, first, end = self.stretch(words[low:high], template)
-                coverage = n / len(template)
-                if coverage >= self.threshold and (coverage, len(template)) > best[:2]:
-                    best = (coverage, len(template), name, starts[low + first], ends[low + end - 1])
-        if not best[2]:
-            return None, 0.0, 0, None, None
-        return best[2], best[0], round(best[0] * best[1]), best[3], best[4]
+                if n > best:
+                    best, span = n, (starts[low + first], ends[low + end - 1])
+            if best and best / len(template) >= self.threshold:
+                out.append((len(template), (name, best / len(template), best, *span)))
+        return [x for _, x in sorted(out, key=lambda x: (-x[1][1], -x[0], x[1][0]))]
+
+    def scan(self, text: str | None) -> tuple[str | None, float, int, int | None, int | None]:
+        """The best license: name, coverage, words matched, and the stretch in characters."""
+        return next(iter(self.every(text)), NONE)
 
     @staticmethod
     def stretch(words: list[str], template: list[str]) -> tuple[int, int, int]:
@@ -234,14 +242,18 @@ class Scanner:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license, coverage, n_matched, span_start, span_end for every document."""
+    """doc_id, license, coverage, n_matched, span_start, span_end and all licenses (an array of these five) for every document."""
+    names = ["license", "coverage", "n_matched", "span_start", "span_end"]
+    kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    kinds.append(pa.list_(pa.struct(list(zip(names, kinds, strict=True)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, threshold)
-        kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            rows = [scanner.scan(t.as_py()) for t in batch.column(1)]
+            found = [scanner.every(t.as_py()) for t in batch.column(1)]
+            rows = [(*next(iter(x), NONE), [dict(zip(names, y, strict=True)) for y in x]) for x in found]
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "license", "coverage", "n_matched", "span_start", "span_end"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *names, "licenses"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, license string, coverage double, n_matched long, span_start long, span_end long")
+    one = "license string, coverage double, n_matched long, span_start long, span_end long"
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {one}, licenses array<struct<{one.replace(' ', ':').replace(',:', ',')}>>")

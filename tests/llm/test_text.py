@@ -310,3 +310,15 @@ def test_repeated_notices_are_found(name):
     most = max(plain_lcs(words[s : s + 2 * len(template)], template) for s in range(len(words)))
     got = licenses.Scanner({name: licenses.TEMPLATES[name]}).scan(text)
     assert got[0] == name and got[2] == most
+
+
+def test_every_license_is_told(spark):
+    mit = licenses.TEMPLATES["MIT-text"].rstrip(".")
+    worn = mit.replace("obtaining", "getting").replace("deal", "trade")
+    rows = [(1, f"Licensed under CC BY-NC 4.0. And then: {mit}"), (2, f"{worn} Released under the MIT License."), (3, "none"), (4, None)]
+    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, rows)).collect()}
+    assert [(x["license"], x["coverage"]) for x in got[1]["licenses"]] == [("MIT-text", 1.0), ("CC-BY-NC-4.0", 1.0)]
+    assert [(x["license"], x["n_matched"]) for x in got[2]["licenses"]] == [("MIT", 5), ("MIT-text", 85)]
+    assert rows[1][1][got[2]["licenses"][1]["span_start"] : got[2]["licenses"][1]["span_end"]] == worn
+    assert all(tuple(r["licenses"][0]) == tuple(r)[1:6] for i, r in got.items() if i < 3)
+    assert got[3]["licenses"] == got[4]["licenses"] == []
