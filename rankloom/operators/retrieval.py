@@ -7,6 +7,7 @@ score); ties have explicit keys, and scores are compared rounded.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -81,42 +82,60 @@ def term_overlap(docs: DataFrame, questions: DataFrame, k: int = 10) -> DataFram
     return top(sums, ["qid"], [F.col("score").desc(), F.col("id")], k).select("qid", "id", "rank", "score")
 
 
+#: Questions whose matrix goes to a task at once.
+MOST_QUESTIONS = 20_000
+
+
+def _question_blocks(questions: DataFrame) -> Iterator[list]:
+    """All questions(qid, vec), ``MOST_QUESTIONS`` rows at a time; more than one block are ranges of qid."""
+    rows = questions.select("qid", "vec")
+    first = rows.limit(MOST_QUESTIONS + 1).collect()
+    if len(first) <= MOST_QUESTIONS:
+        yield first
+        return
+    ordered = rows.orderBy("qid").toLocalIterator()
+    while block := list(islice(ordered, MOST_QUESTIONS)):
+        yield block
+
+
 def dense(vectors: DataFrame, questions: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
     """Exact inner products of questions(qid, vec) with vectors(id, vec), in blocks.
 
-    Questions are a stated set whose matrix goes to every task, at most
-    ``MOST_QUESTIONS`` rows; each Arrow batch of vectors is one matrix product
-    whose best k rows for every question leave the task.
+    The matrix of a block of at most ``MOST_QUESTIONS`` questions goes to every
+    task; each Arrow batch of vectors is one matrix product whose best k rows
+    for every question leave the task. More questions are so many passes over
+    the vectors; the driver holds all question vectors.
     """
-    rows = questions.select("qid", "vec").limit(MOST_QUESTIONS + 1).collect()
-    if len(rows) > MOST_QUESTIONS:
-        raise ValueError(f"more than {MOST_QUESTIONS} questions in one batch; split them")
-    ids = [r["qid"] for r in rows]
-    matrix = np.array([r["vec"] for r in rows], np.float64)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch) or not ids:
-                continue
-            scores = np.stack(batch["vec"].to_list()).astype(np.float64) @ matrix.T
-            keep = min(len(batch), k + 1 + int(exclude_self))
-            # Rounded scores decide and ids break ties, here as in the final rank.
-            for j, qid in enumerate(ids):
-                s = np.round(scores[:, j], 9)
-                least = np.partition(s, len(s) - keep)[len(s) - keep]
-                at = np.flatnonzero(s >= least)
-                yield pd.DataFrame({"qid": qid, "id": batch["id"].to_numpy()[at], "score": scores[at, j]})
+
+    def scores_of(rows: list) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        ids = [r["qid"] for r in rows]
+        matrix = np.array([r["vec"] for r in rows], np.float64)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch) or not ids:
+                    continue
+                scores = np.stack(batch["vec"].to_list()).astype(np.float64) @ matrix.T
+                keep = min(len(batch), k + 1 + int(exclude_self))
+                # Rounded scores decide and ids break ties, here as in the final rank.
+                for j, qid in enumerate(ids):
+                    s = np.round(scores[:, j], 9)
+                    least = np.partition(s, len(s) - keep)[len(s) - keep]
+                    at = np.flatnonzero(s >= least)
+                    yield pd.DataFrame({"qid": qid, "id": batch["id"].to_numpy()[at], "score": scores[at, j]})
+
+        return run
 
     kinds = dict(vectors.dtypes)["id"], dict(questions.dtypes)["qid"]
-    found = vectors.select("id", "vec").mapInPandas(run, f"qid {kinds[1]}, id {kinds[0]}, score double")
+    found = None
+    for block in _question_blocks(questions):
+        part = vectors.select("id", "vec").mapInPandas(scores_of(block), f"qid {kinds[1]}, id {kinds[0]}, score double")
+        found = part if found is None else found.union(part)
     if exclude_self:
         found = found.where("qid <> id")
     return top(found, ["qid"], [F.round("score", 9).desc(), F.col("id")], k).select("qid", "id", "rank", "score")
 
 
-MOST_QUESTIONS = 20_000
-
-
 def dense_by_join(vectors: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
     """The same by SQL expressions: a nested loop join over the stated questions."""
     product = F.aggregate(F.zip_with(F.col("vec").cast("array<double>"), F.col("qvec").cast("array<double>"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)

@@ -67,6 +67,16 @@ def test_dense_forms_agree(spark):
     assert R.dense(v, q, 4, exclude_self=True).select("qid", "id", "rank").exceptAll(R.dense_by_join(v, q, 4).select("qid", "id", "rank")).count() == 0
 
 
+def test_dense_questions_in_blocks(spark, monkeypatch):
+    v = frame(spark, [(i, [math.cos(i), math.sin(i)]) for i in range(30)], "id long, vec array<double>")
+    q = v.withColumnRenamed("id", "qid").where("qid < 17")
+    whole = [tuple(r) for r in R.dense(v, q, 4, exclude_self=True).orderBy("qid", "rank").collect()]
+    monkeypatch.setattr(R, "MOST_QUESTIONS", 5)
+    split = [tuple(r) for r in R.dense(v, q, 4, exclude_self=True).orderBy("qid", "rank").collect()]
+    assert len(whole) == 17 * 4 and [r[:3] for r in split] == [r[:3] for r in whole]
+    assert [r[3] for r in split] == pytest.approx([r[3] for r in whole])
+
+
 def test_hashed_vector_has_unit_length(spark):
     row = frame(spark, [("some words here",), ("",)], "t string").select(R.hashed_vector(F.col("t"), 16).alias("v")).collect()
     assert sum(x * x for x in row[0]["v"]) == pytest.approx(1) and not any(row[1]["v"])
