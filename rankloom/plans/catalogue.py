@@ -265,7 +265,7 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.bootstrap(evaluation.paired(evaluation.per_question(results(spark, sf_dir)), "fused", "bm25"), 2000)
+    return evaluation.bootstrap(evaluation.paired(evaluation.per_question(results(spark, sf_dir))))
 
 
 @query(f"""WITH {_RESULTS},

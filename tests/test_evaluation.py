@@ -86,3 +86,14 @@ def test_disagreements_slices_and_pending(spark):
 def test_decision_labels(spark):
     df = spark.createDataFrame([(1.0, -1.0, 1.0), (0.01, -1.0, 1.0), (0.01, 0.1, 1.0), (0.5, 0.1, 1.0)], "f double, l double, h double")
     assert [r[0] for r in df.select(E.decided(F.col("f"), F.col("l"), F.col("h"))).collect()] == ["capped", "undecided", "decided", "overruled"]
+
+
+def test_bootstrap_seeded_takes_all_pairs(spark, monkeypatch):
+    from rankloom.plans import catalogue
+
+    rows = [(s, f"q{q}", "rr", ((q * k) % 7) / 7) for k, s in enumerate(("bm25", "dense", "fused"), 1) for q in range(9)]
+    scores = spark.createDataFrame(rows, "system string, qid string, metric string, value double")
+    monkeypatch.setattr(catalogue, "results", lambda *_: None)
+    monkeypatch.setattr(catalogue.evaluation, "per_question", lambda _: scores)
+    got = sorted(map(tuple, catalogue.bootstrap_seeded(spark, "").collect()))
+    assert len(got) == 6 and got == sorted(map(tuple, E.bootstrap(E.paired(scores), 10_000).collect()))
