@@ -13,16 +13,23 @@ never all pairs, and components are contracted over these. Short runs are
 compared in whole, all runs of a batch at once. Long runs are searched from
 member to member: a member takes what it links to out of the rest, so a dense
 group costs a few passes over it, and no pair that could join two groups is
-skipped.
+skipped. Runs beyond ``SPLIT`` members are cut anew by the bits outside the
+segment that they share, by the same signatures, before they are searched: a
+pair that links has one of these in common too.
+
+Texts are hashed ``PIECE`` bytes at a time, so a very long one needs little
+memory besides its own.
 
 Defined cases: null, empty and blank texts have fingerprint 0 and link like
 others. Fewer words than a shingle are one shingle. Repeated rows are in one
-class; a null id makes no class of its own with others (it is ignored as a
-representative) and gets its class's component, null if it is alone.
+class. Fingerprints are the nodes, so rows of one id and different texts are
+linked by nothing but their fingerprints. A null id gets its class's component
+and names none; components of null ids only are null.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,39 +38,57 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import cut
+from rankloom.llm.common import cut, fresh, join_by_key
 from rankloom.llm.components import components
 
 SEED = 42
+#: Bytes of a text that are cut into words at once; a longer word is whole.
+PIECE = 1 << 20
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Runs longer than this are searched member by member.
 SHORT = 24
+#: Runs longer than this are cut anew by the bits that their variant doesn't tell.
+SPLIT = 4096
 #: Rows of whole runs that are compared at once.
 ROWS = 400_000
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) runs of non-blank bytes."""
-    return (text or "").encode("utf-8", "replace").lower().split()
-
-
-def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return np.array([digest(b" ".join(words), SEED)], np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = [0, *(ends[: len(words) - size] + 1).tolist()]
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)), np.uint64, len(starts))
-
-
-def majority(hashes: np.ndarray) -> int:
+def words_of(text: str | None) -> Iterator[list[bytes]]:
+    """Lower-cased (A-Z) runs of non-blank bytes, those of a piece of the text at a time."""
+    raw, at = (text or "").encode("utf-8", "replace"), 0
+    while at < len(raw):
+        to = len(raw)
+        if at + PIECE < to and (blank := BLANK.search(raw, at + PIECE)):
+            to = blank.end()
+        yield raw[at:to].lower().split()
+        at = to
+
+
+def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, repeats included, those of a piece of the text at a time."""
+    digest, held, made = xxhash.xxh64_intdigest, [], False
+    for words in words_of(text):
+        words = held + words
+        if len(words) >= size:
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            starts = [0, *(ends[: len(words) - size] + 1).tolist()]
+            yield np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+            made = True
+        held = words[len(words) - size + 1 :] if len(words) >= size else words
+    if held and not made:
+        yield np.array([digest(b" ".join(held), SEED)], np.uint64)
+
+
+def majority(pieces: Iterator[np.ndarray]) -> int:
     """The bits that are set in over half of the hashes, as an unsigned number."""
-    if not len(hashes):
-        return 0
-    counts = np.unpackbits(np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in pieces:
+        for at in range(0, len(hashes), ROWS):
+            part = np.ascontiguousarray(hashes[at : at + ROWS], "<u8")
+            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
 def _signed(values: list[int]) -> pa.Array:
@@ -75,7 +100,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [majority(shingle_hashes(words_of(t.as_py()), shingle)) for t in batch.column(1)]
+            fps = [majority(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), _signed(fps)], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
@@ -151,8 +176,7 @@ def _links(key: np.ndarray, node: np.ndarray, marks: list[np.ndarray], limits: l
             if a != b and forest.join(a, b):
                 from_.append(a)
                 to.append(b)
-    for r in np.flatnonzero(length > SHORT):
-        rest = np.arange(edges[r], edges[r + 1])
+    def search(rest: np.ndarray) -> None:
         while len(rest):
             waiting, rest = [rest[0]], rest[1:]
             while waiting and len(rest):
@@ -164,30 +188,63 @@ def _links(key: np.ndarray, node: np.ndarray, marks: list[np.ndarray], limits: l
                     if b != node[x] and forest.join(int(node[x]), b):
                         from_.append(int(node[x]))
                         to.append(b)
+
+    for r in np.flatnonzero(length > SHORT):
+        run = np.arange(edges[r], edges[r + 1])
+        for part in [run] if len(run) <= SPLIT or len(limits) > 1 else cut_anew(run, marks[0], limits[0][1]):
+            search(part)
     return from_, to
 
 
+def cut_anew(run: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[np.ndarray]:
+    """Parts of a run of one variant such that any two members within the distance share one.
+
+    Members differ by at most one bit in the segment that their variant is of;
+    the bits in which any of them differ from the first make up the rest. These
+    are cut into segments like whole fingerprints are.
+    """
+    fps = fp[run]
+    differing = np.bitwise_or.reduce(fps ^ fps[0])
+    bits = [i for i in range(64) if int(differing) >> i & 1]
+    parts = distance // 2 + 1
+    for segment in (bits[len(bits) * i // parts : len(bits) * (i + 1) // parts] for i in range(parts)):
+        for gone in segment or [None]:
+            mask = np.uint64(sum(1 << i for i in segment if i != gone))
+            key = fps & mask
+            order = np.argsort(key, kind="stable")
+            ends = np.flatnonzero(np.r_[key[order][1:] != key[order][:-1], True]) + 1
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                if b - a > 1:
+                    yield run[order[a:b]]
+
+
 def links(rows: DataFrame, limits: list[tuple[int, int]], partitions: int) -> DataFrame:
     """Links (a, b) between nodes of rows(key, node, marks...) that share a key and pass the limits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held = _Forest(), None
+        forest, parts, waiting, enough = _Forest(), [], 0, ROWS
 
         def out(rows: list[np.ndarray]) -> pa.RecordBatch:
             a, b = _links(rows[0], rows[1], [x.view(np.uint64) for x in rows[2:]], limits, forest)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+        def joined() -> list[np.ndarray]:
+            return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
         for batch in batches:
-            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            if len(held[0]) < ROWS:
+            parts.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            waiting += batch.num_rows
+            if waiting < enough:
                 continue
+            held = joined()
             whole = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on
             if whole:
                 yield out([x[:whole] for x in held])
-                held = [x[whole:].copy() for x in held]
-        if held is not None and len(held[0]):
-            yield out(held)
+            parts = [[x[whole:].copy() for x in held]]
+            waiting -= whole
+            enough = max(ROWS, 2 * waiting)  # a run of many batches is put together a few times, not for each
+        if waiting:
+            yield out(joined())
 
     return rows.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
@@ -196,15 +253,22 @@ def partitions_for(rows: int, each: int = 500_000) -> int:
     return max(8, -(-rows // each))
 
 
+#: Rows that a component's name is copied to, so that the classes of a large one don't meet in one task.
+COPIES = 32
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable) for every document."""
     fps = cut(fingerprints(docs, shingle))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    indexed = classes.select(F.explode(variants(F.col("fp"), distance)).alias("key"), "node", "fp")
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    indexed = classes.select(F.explode(variants(F.col("fp"), distance)).alias("key"), F.col("fp").alias("node"), "fp")
     found = components(links(indexed, [(1, distance)], partitions_for(classes.count() * 64)))
-    labelled = classes.withColumnRenamed("fp", "f").join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-    labelled = labelled.select("f", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(labelled, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", "component_id")
+    joined = cut(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left"))
+    several = joined.where("component is not null")
+    names = several.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    named = several.withColumn("copy", F.pmod(F.xxhash64("fp"), F.lit(COPIES)).cast("int")).join(names, ["component", "copy"]).select("fp", "component_id", "n")
+    labelled = cut(named.unionByName(joined.where("component is null").select("fp", F.col("least").alias("component_id"), "n")))
+    return join_by_key(fps, labelled, "fp", "n", fps.count()).select("doc_id", "fp", "component_id")
 
 
 #: Of ``one_of_each``: a shared part of all shingles of two texts that makes them near copies; least hashes of a band,
@@ -220,7 +284,7 @@ SLOTS, AT_ONCE = 1 << 20, 1024
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
-    return np.unique(shingle_hashes(words_of(text), size))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(x) for x in shingle_hashes(text, size))]))
 
 
 def set_digest(hashes: np.ndarray) -> int:
@@ -332,16 +396,17 @@ def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     sets, so no document goes without a pair of the similarity.
     Rows of equal doc_id stay or go together; null ids stay.
     """
-    rows = cut(sketches(docs, shingle))
-    classes = cut(rows.groupBy("d").agg(F.min("doc_id").alias("node"), *(F.any_value(c).alias(c) for c in ("bands", "k1", "k2"))).where("node is not null"))
+    rows = cut(sketches(docs.select("doc_id", "text"), shingle))
+    classes = cut(rows.groupBy("d").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), *(F.any_value(c).alias(c) for c in ("bands", "k1", "k2"))).where("node is not null"))
     indexed = classes.select(F.explode("bands").alias("key"), F.col("d").alias("node"), "k1", "k2")
     loose = components(links(indexed, [(2, SKETCH_BITS)], partitions_for(classes.count() * BANDS)))
-    members = cut(classes.select("d", "node").join(loose.withColumnRenamed("node", "n"), F.col("d") == F.col("n")).select("component", "d", "node"))
+    members = cut(classes.select("d", "node").join(loose.withColumnRenamed("node", "d"), "d").select("component", "d", "node"))
     texts = members.join(docs.select("doc_id", "text"), F.col("node") == F.col("doc_id"))
-    found = verified(texts, shingle, partitions_for(members.count(), 20_000)).withColumnRenamed("d", "e")
-    labelled = classes.select("d", "node").join(found, F.col("d") == F.col("e"), "left").select(F.col("d").alias("e"), F.coalesce("keeper", "node").alias("keeper"))
-    gone = cut(rows.select("doc_id", "d").join(labelled, F.col("d") == F.col("e")).where("doc_id <> keeper").select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    found = verified(texts, shingle, partitions_for(members.count(), 20_000))
+    labelled = cut(classes.select("d", "node", "n").join(found, "d", "left").select("d", F.coalesce("keeper", "node").alias("keeper"), "n"))
+    gone = fresh("gone", docs)
+    going = join_by_key(rows.select("doc_id", "d"), labelled, "d", "n", rows.count()).where("doc_id <> keeper").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(cut(going), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def digests(docs: DataFrame) -> DataFrame:
