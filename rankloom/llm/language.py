@@ -9,34 +9,38 @@ counts come from forward-backward; the sequences switch languages, being made
 of pieces of labelled documents. A text's language is the one with the largest
 mean posterior over its words, and that mean is the score.
 
-Training reads a sample of labelled documents of bounded size:
-``docs_per_language`` whole documents for each language, chosen by a hash of
-their ids. The model goes to the workers with the task; its features are
-bounded by ``most_features``. Everything else runs over all documents, whole
-texts, without a shuffle.
-
-Defined cases: a text that is null or has no letters is ``und`` with score 0,
-as is every text if no document is labelled. Repeated rows get equal results.
-Very long texts and words are labelled whole (runs of over 40 letters in
-consecutive pieces); forward-backward runs over fixed blocks of words whose
-transition products are combined, so its work is linear.
+Training reads a sample of labelled documents of bounded size: whole documents
+of each language, chosen by a hash of their ids, ``docs_per_language`` and
+``bytes_per_language`` at most, and ``most_bytes`` of all languages; a document
+that alone exceeds a language's bytes is not in the sample. Every feature that
+three of the sample's words have is kept. The model goes to the workers with
+the task. Everything else runs over all documents, whole texts, without a
+shuffle.
+
+Defined cases: a text that is null or has no letters (by Unicode;
+fractions, superscripts and the like are none) is ``und`` with score 0, as is every text
+if no document is labelled. Repeated rows get equal results. Very long texts
+and words are labelled whole (runs of over 40 letters in consecutive pieces);
+forward-backward runs over fixed blocks of words whose transition products are
+combined, so its work is linear, and over a very long text a segment at a time,
+so that its memory is bounded.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words: runs of letters; longer runs (scripts without spaces, joined words) are consecutive words of 40 letters.
-LETTERS = re.compile(r"[^\W\d_]{1,40}")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]{0,39}")
 UNKNOWN = "und"
 BLOCK = 32
 #: Steps after which vectors are scaled anew; weights are clipped so that none vanishes before.
@@ -44,6 +48,8 @@ RESCALE = 4
 FLOOR = 1e-30
 #: Words whose weights a worker keeps, and words in one forward-backward run.
 MOST_WORDS, WORDS_AT_ONCE = 400_000, 200_000
+#: Texts of more characters are labelled by themselves, so many words at a time.
+LONG, SEGMENT = 1 << 20, 20_000
 
 
 def features_of(word: str) -> list[str]:
@@ -101,10 +107,77 @@ class Model:
         rows, lengths = self.look_up(texts)
         return forward_backward(self.table[rows], lengths, np.exp(self.transitions).astype(np.float64)), lengths
 
-
-def forward_backward(e: np.ndarray, lengths: np.ndarray, a: np.ndarray) -> np.ndarray:
+    def chain(self, words: Callable[[], Iterator[str]], segment: int = SEGMENT) -> Iterator[np.ndarray]:
+        """Posteriors of one text's words, a segment at a time. The words are read twice: first for each segment's product of matrices."""
+        a = np.exp(self.transitions).astype(np.float64)
+
+        def emitted() -> Iterator[np.ndarray]:
+            read = words()
+            while held := list(islice(read, segment)):
+                rows, _ = self.look_up([held])
+                yield self.table[rows]
+
+        products = [product_of(e, a) for e in emitted()]
+        behind = [np.ones(len(a))]
+        for m in products[:0:-1]:
+            v = m @ behind[-1]
+            behind.append(v / v.sum())
+        ahead = np.full(len(a), 1.0 / len(a))
+        for e, m, after in zip(emitted(), products, reversed(behind), strict=True):
+            yield forward_backward(e, np.array([len(e)]), a, ahead[None], after[None])
+            ahead = ahead @ m
+            ahead /= ahead.sum()
+
+    def means(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The mean posterior over each text's words, and how many it has."""
+        out, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        group: list[list[str]] = []
+        places: list[int] = []
+
+        def label() -> None:
+            p, lengths = self.posteriors(group)
+            sums = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
+            ends = np.cumsum(lengths)
+            out[places], n[places] = (sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1)[:, None], lengths
+            group.clear()
+            places.clear()
+
+        held = 0
+        for i, t in enumerate(texts):
+            if t and len(t) > LONG:
+                low = t.lower()
+                for p in self.chain(lambda low=low: (m[0] for m in LETTERS.finditer(low))):
+                    out[i] += p.sum(axis=0)
+                    n[i] += len(p)
+                out[i] /= max(1, n[i])
+                continue
+            group.append(LETTERS.findall(t.lower()) if t else [])
+            places.append(i)
+            held += len(group[-1])
+            if held >= WORDS_AT_ONCE:
+                label()
+                held = 0
+        if group:
+            label()
+        return out, n
+
+
+def product_of(e: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The product of transition and emission matrices over words, scaled."""
+    m = a[None] * e[:, None, :].astype(np.float64)
+    while len(m) > 1:
+        if len(m) % 2:
+            m = np.concatenate([m, np.eye(len(a))[None]])
+        m = m[0::2] @ m[1::2]
+        m /= m.max(axis=(1, 2), keepdims=True)
+    return m[0]
+
+
+def forward_backward(e: np.ndarray, lengths: np.ndarray, a: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
     """Posteriors (words, labels) of chains that lie one after another in e.
 
+    ``before`` and ``after`` (chains, labels) are the forward vectors before and
+    the backward vectors behind the chains; without them all labels are alike.
     Chains are cut into blocks of ``BLOCK`` words. A block's product of
     transition and emission matrices carries the forward vector over it, so
     only blocks are walked chain by chain; inside, all blocks move together.
@@ -132,6 +205,10 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, a: np.ndarray) -> np.nd
         whole[ends] = product[ends]
     product = whole
     ahead, behind = np.full((b, k), 1.0 / k), np.ones((b, k))
+    if before is not None:
+        ahead[inside == 0] = before[lengths > 0]
+    if after is not None:
+        behind[inside == blocks[chain] - 1] = after[lengths > 0]
     order = np.argsort(inside, kind="stable")
     bounds = np.searchsorted(inside[order], np.arange(int(blocks.max(initial=0)) + 1))
     for j in range(1, len(bounds) - 1):
@@ -160,12 +237,12 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, a: np.ndarray) -> np.nd
             v /= v.sum(axis=1, keepdims=True)
         ends = size == t
         if ends.any():
-            v[ends] = 1.0
+            v[ends] = behind[ends]
     out = forward.transpose(1, 0, 2)[real]
     return out / out.sum(axis=1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], *, most_features: int = 60_000, sequences: int = 1500, length: int = 64, steps: int = 40, rate: float = 0.25, decay: float = 1e-5, seed: int = 7) -> Model | None:
+def fit(rows: list[tuple[str, str]], *, sequences: int = 1500, length: int = 64, steps: int = 40, rate: float = 0.25, decay: float = 1e-5, seed: int = 7) -> Model | None:
     """A model from (language, text) rows; None if there are none with letters."""
     texts = [(lang, LETTERS.findall(t.lower())) for lang, t in rows]
     texts = [(lang, w) for lang, w in texts if w]
@@ -182,7 +259,7 @@ def fit(rows: list[tuple[str, str]], *, most_features: int = 60_000, sequences:
             if n >= 4:
                 lexicon[w] = lexicon.get(w, 0) | 1 << i
     counted = Counter(f for c in uses for w in c for f in features_of(w))
-    kept = [f for f, n in sorted(counted.items(), key=lambda x: (-x[1], x[0]))[:most_features] if n >= 3]
+    kept = sorted(f for f, n in counted.items() if n >= 3)
     kept += [f"x{b}" for b in sorted({0, *lexicon.values()})]
     k = len(languages)
     model = Model(languages, {f: i for i, f in enumerate(kept)}, lexicon, np.zeros((len(kept), k)), np.zeros((k, k)))
@@ -202,36 +279,11 @@ def fit(rows: list[tuple[str, str]], *, most_features: int = 60_000, sequences:
             words += piece
             gold += [i] * len(piece)
             made += len(piece)
-    distinct: dict[str, int] = {}
-    rows_ = np.array([distinct.setdefault(w, len(distinct)) for w in words])
-    flat, starts = [], [0]
-    for w in distinct:
-        flat += model.ids(w)
-        starts.append(len(flat))
-    flat_, starts_ = np.array(flat, np.int64), np.array(starts, np.int64)
-    owner = np.repeat(np.arange(len(distinct)), np.diff(starts_))
-    lengths = np.full(sequences, length)
-    g = np.array(gold)
-    one = np.zeros((len(g), k))
-    one[np.arange(len(g)), g] = 1
-    inner = np.ones(len(g), bool)
-    inner[::length] = False
-    seen = np.zeros((k, k))
-    np.add.at(seen, (g[:-1][inner[1:]], g[1:][inner[1:]]), 1)
+    batch = Batch(model, words, np.array(gold), sequences)
     params = [model.weights, model.transitions]
     squares = [np.full_like(p, 1e-8) for p in params]
     for _ in range(steps):
-        sums = np.zeros((len(distinct), k))
-        for c in range(k):
-            sums[:, c] = np.bincount(owner, model.weights[flat_, c], len(distinct))
-        e = np.exp(sums - sums.max(axis=1, keepdims=True))
-        a = np.exp(model.transitions)
-        x = e[rows_]
-        p = forward_backward(x, lengths, a)
-        pair = expected_pairs(x.reshape(sequences, length, k), a)
-        per_word = np.stack([np.bincount(rows_, (p - one)[:, c], len(distinct)) for c in range(k)], axis=1)
-        grads = [np.stack([np.bincount(flat_, per_word[owner, c], len(kept)) for c in range(k)], axis=1), pair - seen]
-        for q, s, d in zip(params, squares, grads, strict=True):
+        for q, s, d in zip(params, squares, batch.gradient(*params), strict=True):
             d = d / sequences + decay * q
             s += d * d
             q -= rate * d / np.sqrt(s)
@@ -239,19 +291,47 @@ def fit(rows: list[tuple[str, str]], *, most_features: int = 60_000, sequences:
     return model
 
 
+class Batch:
+    """Labelled sequences of equal length, one after another."""
+
+    def __init__(self, model: Model, words: list[str], gold: np.ndarray, sequences: int) -> None:
+        self.sequences, self.length, self.k = sequences, len(words) // sequences, len(model.languages)
+        distinct: dict[str, int] = {}
+        self.rows = np.array([distinct.setdefault(w, len(distinct)) for w in words])
+        ids = [model.ids(w) for w in distinct]
+        self.n, self.flat = len(ids), np.array([i for x in ids for i in x], np.int64)
+        self.owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        self.gold = gold.reshape(sequences, self.length)
+        self.one = np.eye(self.k)[gold]
+        self.seen = np.zeros((self.k, self.k))
+        np.add.at(self.seen, (self.gold[:, :-1].ravel(), self.gold[:, 1:].ravel()), 1)
+
+    def gradient(self, weights: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the sequences' negative log-likelihood, by weights and transitions: expected counts less those seen."""
+        k = self.k
+        sums = np.stack([np.bincount(self.owner, weights[self.flat, c], self.n) for c in range(k)], axis=1)
+        a = np.exp(transitions)
+        x = np.exp(sums - sums.max(axis=1, keepdims=True))[self.rows]
+        p = forward_backward(x, np.full(self.sequences, self.length), a)
+        excess = np.stack([np.bincount(self.rows, (p - self.one)[:, c], self.n) for c in range(k)], axis=1)
+        # Any label may stand before a sequence; of a labelled one, those that the first label follows.
+        first = (a / a.sum(axis=0)) * np.bincount(self.gold[:, 0], minlength=k)
+        by_weight = np.stack([np.bincount(self.flat, excess[self.owner, c], len(weights)) for c in range(k)], axis=1)
+        return by_weight, expected_pairs(x.reshape(self.sequences, self.length, k), a) - self.seen - first
+
+
 def expected_pairs(x: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Expected label pairs of neighbouring words in chains of equal length (chains, words, labels)."""
+    """Expected label pairs of neighbouring words in chains of equal length (chains, words, labels), and of the label before a chain and its first."""
     n, length, k = x.shape
-    ahead = np.empty((length, n, k))
-    v = np.full((n, k), 1.0 / k)
+    ahead = np.empty((length + 1, n, k))
+    ahead[0] = 1.0 / k
     for t in range(length):
-        v = (v @ a) * x[:, t]
-        v /= v.sum(axis=1, keepdims=True)
-        ahead[t] = v
+        v = (ahead[t] @ a) * x[:, t]
+        ahead[t + 1] = v / v.sum(axis=1, keepdims=True)
     total, v = np.zeros((k, k)), np.ones((n, k))
-    for t in range(length - 1, 0, -1):
+    for t in range(length - 1, -1, -1):
         after = v * x[:, t]
-        joint = ahead[t - 1][:, :, None] * a[None] * after[:, None, :]
+        joint = ahead[t][:, :, None] * a[None] * after[:, None, :]
         total += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         v = after @ a.T
         v /= v.sum(axis=1, keepdims=True)
@@ -262,52 +342,33 @@ def fold(doc_id: Column, folds: int = 3) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def training_rows(docs: DataFrame, docs_per_language: int = 300) -> list[tuple[str, str]]:
-    """A sample of labelled texts, ``docs_per_language`` at most of each language, chosen by a hash of doc_id."""
-    labelled = docs.where("lang is not null and text is not null and doc_id is not null")
+def training_rows(docs: DataFrame, docs_per_language: int = 300, bytes_per_language: int = 4 << 20, most_bytes: int = 64 << 20) -> list[tuple[str, str]]:
+    """A sample of labelled texts of each language, chosen by a hash of doc_id: whole, bounded in number and in bytes."""
+    labelled = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and doc_id is not null")
     draw = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000))
     counts = labelled.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return []
+    room = min(bytes_per_language, most_bytes // len(counts))
     enough = F.coalesce(*(F.when(F.col("lang") == r["lang"], min(1_000_000, 1_000 + int(1.3e6 * docs_per_language / r["count"]))) for r in counts))
     order = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
-    sample = labelled.withColumn("draw", draw).where(F.col("draw") <= enough).withColumn("place", F.row_number().over(order))
-    return sorted((r["lang"], r["text"]) for r in sample.where(F.col("place") <= docs_per_language).select("lang", "text").collect())
-
-
-def _groups(texts: list[str | None]) -> Iterator[list[list[str]]]:
-    """Texts' words, a bounded number of words at a time (or one text)."""
-    group, words = [], 0
-    for t in texts:
-        found = LETTERS.findall(t.lower()) if t else []
-        group.append(found)
-        words += len(found)
-        if words >= WORDS_AT_ONCE:
-            yield group
-            group, words = [], 0
-    if group:
-        yield group
+    sample = labelled.withColumns({"draw": draw, "size": F.octet_length("text")}).where((F.col("draw") <= enough) & (F.col("size") <= room))
+    sample = sample.withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_per_language)
+    sample = sample.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= room)
+    return sorted((r["lang"], r["text"]) for r in sample.select("lang", "text").collect())
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score for every document."""
-    names = [*model.languages] if model else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            languages, scores = [], []
-            for group in _groups(batch.column(1).to_pylist()):
-                if model is None:
-                    languages += [UNKNOWN] * len(group)
-                    scores += [0.0] * len(group)
-                    continue
-                p, lengths = model.posteriors(group)
-                sums = np.concatenate([np.zeros((1, len(names))), np.cumsum(p, axis=0)])
-                ends = np.cumsum(lengths)
-                mean = (sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1)[:, None]
-                best = mean.argmax(axis=1)
-                languages += [names[i] if n else UNKNOWN for i, n in zip(best, lengths, strict=True)]
-                scores += [min(1.0, max(0.0, float(m[i]))) if n else 0.0 for m, i, n in zip(mean, best, lengths, strict=True)]
+            languages, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
+            if model:
+                mean, n = model.means(batch.column(1).to_pylist())
+                for i in np.flatnonzero(n).tolist():
+                    best = int(mean[i].argmax())
+                    languages[i], scores[i] = model.languages[best], min(1.0, max(0.0, float(mean[i, best])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
@@ -320,15 +381,12 @@ def keep_known(docs: DataFrame, docs_per_language: int = 300, least: float = 0.3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep: list[bool] = []
-            for group in _groups(batch.column(at).to_pylist()):
-                if model is None:
-                    keep += [bool(words) for words in group]
-                    continue
-                p, lengths = model.posteriors(group)
-                sums = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
-                ends = np.cumsum(lengths)
-                keep += (((sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1)[:, None]).max(axis=1) >= least).tolist()
+            texts = batch.column(at).to_pylist()
+            if model:
+                mean, n = model.means(texts)
+                keep = ((mean.max(axis=1) >= least) & (n > 0)).tolist()
+            else:
+                keep = [bool(t and LETTERS.search(t)) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -338,10 +396,9 @@ def label_spans(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and spans, the runs of equally labelled words: array of (start, end, lang) in characters."""
 
     def spans(text: str | None) -> list[dict]:
-        found = list(LETTERS.finditer(text or ""))
-        p, _ = model.posteriors([[m[0].lower() for m in found]])
+        labels = (i for p in model.chain(lambda: (m[0].lower() for m in LETTERS.finditer(text or ""))) for i in p.argmax(axis=1).tolist())
         out: list[dict] = []
-        for m, i in zip(found, p.argmax(axis=1), strict=True):
+        for m, i in zip(LETTERS.finditer(text or ""), labels, strict=True):
             if out and out[-1]["lang"] == model.languages[i]:
                 out[-1]["end"] = m.end()
             else:
