@@ -13,7 +13,8 @@ c = 2^-BITS, 0 at least.
 Defined cases: words are lower-cased runs of non-blanks and shingles have five
 words; a text of fewer words is one shingle, and one of none (null, empty,
 blank) is the shingle of no words, so all such texts are alike and nothing
-else is like them. Null and repeated ids keep their rows.
+else is like them. Null and repeated ids keep their rows; ids may be anywhere
+in the range of long.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ BINS, BITS, SHINGLE = 256, 8, 5
 SHIFT = 55
 EMPTY = (1 << SHIFT) - 1
 PROBES = 8
-#: Groups that neighbours are found in; bounds the table that is broadcast.
-MOST_GROUPS = 20_000
+#: Quantiles of the ids, and parts that each is cut into at most; their product bounds the table that is broadcast (some 50 MB).
+QUANTILES, PARTS = 1000, 1000
 
 
 def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
@@ -97,18 +98,46 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", packed(signature(F.coalesce("text", F.lit("")))).alias("fingerprint"))
 
 
+def group_of(docs: DataFrame, rows_per_group: int) -> Column:
+    """A number for each id that never falls as ids grow, for about ``rows_per_group`` rows each; -1 for null ids.
+
+    Ids are cut at their quantiles, so one far id doesn't throw the others
+    together, and evenly between two quantiles. Differences are taken as
+    doubles, which the ends of the long range don't overflow.
+    """
+    n = docs.count()
+    cuts = max(1, min(QUANTILES, n // rows_per_group))
+    parts = max(1, min(PARTS, n // (rows_per_group * cuts)))
+    shares = [i / cuts for i in range(cuts + 1)]
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 10 * QUANTILES)).first()[0]
+    if found is None:
+        return F.lit(-1).cast("long")
+    lows = sorted(set(found))
+    steps, step = [], 1
+    while step < len(lows):
+        steps.append(step)
+        step *= 2
+    bounds = F.lit(lows)
+    # Binary search for the last quantile that isn't above the id.
+    at = F.aggregate(F.lit([*reversed(steps), 0]), F.lit(0), lambda i, k: F.when((i + k < len(lows)) & (F.get(bounds, i + k) <= F.col("doc_id")), i + k).otherwise(i))
+
+    def inside(i: Column) -> Column:
+        low, high = F.get(bounds, i).cast("double"), F.get(bounds, F.least(i + 1, F.lit(len(lows) - 1))).cast("double")
+        share = (F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0))
+        return i.cast("long") * parts + F.greatest(F.lit(0), F.least(F.floor(share * parts), F.lit(parts - 1)))
+
+    return F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(let(at, inside))
+
+
 def with_next(docs: DataFrame, rows_per_group: int = 500) -> DataFrame:
     """docs(doc_id, ...) with struct column ``next``: the row that follows by descending doc_id, the first after the last.
 
-    Ids are cut into equal ranges, ``MOST_GROUPS`` at most. Neighbours are
-    found within a range; the first row of a range also goes, as a copy, to
-    the range that it follows on, so no window spans the table. Only the table
-    of ranges (its size is bounded) is broadcast. Null ids come last.
+    Neighbours are found within a group of ids; the first row of a group also
+    goes, as a copy, to the group that it follows on, so no window spans the
+    table. Only the table of groups is broadcast; ``QUANTILES`` and ``PARTS``
+    bound it. Null ids come last.
     """
-    low, high, n, nulls = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1)), F.count_if(F.isnull("doc_id"))).first()
-    groups = max(1, min(MOST_GROUPS, n // rows_per_group))
-    width = max(1, -(-((high - low + 1) if high is not None else 1) // groups))
-    group = F.coalesce(F.expr(f"(doc_id - {low or 0}L) div {width}L"), F.lit(-1)).cast("long") if n else F.lit(0).cast("long")
+    group = group_of(docs, rows_per_group)
     ends = docs.select("doc_id", group.alias("group")).groupBy("group").agg(F.max("doc_id").alias("first_id"))
     everywhere = Window.partitionBy()
     wanted = F.coalesce(F.lead("group").over(Window.orderBy("group")), F.min("group").over(everywhere))
