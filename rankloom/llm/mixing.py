@@ -10,10 +10,12 @@ in if more than half of it fits, so that a source misses its target by half a
 document at most.
 
 The prefix sum never sorts a whole source in one task: keys fall into buckets
-of about ``rows_per_bucket`` rows, buckets are summed first, and rows are
-sorted within (source, bucket) only.
+of about ``rows_per_bucket`` rows, buckets are summed first (by ``running``, so
+that not even all buckets of a source need meet), and rows are sorted within
+(source, bucket) only.
 
-Defined cases: a null source is a source of its own, last in order. A null or
+Defined cases: a null source is a source of its own, last in order. Rows of
+null ids draw by their source and size. A null or
 empty text has size 0 and is never taken. Repeated rows are rows of their own.
 Null, zero or negative quality weights count as 1. An empty table gives an
 empty result. Other columns of the input are ignored.
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import WORD, cut, hashed
+from rankloom.llm.common import WORD, cut, fresh, hashed, running
 
 SEED = "mix-1"
 #: Weights of labelled documents; all others weigh 1.
@@ -66,15 +68,16 @@ def mix(
     """doc_id, size, source_size, target and the words taken, a row for each document."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) if size is None else size
     quality = F.lit(1.0) if quality is None else quality.cast("double")
-    u = (hashed(seed, F.col("doc_id")).cast("double") + 0.5) / float(1 << 48)
+    # A null id draws by what else is known of its row; equal rows are interchangeable.
+    drawn_by = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(":", F.lit("null"), F.xxhash64(size, "source").cast("string")))
+    u = (hashed(seed, drawn_by).cast("double") + 0.5) / float(1 << 48)
     key = -F.log(u) / F.when(quality > 0, quality).otherwise(1.0)
     rows = cut(docs.select("doc_id", "source", size.cast("long").alias("size"), key.alias("key")))
     targets = source_targets(rows, weights, max_epochs)
-    place = F.floor((1 - F.exp(-F.col("key"))) * F.least(F.ceil(F.col("n") / rows_per_bucket), F.lit(10_000_000)))
+    place = F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("n") / rows_per_bucket))
     dealt = rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", place)
     sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("before"))
+    sums = running(sums, ["source"], "bucket", "in_bucket", "before").select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before")
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -89,9 +92,10 @@ def repeat_by_mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, each as often as the mix takes it. Rows of equal doc_id are taken equally often."""
     rows = with_quality(sized(docs), labels)
     taken = mix(rows, size=F.col("size"), quality=F.col("quality_weight")).where("taken > 0")
-    times = taken.groupBy(F.col("doc_id").alias("of")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
-    joined = docs.join(cut(times), F.col("doc_id").eqNullSafe(F.col("of")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).drop("time")
+    of, times, time = (fresh(name, docs) for name in ("of", "times", "time"))
+    often = taken.groupBy(F.col("doc_id").alias(of)).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias(times))
+    joined = docs.join(cut(often), F.col("doc_id").eqNullSafe(F.col(of)))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(time)).drop(time)
 
 
 def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,14 +8,15 @@ rows differ by one at most.
 
 Neither rank is made by sorting a source, or the table, in one task: rows fall
 into buckets by hash, then by fractional rank, buckets are counted first, and
-rows are sorted within a bucket only. The tables of bucket counts have at most
-``MOST_BUCKETS`` rows a source, whatever the input.
+rows are sorted within a bucket only. Buckets hold ``rows_per_bucket`` rows on
+average at any size, and their counts are summed in two levels by ``running``.
 
 Defined cases: a null source is a source of its own; a null text has 16 bytes
 and the checksum of no bytes; repeated rows are rows of their own, null ids
-hash as empty text. An empty table gives an empty result. Other columns of the
-input are ignored. Equal texts are not held together: rows are dealt, not
-groups.
+are dealt by their text's hash. An empty table gives an empty result. Other
+columns of the input are ignored. Equal texts are not held together: the law
+``rows`` lets shards differ by one row, which a group of more copies than that
+would break.
 """
 
 from __future__ import annotations
@@ -23,10 +24,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import cut, hashed
+from rankloom.llm.common import cut, hashed, running
 
 SEED = "shard-1"
-MOST_BUCKETS = 10_000
 
 
 def deal(docs: DataFrame, shards: int = 40, *, seed: str = SEED, rows_per_bucket: int = 1000) -> DataFrame:
@@ -34,25 +34,24 @@ def deal(docs: DataFrame, shards: int = 40, *, seed: str = SEED, rows_per_bucket
     text = F.coalesce("text", F.lit(""))
     rows = cut(docs.select(
         "doc_id", "source", (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), hashed(seed, F.col("doc_id")).alias("draw")))
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        hashed(seed, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text.cast("binary"))))).alias("draw")))
     total = rows.count()
     per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("source", "s")
-    bucket = F.floor(F.col("draw") / float(1 << 48) * F.least(F.ceil(F.col("n") / rows_per_bucket), F.lit(MOST_BUCKETS)))
+    bucket = F.floor(F.col("draw") / float(1 << 48) * F.ceil(F.col("n") / rows_per_bucket))
     dealt = rows.join(per, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", bucket)
     counts = dealt.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("in_bucket"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("before"))
+    counts = running(counts, ["source"], "bucket", "in_bucket", "before").select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before")
     shuffled = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size", "text_crc32")
     ranked = dealt.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     ranked = ranked.withColumn("rank", F.col("before") + F.row_number().over(shuffled))
     ranked = cut(ranked.select(
         "doc_id", "source", "size", "text_crc32", "draw", ((2 * F.col("rank") - 1) / (2 * F.col("n"))).alias("part"),
         F.xxhash64(F.lit(seed), "source").alias("turn")))
-    cells = max(1, min(MOST_BUCKETS, -(-total // rows_per_bucket)))
+    cells = max(1, -(-total // rows_per_bucket))
     ranked = ranked.withColumn("cell", F.least(F.floor(F.col("part") * cells), F.lit(cells - 1)))
     counts = ranked.groupBy("cell").agg(F.count(F.lit(1)).alias("in_cell"))
-    earlier = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("cell").alias("c"), "in_cell").withColumn("before", F.coalesce(F.sum("in_cell").over(earlier), F.lit(0)))
+    counts = running(counts, [], "cell", "in_cell", "before").select(F.col("cell").alias("c"), "before")
     order = Window.partitionBy("cell").orderBy("part", "turn", "source", "draw", "doc_id", "size", "text_crc32")
     placed = ranked.join(counts, F.col("cell") == F.col("c")).withColumn("at", F.col("before") + F.row_number().over(order) - 1)
     shard = F.expr(f"(at * {shards}L) div {max(total, 1)}L")
