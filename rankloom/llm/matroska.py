@@ -287,21 +287,32 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 def features(parsed: Parsed, payload: bytes) -> str:
-    """What the file shows of its samples: frames, cues, levels."""
+    """What the file shows of its samples: frames, cues, time, levels."""
     samples = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
     crossings = int(np.count_nonzero((samples[1:] < 0) != (samples[:-1] < 0)))
     clusters = set(parsed.clusters)
     indexed = sum(c[2] in clusters for c in parsed.cues)
-    return f"clusters={len(parsed.clusters)} cues={indexed} packets={len(parsed.packets)} samples={len(samples)} sum={int(samples.sum())} energy={int((samples * samples).sum())} crossings={crossings}"
+    return f"clusters={len(parsed.clusters)} cues={indexed} packets={len(parsed.packets)} last_ms={max((p.timestamp for p in parsed.packets), default=0) * parsed.scale // 1_000_000} samples={len(samples)} sum={int(samples.sum())} energy={int((samples * samples).sum())} crossings={crossings}"
 
 
-def _stored(batches: Iterator[pa.RecordBatch], rows_at_once: int = 200) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text) as (doc_id, n_bytes, media), few at a time: files are as large as their texts."""
+def _stored(batches: Iterator[pa.RecordBatch], rows_at_once: int = 200, bytes_at_once: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) as (doc_id, n_bytes, media), a bounded number of bytes (or one text) at a time: files are as large as their texts."""
+
+    def made(ids: list, files: list[tuple[int, bytes]], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([n for n, _ in files], pa.int64()), pa.array([m for _, m in files], pa.binary())], names=["doc_id", "n_bytes", "media"])
+
     for batch in batches:
-        for at in range(0, batch.num_rows, rows_at_once):
-            rows = batch.slice(at, rows_at_once)
-            made = [payload_of(t) for t in rows.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([write(p) for _, p in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        ids, files, held = [], [], 0
+        for i, text in zip(*batch.columns, strict=True):
+            n, payload = payload_of(text.as_py())
+            ids.append(i.as_py())
+            files.append((n, write(payload)))
+            held += n
+            if held >= bytes_at_once or len(ids) >= rows_at_once:
+                yield made(ids, files, batch.column(0).type)
+                ids, files, held = [], [], 0
+        if ids:
+            yield made(ids, files, batch.column(0).type)
 
 
 def store(docs: DataFrame) -> DataFrame:
