@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import cut, shared_dir
+from rankloom.llm.common import cut, join_by_key, remove, shared_dir
 
 SHARED = 100
 MAGIC = b"\x1f\x8b\x08"
@@ -46,6 +46,9 @@ PIECE = 1 << 20
 
 
 def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store of a path, and the path in it. Archives need one that pyarrow knows: a mounted folder, S3 (by any of its schemes), GCS, or HDFS with libhdfs."""
+    if uri.startswith(("s3a://", "s3n://")):
+        uri = "s3" + uri[3:]
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
 
 
@@ -78,10 +81,10 @@ def deduplicated(pages: DataFrame) -> DataFrame:
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    ids = rows.where(F.octet_length("html") >= SHARED).select("page_id", "digest")
-    first = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select(F.col("digest").alias("d"), "first")
-    again = ids.join(first, F.col("digest") == F.col("d")).where(~F.col("page_id").eqNullSafe(F.col("first")))
-    again = again.select(F.col("page_id").alias("p"), "d", F.col("first").alias("refers_to")).distinct()
+    ids = cut(rows.where(F.octet_length("html") >= SHARED).select("page_id", "digest"))
+    first = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    again = join_by_key(ids, first, "digest", "n", ids.count()).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    again = again.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first").alias("refers_to")).distinct()
     return rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p", "d")
 
 
@@ -117,7 +120,7 @@ class _File:
     """Bytes of a file from any offset on, read in pieces and let go of behind."""
 
     def __init__(self, file: pyarrow.NativeFile, at: int) -> None:
-        self.file, self.size, self.start, self.data = file, file.size(), at, b""
+        self.file, self.size, self.start, self.data = file, file.size(), at, bytearray()
 
     def upto(self, end: int) -> None:
         """Hold bytes up to an offset, or to the end of the file."""
@@ -128,7 +131,8 @@ class _File:
 
     def drop(self, at: int) -> None:
         if at - self.start > PIECE:
-            self.data, self.start = self.data[at - self.start :], at
+            del self.data[: at - self.start]
+            self.start = at
 
     def find(self, what: bytes, at: int, end: int) -> int:
         """Where ``what`` begins in [at, end), or -1."""
@@ -148,7 +152,7 @@ class _File:
         try:
             while not unpack.eof:
                 self.upto(pos + 65536)
-                piece = self.data[pos - self.start : pos - self.start + 65536]
+                piece = bytes(self.data[pos - self.start : pos - self.start + 65536])
                 if not piece:
                     return None
                 out.append(unpack.decompress(piece))
@@ -163,7 +167,7 @@ class _File:
         end = pos - len(unpack.unused_data)
         self.upto(end + len(MAGIC))
         behind = self.data[end - self.start : end - self.start + len(MAGIC)]
-        return (b"".join(out), end) if started and behind in (b"", MAGIC) else None
+        return (b"".join(out), end) if started and bytes(behind) in (b"", MAGIC) else None
 
 
 @dataclass(frozen=True, slots=True)
@@ -232,12 +236,6 @@ def read(files: DataFrame, size: int = SPLIT) -> DataFrame:
     return spread.repartition("path", "start").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long, url string")
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def round_trip(pages: DataFrame) -> DataFrame:
     """The digest rows: every page written to archives in the shared folder and read back from them."""
     spark = pages.sparkSession
