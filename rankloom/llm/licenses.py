@@ -11,9 +11,10 @@ alignment of the whole template to consecutive words can't be bettered; any
 other (repeated notices have no unique words) gives way to the exact search
 over all stretches, whose work is stretch by template, without a limit.
 
-A template is only aligned if the text holds enough of its words: the multiset
-intersection is an upper bound of what any alignment can match, so skipping
-below the threshold loses nothing. Templates go with the task (they are a
+A template is only aligned if the text holds enough of its words: how many of
+its distinct words there are, and then the multiset intersection, are upper
+bounds of what any alignment can match, so skipping below the threshold loses
+nothing. Templates go with the task (they are a
 fixed, small table); documents are scanned whole and without a shuffle.
 
 Every template at or over the threshold is told with its best stretch, the best
@@ -21,7 +22,8 @@ template first; the columns of the single license are those of the first.
 
 Defined cases: null and empty texts, and texts under every threshold, get no
 license: license null, coverage 0, span null, no licenses. Ties go to the
-longer template, then the name. Repeated rows get equal results.
+longer template, then the name; a license whose words another holds in order is
+told beside it. Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -34,18 +36,8 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: License notices by SPDX identifier (fixed values).
-TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-}
+from rankloom.llm.license_texts import TEMPLATES
+
 THRESHOLD = 0.8
 NONE = (None, 0.0, 0, None, None)
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -184,17 +176,18 @@ def densest(pairs: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
 class Scanner:
     def __init__(self, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> None:
         self.threshold = threshold
-        self.templates = [(name, words, Counter(words)) for name, t in sorted((templates or TEMPLATES).items()) if (words := words_of(t)[0])]
-        self.vocabulary = {w for _, words, _ in self.templates for w in words}
+        self.templates = [(name, words, counts, counts.keys()) for name, t in sorted((templates or TEMPLATES).items()) if (counts := Counter(words := words_of(t)[0]))]
+        self.vocabulary = {w for _, words, _, _ in self.templates for w in words}
 
     def every(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """All licenses, the best first: name, coverage, words matched, and the stretch in characters."""
         out: list[tuple[int, tuple]] = []
         words, starts, ends = words_of(text or "")
         here = Counter(w for w in words if w in self.vocabulary)
-        for name, template, counts in self.templates:
+        for name, template, counts, distinct in self.templates:
             need = self.threshold * len(template)
-            if sum(min(n, here[w]) for w, n in counts.items()) < need:
+            # A distinct word that the text lacks is one match less at least.
+            if len(template) - len(distinct) + len(distinct & here.keys()) < need or sum(min(n, here[w]) for w, n in counts.items()) < need:
                 continue
             best, span = 0, (0, 0)
             for low, high in self.windows(words, counts, len(template), need):
