@@ -11,8 +11,14 @@ state, its origin, and for every cut arc the rank of its gadget. A transition
 looks the arc up along this chain, once; the answer stays in a table.
 
 A token sequence is accepted if it is what the merges make of its bytes, so
-each prefix of a word has one accepted path. Encoding walks the table from the
-start state, longest label first, and never tries a byte position twice.
+each prefix of a word has one accepted path. A merge whose parts no accepted
+path has side by side gets no gadget, and its label no arc. Files whose merges
+use labels before they are made, or make a label twice, are refused (training
+doesn't make them). Encoding walks the
+table from the start state, longest label first; where a word's accepted path
+takes a shorter label, the walk turns back. A position that it turned back from
+is never tried again, so it makes at most one step for each position and label
+that fits there: length of the word times length of the longest label.
 Decoding emits the bytes of the arcs' labels.
 
 Defined cases: null text is empty, and empty text has no tokens. Special tokens
@@ -26,6 +32,7 @@ import gc
 import hashlib
 import json
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -62,16 +69,18 @@ class Automaton:
         self.labels = {i: bytes(letters[c] for c in t) for t, i in vocab.items() if t not in self.specials}
         self.labels |= {i: t.encode() for t, i in self.specials.items()}
         self.ids = {t: i for i, t in self.labels.items() if t.decode("utf-8", "replace") not in self.specials}
-        #: Labels by their bytes: a dict for each byte, the label itself at -1.
+        self._compile([(vocab[a], vocab[b], vocab[a + b]) for a, b in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])])
+        #: Labels that an arc has, by their bytes: a dict for each byte, the label itself at -1.
         self.trie: dict = {}
         for t, i in self.ids.items():
+            if len(t) > 1 and i not in self.made:
+                continue
             node = self.trie
             for byte in t:
                 node = node.setdefault(byte, {})
             node[-1] = i
         self.longest = max(map(len, self.ids), default=1)
         self.length = {i: len(t) for t, i in self.ids.items()}
-        self._compile([(vocab[a], vocab[b], vocab[a + b]) for a, b in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])])
         self.arcs: dict[int, int] = {}
         self.words = _Words(self)
         import regex
@@ -87,9 +96,17 @@ class Automaton:
         self.cuts: dict[tuple[int, int], int] = {}  # (owner, label): rank
         self.owner: list[int] = [-1]
         self.base: list[int] = [self.START]  # what the owner entered before its first gadget
+        later = Counter(ab for _, _, ab in merges)
         for rank, (a, b, ab) in enumerate(merges):
+            later[ab] -= 1
             entered = self.enters[b]
             old = self.enters[a]
+            if any(len(self.labels[x]) > 1 and x not in self.made for x in (a, b)) or not self.has_arc(old, b):
+                if any(x not in self.made and later[x] > 0 for x in (a, b)):
+                    raise ValueError(f"merge {rank} needs a label that a later merge makes")
+                continue  # earlier merges never leave a and b side by side
+            if ab in self.made:
+                raise ValueError(f"merge {rank} makes a label that an earlier merge makes of other parts")
             state = len(self.owner)
             self.clone_of.append(old)
             self.without.append((b, rank))
@@ -97,9 +114,8 @@ class Automaton:
             self.owner.append(a)
             self.cuts[a, b] = rank
             self.enters[a] = state
-            if ab not in self.made:
-                self.made[ab] = (a, rank)
-                self.enters[ab] = entered
+            self.made[ab] = (a, rank)
+            self.enters[ab] = entered
 
     def has_arc(self, state: int, label: int) -> bool:
         """Whether the label leaves the state: no gadget along the chain of clones cut it or, while it was what the label starts with, a part of it."""
