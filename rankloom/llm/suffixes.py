@@ -23,8 +23,16 @@ sorted, each where its anchor's other places are:
    verified byte by byte. Each run of equal strings yields its smallest
    document, and chunks learn which of their strings repeat it.
 
+What doesn't need the sort, and why its results are the same: a copy of a
+smaller document is covered by that document's strings from end to end, so
+nothing is left to compare. Equal surroundings have equal suffixes, so one of
+them is sorted for all. A hot anchor's strings are dealt out whole, and a string
+that is as long as LENGTH is the only suffix of it that counts: those of equal
+hash are verified by their bytes, and others differ.
+
 Memory: a chunk and a range hold a few tens of MB; a longer document is read in
 blocks. The shuffled text is exchanged once and read by all three steps.
+Numbers travel as planes of equal bytes (all low bytes first), which compress.
 
 Defined cases: null and short texts lose nothing; a null doc_id neither
 removes nor loses bytes; rows of equal doc_id don't count against each other.
@@ -41,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import text_bytes
+from rankloom.llm.common import cut, join_by_key, text_bytes
 
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
@@ -131,9 +139,9 @@ class Chunk:
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
-    """Arrays behind a head of five bytes each (kind and length): with many ranges a chunk sends few numbers to each."""
+    """Arrays in planes behind a head of five bytes each (kind and length): with many ranges a chunk sends few numbers to each."""
     head = bytes([len(arrays)]) + b"".join(a.dtype.char.encode() + len(a).to_bytes(4, "little") for a in arrays)
-    return head + b"".join(a.tobytes() for a in arrays)
+    return head + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays)
 
 
 def _arrays(blob: bytes) -> list[np.ndarray]:
@@ -141,7 +149,8 @@ def _arrays(blob: bytes) -> list[np.ndarray]:
     out, at = [], 1 + 5 * blob[0]
     for k in range(1, at, 5):
         kind, n = np.dtype(chr(blob[k])), int.from_bytes(blob[k + 1 : k + 5], "little")
-        out.append(np.frombuffer(blob, kind, n, at))
+        planes = np.frombuffer(blob, np.uint8, n * kind.itemsize, at)
+        out.append(np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).reshape(-1).view(kind) if n else np.zeros(0, kind))
         at += n * kind.itemsize
     return out
 
@@ -288,7 +297,7 @@ def send_surroundings(ranges: int) -> Callable[[tuple, pa.Table, pa.Table], pa.T
         item, later = np.empty(len(order), np.uint32), np.empty(len(order), bool)
         item[order] = place[group]
         later[order] = doc[order] > doc[first][group]
-        rows = [(number % ranges, number, STATE, _blob(part, copy, start, item, later, (np.minimum(left, length - LENGTH) + 1).astype(np.uint8)))]
+        rows = [(number % ranges, number, STATE, _blob(part, copy, np.diff(start, prepend=0).astype(np.int32), item, later, (np.minimum(left, length - LENGTH) + 1).astype(np.uint8)))]
         first = first[by]
         for r, a, b in _by_range(range_of(k[first], ranges)):
             i = first[a:b]
@@ -458,6 +467,7 @@ def covered(chunk: Chunk, state: tuple, masks: np.ndarray) -> list[np.ndarray]:
     """For every document of a chunk, True for each byte to remove."""
     part, copy, start, item, later, n = state
     chunk.lay_out(part)
+    start = np.cumsum(start, dtype=np.int64)
     change = np.zeros(len(chunk.data) + LENGTH + 1, np.int32)
     if len(start):
         bits = np.where(later, np.uint32((1 << WINDOW) - 1), masks[item])
@@ -483,11 +493,12 @@ def cut_out(docs: DataFrame, finish: Callable[[Chunk, pa.Table, list[np.ndarray]
     size = text_bytes(docs)
     chunks, ranges = max(24, -(-size // CHUNK)), max(12, -(-size // RANGE))
     body = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select("doc_id", body.alias("body"), *keep, F.pmod(F.xxhash64(F.lit("chunk"), "doc_id"), F.lit(chunks)).cast("int").alias("chunk"))
+    # Rows of one id, or of none, are dealt out by their texts as well.
+    rows = docs.select("doc_id", body.alias("body"), *keep, F.pmod(F.xxhash64(F.lit("chunk"), "doc_id", body), F.lit(chunks)).cast("int").alias("chunk"))
     placed = rows.repartition(max(12, chunks // 4), "chunk")
-    ids = rows.where("doc_id is not null").select("doc_id", "chunk", F.unhex(F.sha2("body", 256)).alias("digest"))
-    first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select(F.col("digest").alias("d"), "first")
-    copies = ids.join(first, F.col("digest") == F.col("d")).where("doc_id > first")
+    ids = cut(rows.where("doc_id is not null").select("doc_id", "chunk", F.unhex(F.sha2("body", 256)).alias("digest")))
+    first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("last > first").drop("last")
+    copies = join_by_key(ids, first, "digest", "n", ids.count()).where("doc_id > first")
     back = copies.select(F.col("chunk").alias("home"), F.lit(COPY).alias("kind"), F.col("doc_id").alias("r"), F.col("digest").alias("blob"))
 
     def end(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
@@ -532,6 +543,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             out["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
         return pa.table({c: out[c] for c in ("doc_id", "text", *names)})
 
-    renamed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"kept_{c}") for c in names))
+    renamed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{c}`").alias(f"kept_{c}") for c in names))
     schema = "doc_id long, text string" + "".join(f", `{c}` {'long' if c == 'n_chars' else kinds[c]}" for c in names)
     return cut_out(renamed, finish, schema, tuple(f"kept_{c}" for c in names)).select(*docs.columns)
