@@ -53,7 +53,8 @@ def stats(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def chunk(spark: SparkSession, args: argparse.Namespace) -> int:
-    chunking.chunk_documents(readers.corpus(spark, args.corpus), args.budget, args.overlap).write.mode("overwrite").parquet(args.out)
+    count = chunking.exact(args.tokenizer) if args.tokenizer else chunking.approximate
+    chunking.chunk_documents(readers.corpus(spark, args.corpus), args.budget, args.overlap, count).write.mode("overwrite").parquet(args.out)
     show(chunking.chunk_stats(spark.read.parquet(args.out)))
     return 0
 
@@ -76,6 +77,7 @@ def smoke(spark: SparkSession, args: argparse.Namespace) -> int:
     for system in runs.known(args.systems.split(",")):
         r = runs.source_found(runs.hits(system, at, asked, 5), at, asked).agg(F.count_if("found"), F.count(F.lit(1))).first()
         print(f"{system}: {r[0]} of {r[1]} questions have a source document among the first 5 hits")
+    print("ms a question by stage: " + ", ".join(f"{k} {v:.1f}" for k, v in runs.stage_ms(at, asked).items()))
     return 0
 
 
@@ -151,7 +153,7 @@ def parser() -> argparse.ArgumentParser:
     everything = ",".join(runs.SYSTEMS)
     add(fetch, "listing", "folder", verify=False)
     add(stats, "corpus", top=10)
-    add(chunk, "corpus", "out", budget=512, overlap=64)
+    add(chunk, "corpus", "out", budget=512, overlap=64, tokenizer=None)
     add(index, "chunks", "out")
     add(search, "index", "system", "question", k=5)
     add(smoke, "index", "golden", "gold", systems=everything)

@@ -17,6 +17,7 @@ CLAIM_STOPWORDS = tuple(
     "the to use used using with when what which while you your not no than then them they this "
     "these those be been being will would should could may might there here also".split()
 )
+# Fixed value: what a configuration key looks like.
 CONFIG_KEY = r"spark\.[a-zA-Z0-9._]+[a-zA-Z0-9]"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 

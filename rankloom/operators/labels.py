@@ -81,6 +81,13 @@ def fixed_windows(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFr
     return rows.select("id", "ord", F.array_join("part", " ").alias("text"), F.size("part").alias("n_tokens"))
 
 
+def whole_documents(docs: DataFrame) -> DataFrame:
+    """id, ord, text, n_tokens: every document with words as one chunk, its words joined by single blanks."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("id", words.alias("w")).where(F.size("w") > 0)
+    return rows.select("id", F.lit(0).alias("ord"), F.array_join("w", " ").alias("text"), F.size("w").alias("n_tokens"))
+
+
 def table_rows(pages: DataFrame) -> DataFrame:
     """id, ord, row, is_header of the HTML table rows in a text."""
     rows = pages.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?is)<tr\b.*?</tr>"), F.lit(0))).alias("ord", "row"))

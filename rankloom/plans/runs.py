@@ -15,6 +15,7 @@ from rankloom.functions import text as T
 from rankloom.operators import evaluation as E
 from rankloom.operators import index as I
 from rankloom.operators import retrieval as R
+from rankloom.sources.stored import exists
 from rankloom.streaming.jobs import append_results
 
 SYSTEMS = ("dense", "bm25", "fused", "rerank")
@@ -68,7 +69,8 @@ def results_of(system: str, found: DataFrame, index: I.Index, questions: DataFra
 def run(index: I.Index, questions: DataFrame, out: str, systems: Sequence[str] = SYSTEMS, *, budget: float | None = None, encode: I.Encoder = I.stand_in, scorer: R.PairScorer | None = None) -> int:
     """Evaluate systems one after another over the questions that ``out`` has no results of; returns how many rows are new.
 
-    No system starts once ``budget`` seconds are over; what is written stays
+    One question that isn't scored runs through each system first, so that
+    times hold neither model loads nor the compilation of code. No system starts once ``budget`` seconds are over; what is written stays
     and another call goes on. ``seconds`` is a system's time for its whole
     batch, divided by the questions in it.
     """
@@ -80,6 +82,7 @@ def run(index: I.Index, questions: DataFrame, out: str, systems: Sequence[str] =
         todo = questions.join(todo, "qid", "left_semi").persist()
         n = todo.count()
         if n:
+            warm_up([system], index, encode=encode, scorer=scorer)
             start = time.monotonic()
             found = hits(system, index, todo, encode=encode, scorer=scorer).persist()
             found.count()
@@ -90,9 +93,33 @@ def run(index: I.Index, questions: DataFrame, out: str, systems: Sequence[str] =
     return written
 
 
-def exists(spark, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+WARM_UP = "a question that loads models and compiles plans and that nobody scores"
+
+
+def warm_up(systems: Sequence[str], index: I.Index, *, encode: I.Encoder = I.stand_in, scorer: R.PairScorer | None = None) -> None:
+    """Run one question through each system and drop the answer; a BM25 run touches neither vectors nor models."""
+    asked = index.spark.createDataFrame([("warm-up", WARM_UP)], "qid string, text string")
+    for system in known(systems):
+        hits(system, index, asked, 1, encode=encode, scorer=scorer).write.format("noop").mode("overwrite").save()
+
+
+def stage_ms(index: I.Index, questions: DataFrame, k: int = DEPTH, *, pool: int = POOL, encode: I.Encoder = I.stand_in, scorer: R.PairScorer | None = None) -> dict[str, float]:
+    """Milliseconds a question of each stage of the whole pipeline: dense, bm25, fuse, rerank; each stage reads what the one before has made."""
+    warm_up(["rerank"], index, encode=encode, scorer=scorer)
+    n, took, held = max(1, questions.count()), {}, []
+
+    def timed(stage: str, made: DataFrame) -> DataFrame:
+        start = time.monotonic()
+        held.append(made.persist())
+        made.count()
+        took[stage] = (time.monotonic() - start) * 1000 / n
+        return made
+
+    lists = [timed("dense", I.dense(index, questions, pool, encode)), timed("bm25", I.bm25(index, questions, pool))]
+    timed("rerank", R.rerank(timed("fuse", R.fuse(lists, pool)), questions, index.texts, k, scorer))
+    for df in held:
+        df.unpersist()
+    return took
 
 
 def recorded(spark, out: str) -> DataFrame:
@@ -107,8 +134,10 @@ def source_found(found: DataFrame, index: I.Index, questions: DataFrame, k: int
 
 
 def in_order(summary: DataFrame) -> list:
-    """A summary's rows, one for each system, in the systems' order."""
-    return sorted(summary.collect(), key=lambda r: (SYSTEMS.index(r["system"]) if r["system"] in SYSTEMS else len(SYSTEMS), r["system"]))
+    """A summary's rows, one for each system, in the systems' order; the mean of nothing is an error."""
+    if not (rows := summary.collect()):
+        raise ValueError("no results: nothing to average")
+    return sorted(rows, key=lambda r: (SYSTEMS.index(r["system"]) if r["system"] in SYSTEMS else len(SYSTEMS), r["system"]))
 
 
 def report(results: DataFrame, n_questions: int) -> list[str]:
@@ -142,8 +171,6 @@ def write_baseline(results: DataFrame, n_questions: int, note: str, path: str) -
     if not note.strip():
         raise ValueError("a baseline needs a note that says why it moved")
     stats = {r["system"]: {k: v for k, v in r.asDict().items() if k != "system"} for r in in_order(E.summarise(results))}
-    if not stats:
-        raise ValueError("no results")
     if partial := {s: v["n"] for s, v in stats.items() if v["n"] != n_questions}:
         raise ValueError(f"partial runs can't be a baseline: {partial}, expected {n_questions} questions")
     payload = {"note": note, "commit": commit(), "questions": n_questions, "systems": stats}
@@ -174,6 +201,6 @@ def check(results: DataFrame, baseline: DataFrame, systems: Sequence[str] | None
 
 def significance(results: DataFrame, a: str | None = None, b: str | None = None, reps: int = 10_000, seed: int = 0) -> DataFrame:
     """a, b, metric with difference, interval, exact p, its floor, questions moved and the decision."""
-    diffs = E.paired(E.per_question(results), a, b).persist()
+    diffs = E.paired(E.per_question(results), a, b)
     rows = E.compare(diffs).join(E.bootstrap(diffs, reps, seed=seed), ["a", "b", "metric"])
     return rows.withColumn("decision", E.decided(F.col("p_floor"), F.col("ci_low"), F.col("ci_high")))

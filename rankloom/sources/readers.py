@@ -44,7 +44,7 @@ def json_lines_strict(spark: SparkSession, path: str, schema: str) -> tuple[Data
 def corpus(spark: SparkSession, path: str, documentation_only: bool = True) -> DataFrame:
     """name, text of a folder of Markdown files; bytes that aren't UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("text"))
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return files.where(T.is_documentation(F.col("name"))) if documentation_only else files
 
 

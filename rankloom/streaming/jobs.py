@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators.retrieval import hashed_vector
+from rankloom.sources.stored import exists
 
 
 def embed_new(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, files_at_once: int = 100, encode: Callable[[DataFrame], DataFrame] | None = None) -> None:
@@ -20,11 +21,8 @@ def embed_new(spark: SparkSession, source: str, schema: str, sink: str, checkpoi
 
     def write(batch: DataFrame, _: int) -> None:
         new = batch.dropDuplicates(["id"])
-        try:
+        if exists(spark, sink):
             new = new.join(spark.read.parquet(sink).select("id"), "id", "left_anti")
-        except Exception as e:  # the sink isn't there before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         encode(new).write.mode("append").parquet(sink)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(source)
@@ -32,9 +30,9 @@ def embed_new(spark: SparkSession, source: str, schema: str, sink: str, checkpoi
 
 
 def append_results(new: DataFrame, sink: str) -> None:
-    """Append results whose (system, qid) the sink doesn't have."""
-    spark = new.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        new = new.join(spark.read.parquet(sink).select("system", "qid"), ["system", "qid"], "left_anti")
+    """Append results whose (system, qid) the sink doesn't have; of several rows for one, the least of all columns."""
+    spark, key = new.sparkSession, ["system", "qid"]
+    new = new.groupBy(*key).agg(F.min(F.struct(*new.columns)).alias("row")).select("row.*")
+    if exists(spark, sink):
+        new = new.join(spark.read.parquet(sink).select(*key), key, "left_anti")
     new.write.mode("append").parquet(sink)
