@@ -80,8 +80,17 @@ def chunk_id(doc: Column, ordinal: Column) -> Column:
     return F.format_string("%s#%04d", doc, ordinal)
 
 
+def thousandths(p: Column) -> Column:
+    """p in thousandths, rounded by its exact value and ties to even, as printf does; Java's formats round the shortest decimal instead."""
+    x, c = p * 1000.0, p * 134217729.0
+    high = c - (c - p)
+    rest = (high * 1000.0 - x) + (p - high) * 1000.0  # what the product x lacks
+    tie = (x - F.floor(x)) == 0.5
+    return F.when(tie & (rest < 0), F.floor(x).cast("double")).when(tie & (rest > 0), F.ceil(x).cast("double")).otherwise(F.rint(x)) / 1000.0
+
+
 def p_value_text(p: Column) -> Column:
-    return F.when(p.isNull(), "n/a").when(p < 0.001, "<.001").otherwise(F.format_string("%.3f", p))
+    return F.when(p.isNull(), "n/a").when(p < 0.001, "<.001").otherwise(F.format_string("%.3f", thousandths(p)))
 
 
 def is_documentation(name: Column) -> Column:

@@ -1,6 +1,7 @@
 """A retrieval index as Parquet tables: texts, postings, corpus statistics, vectors.
 
-Postings lie in ranges of (term, id), sorted, so that a search skips the row
+Postings hold what each adds to a score, so a search is one join and a sum.
+They lie in ranges of (term, id), sorted, so that a search skips the row
 groups without a term that is asked for, and a term of very many documents is
 spread over several files. Vectors are keyed by id, never by position. An index
 is read lazily: a BM25 search doesn't touch vectors.
@@ -56,16 +57,19 @@ def build(chunks: DataFrame, folder: str, encode: Encoder = stand_in) -> Index:
     chunks.write.mode("overwrite").parquet(f"{folder}/texts")
     tokenized = R.lengths(index.texts)
     R.corpus_stats(tokenized).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
-    R.postings(tokenized).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+    postings_of(tokenized, index.stats).write.mode("overwrite").parquet(f"{folder}/postings")
     encode(index.texts.select("id", "text")).write.mode("overwrite").parquet(f"{folder}/vectors")
     return index
 
 
+def postings_of(tokenized: DataFrame, stats: DataFrame) -> DataFrame:
+    """term, id, weight, as an index keeps them."""
+    return R.weighted(R.postings(tokenized), stats).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+
+
 def bm25(index: Index, questions: DataFrame, k: int = 10) -> DataFrame:
     """qid, id, rank, score from stored postings."""
-    asked = R.question_terms(questions)
-    posted = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
-    return R.score_postings(posted, index.stats, asked, k)
+    return R.score_weights(index.postings, R.question_terms(questions), k)
 
 
 def dense(index: Index, questions: DataFrame, k: int = 10, encode: Encoder = stand_in, prefix: str = R.QUERY_PREFIX) -> DataFrame:

@@ -29,6 +29,11 @@ def ordered_sum(position: str, value: str) -> Column:
     return F.aggregate(F.array_sort(F.collect_list(F.struct(position, value))), F.lit(0.0), lambda a, x: a + x[value])
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles below 2^18 in fixed point of 2^-44: the same however rows are dealt, and partial sums before the shuffle."""
+    return F.sum(F.rint(value * F.lit(float(1 << 44))).cast("long")) / F.lit(float(1 << 44))
+
+
 def lengths(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
     return docs.select(F.col(id_).alias("id"), T.tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
 
@@ -65,25 +70,40 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
     return score_postings(posted, corpus_stats(tokenized), asked, k)
 
 
-def score_postings(posted: DataFrame, stats: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """qid, id, rank, score from the postings(id, dl, term, tf) of asked(qid, pos, term) and the corpus's one row of statistics."""
+def weighted(posted: DataFrame, stats: DataFrame) -> DataFrame:
+    """term, id, weight: what a posting(id, dl, term, tf) adds to the score of each question that asks for its term; stats has one row."""
     per_term = document_frequency(posted).join(F.broadcast(stats)).select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
-    scored = posted.join(per_term, "term").join(asked, "term")
     part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    sums = scored.select("qid", "id", "pos", part.alias("c")).groupBy("qid", "id").agg(ordered_sum("pos", "c").alias("score"), F.min("pos").alias("first"))
+    return posted.join(per_term, "term").select("term", "id", part.alias("weight"))
+
+
+def score_postings(posted: DataFrame, stats: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """qid, id, rank, score from the postings(id, dl, term, tf) of asked(qid, pos, term) and the corpus's one row of statistics."""
+    return score_weights(weighted(posted, stats), asked, k)
+
+
+def score_weights(weights: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """qid, id, rank, score: the sum of weights(term, id, weight) over a question's terms; ties by the first term that a document has, then its id."""
+    sums = weights.join(asked, "term").groupBy("qid", "id").agg(exact_sum(F.col("weight")).alias("score"), F.min("pos").alias("first"))
     return top(sums, ["qid"], [F.round("score", 9).desc(), F.col("first"), F.col("id")], k).select("qid", "id", "rank", "score")
 
 
 def term_overlap(docs: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
     """A plain second system: documents by the number of a question's distinct terms that they have."""
+    return overlap_of(lengths(docs).select("id", F.explode(F.array_distinct("tokens")).alias("term")), questions, k)
+
+
+def overlap_of(has: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """The same from has(id, term), a row for each distinct term of a document."""
     asked = question_terms(questions).select("qid", "term").distinct()
-    has = lengths(docs).select("id", F.explode(F.array_distinct("tokens")).alias("term"))
     sums = has.join(asked, "term").groupBy("qid", "id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     return top(sums, ["qid"], [F.col("score").desc(), F.col("id")], k).select("qid", "id", "rank", "score")
 
 
 #: Questions whose matrix goes to a task at once.
 MOST_QUESTIONS = 20_000
+#: Questions whose scores with a batch of vectors are in memory at once.
+AT_ONCE = 256
 
 
 def _question_blocks(questions: DataFrame) -> Iterator[list]:
@@ -109,20 +129,22 @@ def dense(vectors: DataFrame, questions: DataFrame, k: int = 10, exclude_self: b
 
     def scores_of(rows: list) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         ids = [r["qid"] for r in rows]
+        asked = np.array(ids, None if ids and not isinstance(ids[0], str) else object)
         matrix = np.array([r["vec"] for r in rows], np.float64)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if not len(batch) or not ids:
                     continue
-                scores = np.stack(batch["vec"].to_list()).astype(np.float64) @ matrix.T
+                vectors_ = np.stack(batch["vec"].to_list()).astype(np.float64)
                 keep = min(len(batch), k + 1 + int(exclude_self))
-                # Rounded scores decide and ids break ties, here as in the final rank.
-                for j, qid in enumerate(ids):
-                    s = np.round(scores[:, j], 9)
-                    least = np.partition(s, len(s) - keep)[len(s) - keep]
-                    at = np.flatnonzero(s >= least)
-                    yield pd.DataFrame({"qid": qid, "id": batch["id"].to_numpy()[at], "score": scores[at, j]})
+                for low in range(0, len(ids), AT_ONCE):
+                    scores = vectors_ @ matrix[low : low + AT_ONCE].T
+                    # Rounded scores decide and ids break ties, here as in the final rank; all that tie with the last stay.
+                    rounded = np.round(scores, 9)
+                    least = np.partition(rounded, len(batch) - keep, axis=0)[len(batch) - keep]
+                    row, question = np.nonzero(rounded >= least)
+                    yield pd.DataFrame({"qid": asked[low + question], "id": batch["id"].to_numpy()[row], "score": scores[row, question]})
 
         return run
 
@@ -185,9 +207,21 @@ def rerank(pool: DataFrame, questions: DataFrame, texts: DataFrame, k: int = 5,
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, even where ``body`` uses it in inner lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hashed_vector(text: Column, dims: int = 64) -> Column:
     """The stand-in encoder: signed feature hashing of tokens, scaled to length 1."""
     cells = F.transform(T.tokens(text), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(cells, F.lit(0.0), lambda a, h: a + F.when(F.pmod(h, F.lit(dims)) == i, F.when(F.pmod(F.floor(h / dims), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    # A token's dimension and sign in one number, so that the sums compare numbers only.
+    marks = F.transform(cells, lambda h: (F.pmod(h, F.lit(dims)) * 2 + F.pmod(F.floor(h / dims), F.lit(2))).cast("int"))
+
+    def sums(m: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.size(F.filter(m, lambda x: x == 2 * i)) - F.size(F.filter(m, lambda x: x == 2 * i + 1))).cast("double"))
+
+    def scaled(s: Column) -> Column:
+        return _once(F.sqrt(F.aggregate(s, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(s, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+
+    return _once(marks, lambda m: _once(sums(m), scaled))

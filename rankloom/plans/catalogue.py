@@ -2,19 +2,30 @@
 
 The corpus is ``documents``, the questions are ``benchmark``, and a question's
 gold documents are those that contain its text. Three systems are evaluated:
-BM25, plain term overlap, and their reciprocal rank fusion.
+BM25, plain term overlap, and their reciprocal rank fusion; and the four of an
+evaluation run: dense, bm25, fused, rerank (with the stand-in encoder and pair
+scorer).
+
+Searches read postings and vectors, and evaluations results, that are made once
+for a state of the tables and kept in the shared folder (``stored``), as a
+search engine keeps its index.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
-from rankloom.operators import chunking, evaluation, labels, retrieval
+from rankloom.operators import chunking, evaluation, index, labels, retrieval
+from rankloom.plans import runs
+from rankloom.sources import readers
 from rankloom.sources.readers import manifest, table
+from rankloom.sources.stored import shared_dir, stored
+from rankloom.streaming.jobs import append_results
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL: dict[str, Query] = {}
@@ -50,8 +61,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made once of documents and questions."""
+    return stored(spark, name, [f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet"], make)
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, id: documents that contain a question's text. Candidates share the text's first token run; the rest is checked."""
+    return kept(spark, sf_dir, "gold", lambda: contained(spark, sf_dir))
+
+
+def contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, id: documents that contain a question's text. Candidates share the text's longest inner word; the rest is checked."""
     d, q = docs(spark, sf_dir), questions(spark, sf_dir)
     # A document that contains a question has all its words but the two at the edges, which may be parts of longer ones;
     # the longest inner word is the key of an equality join, and questions without one are compared with each document.
@@ -62,20 +82,80 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = d.select("id", F.explode(F.array_distinct(word(F.col("text")))).alias("word"))  # texts join late, for candidates only
     likely = has.join(keyed.where("word is not null"), "word").select("id", "qid", "question")
     found = likely.join(d, "id").where(F.contains("text", "question")).select("qid", "id")
-    rest = F.broadcast(keyed.where("word is null").select("qid", "question"))  # the stated set of questions, against all rows
-    return found.unionByName(d.join(rest, F.contains("text", "question")).select("qid", "id"))
+    rest = keyed.where("word is null").select("qid", "question")  # the stated set of questions, against all rows, in blocks
+    for low in range(0, rest.count(), 1000):
+        block = rest.orderBy("qid").offset(low).limit(1000)
+        found = found.unionByName(d.join(F.broadcast(block), F.contains("text", "question")).select("qid", "id"))
+    return found
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """term, id, weight: the stored postings."""
+
+    def make() -> DataFrame:
+        tokenized = retrieval.lengths(docs(spark, sf_dir))
+        return index.postings_of(tokenized, kept(spark, sf_dir, "stats", lambda: retrieval.corpus_stats(tokenized).coalesce(1)))
+
+    return kept(spark, sf_dir, "postings", make)
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, vec: the stored vectors of the documents."""
+    return kept(spark, sf_dir, "vectors", lambda: index.stand_in(docs(spark, sf_dir)))
+
+
+def bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return retrieval.score_weights(postings(spark, sf_dir), retrieval.question_terms(questions(spark, sf_dir)), k)
+
+
+def overlap(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return retrieval.overlap_of(postings(spark, sf_dir).select("id", "term"), questions(spark, sf_dir), k)
+
+
+def dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    asked = questions(spark, sf_dir).select(F.col("qid").alias("id"), F.concat(F.lit(retrieval.QUERY_PREFIX), "text").alias("text"))
+    return retrieval.dense(vectors(spark, sf_dir), index.stand_in(asked).withColumnRenamed("id", "qid"), k)
+
+
+def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """list, qid, id, rank, score: the first 50 hits of three searches for every question."""
+
+    def make() -> DataFrame:
+        found = {"bm25": bm25, "overlap": overlap, "dense": dense}
+        parts = [search(spark, sf_dir, 50).select(F.lit(name).alias("list"), "qid", "id", "rank", "score") for name, search in found.items()]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    return kept(spark, sf_dir, "lists", make)
+
+
+def listed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return lists(spark, sf_dir).where(F.col("list") == name).drop("list")
 
 
 def hits(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    d, q = docs(spark, sf_dir), questions(spark, sf_dir)
-    a, b = retrieval.bm25(d, q, 50), retrieval.term_overlap(d, q, 50)
+    a, b = listed(spark, sf_dir, "bm25"), listed(spark, sf_dir, "overlap")
     return {"bm25": a, "overlap": b, "fused": retrieval.fuse([a, b], 10)}
 
 
+def four_hits(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The hits of the four systems of an evaluation run."""
+    a, b = listed(spark, sf_dir, "dense"), listed(spark, sf_dir, "bm25")
+    pool = retrieval.fuse([a, b], 50)
+    return {"dense": a, "bm25": b, "fused": pool, "rerank": retrieval.rerank(pool, questions(spark, sf_dir), docs(spark, sf_dir), 10)}
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "results", lambda: results_of(spark, sf_dir, hits(spark, sf_dir)))
+
+
+def four_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "four_results", lambda: results_of(spark, sf_dir, four_hits(spark, sf_dir)))
+
+
+def results_of(spark: SparkSession, sf_dir: str, found: dict[str, DataFrame]) -> DataFrame:
     """A row for each system and question that has gold documents."""
     rows = None
-    for name, h in hits(spark, sf_dir).items():
+    for name, h in found.items():
         part = h.where("rank <= 10").select(F.lit(name).alias("system"), "qid", "id", "rank")
         rows = part if rows is None else rows.unionByName(part)
     ranked = rows.groupBy("system", "qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("r"))
@@ -164,12 +244,12 @@ def _shown(rows: DataFrame) -> DataFrame:
 
 @query(f"WITH {_BM25} SELECT qid, id, rank::INT AS rank, round(score, 6) AS score FROM bm WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(retrieval.bm25(docs(spark, sf_dir), questions(spark, sf_dir), 10))
+    return _shown(bm25(spark, sf_dir, 10))
 
 
 @query(f"WITH {_FUSED} SELECT qid, id, rank::INT AS rank, round(score::DOUBLE, 6) AS score FROM ov WHERE rank <= 10")
 def overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(retrieval.term_overlap(docs(spark, sf_dir), questions(spark, sf_dir), 10))
+    return _shown(overlap(spark, sf_dir, 10))
 
 
 @query("""WITH s AS (
@@ -210,12 +290,62 @@ def rerank_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(retrieval.rerank(hits(spark, sf_dir)["fused"], questions(spark, sf_dir), docs(spark, sf_dir), 5))
 
 
+_DENSE = f"""{_FUSED},
+vc AS (SELECT id, h % 64 AS dim, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS s FROM (SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h FROM (SELECT id, unnest(toks) AS t FROM dt)) GROUP BY 1, 2),
+vn AS (SELECT id, dim, coalesce(s / nullif(sqrt(sum(s * s) OVER (PARTITION BY id)), 0), 0) AS x FROM vc),
+uc AS (SELECT qid, h % 64 AS dim, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS s FROM (
+  SELECT qid, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h FROM (SELECT item_id AS qid, unnest({_TOK.replace('lower(text)', f"lower('{retrieval.QUERY_PREFIX}' || text)")}) AS t FROM benchmark)) GROUP BY 1, 2),
+un AS (SELECT qid, dim, coalesce(s / nullif(sqrt(sum(s * s) OVER (PARTITION BY qid)), 0), 0) AS x FROM uc),
+sd AS (SELECT qid, id, list_sum(list(un.x * vn.x ORDER BY dim)) AS score FROM un JOIN vn USING (dim) GROUP BY 1, 2),
+de AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sd) WHERE rank <= 50),
+ud AS (SELECT qid, id, 0 AS list, rank FROM de UNION ALL SELECT qid, id, 1, rank FROM bm),
+fd AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list * 1000 + rank) AS first FROM ud GROUP BY 1, 2),
+po4 AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, first) AS rank FROM fd) WHERE rank <= 50),
+qd4 AS (SELECT qid, list_distinct(list(term)) AS asked FROM qt GROUP BY 1),
+sr AS (SELECT qid, po4.id, rank AS before, len(list_intersect(asked, toks)) / greatest(len(asked), 1)::DOUBLE AS score FROM po4 JOIN qd4 USING (qid) JOIN dt ON dt.id = po4.id),
+rr4 AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, before) AS rank FROM sr) WHERE rank <= 10)"""
+
+
+@query(f"WITH {_DENSE} SELECT qid, id, rank::INT AS rank, round(score, 6) AS score FROM de WHERE rank <= 10")
+def dense_text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and prefixed questions by the stand-in encoder."""
+    return _shown(dense(spark, sf_dir, 10))
+
+
+@query(f"WITH {_DENSE} SELECT qid, id, rank::INT AS rank, round(score, 6) AS score FROM po4 WHERE rank <= 10")
+def fused_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(four_hits(spark, sf_dir)["fused"].where("rank <= 10"))
+
+
+@query(f"WITH {_DENSE} SELECT qid, id, rank::INT AS rank, round(score, 6) AS score FROM rr4")
+def reranked_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline: dense and BM25 to depth 50, fused, and the pool of 50 scored again."""
+    return _shown(four_hits(spark, sf_dir)["rerank"])
+
+
+@query(f"WITH {_DENSE} SELECT qid, id, round(coalesce(de.score, bm.score), 6) AS score FROM de FULL JOIN bm USING (qid, id)")
+def carried_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = four_hits(spark, sf_dir)
+    return retrieval.carried(h["dense"], h["bm25"]).withColumn("score", F.round("score", 6))
+
+
 # ---- evaluation
 
 
+_FOUR = f"""{_DENSE}, {_GOLD},
+hi AS (SELECT 'dense' AS system, qid, id, rank FROM de WHERE rank <= 10 UNION ALL SELECT 'bm25', qid, id, rank FROM bm WHERE rank <= 10 UNION ALL SELECT 'fused', qid, id, rank FROM po4 WHERE rank <= 10 UNION ALL SELECT 'rerank', qid, id, rank FROM rr4),
+re AS (SELECT system, qid, ranked, gold FROM (SELECT system, qid, list(id ORDER BY rank) AS ranked FROM hi GROUP BY 1, 2) JOIN (SELECT qid, list(id) AS gold FROM go GROUP BY 1) USING (qid))"""
+
+
+@query(f"""WITH {_FOUR} SELECT system, count(*)::BIGINT AS n, {", ".join(f"round(avg(len(list_intersect(gold, ranked[1:{k}])) / len(gold)::DOUBLE), 6) AS recall_{k}, round(avg((len(list_intersect(gold, ranked[1:{k}])) > 0)::INT::DOUBLE), 6) AS hit_{k}" for k in evaluation.KS)} FROM re GROUP BY 1""")
+def summary_of_four_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = evaluation.summarise(four_results(spark, sf_dir))
+    return s.select("system", "n", *(F.round(F.col(f"`{name}@{k}`"), 6).alias(f"{name}_{k}") for k in evaluation.KS for name in ("recall", "hit")))
+
+
 @query(f"WITH {_GOLD} SELECT qid, id FROM go")
 def gold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold(spark, sf_dir)
+    return contained(spark, sf_dir)
 
 
 @query(f"WITH {_RESULTS} SELECT system, qid, round(support, 6) AS support, len(required)::INT AS n_required, ranked[1] AS first_id FROM re")
@@ -451,3 +581,162 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT quality::INT AS quality, toxic::INT AS toxic, count(*)::BIGINT AS n FROM labels GROUP BY 1, 2")
 def label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").groupBy(F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- made inputs: rows that the tables don't have, each with SQL that says what must come out
+
+
+@query("SELECT id, 0 AS ord, array_to_string(w, ' ') AS text, len(w)::INT AS n_tokens FROM (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0")
+def whole_document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.whole_documents(docs(spark, sf_dir))
+
+
+def made_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each nation: front matter, nested headings, sentences, list items, a code block, a table and a long line."""
+    n, key = F.col("n_name"), F.col("n_nationkey")
+    words = F.array_join(F.transform(F.sequence(F.lit(0), 399 + key), lambda i: F.concat(F.lit("w"), i)), " ")
+    text = F.concat(
+        F.lit("---\ntitle: "), n, F.lit("\nlayout: page\n---\n# About ##\n"), n, F.lit(" is one. It has rows? yes. 2 more!\n\n- item one. Same item\n1. first. Same\n## Code\n```\n# no heading\n<table>\n```\n### Table\n<table><tr><th>k</th></tr>\n<tr><td>"),
+        n, F.lit("</td></tr>\n</table>\n# Long\n"), words, F.lit("\n# Empty\n"))
+    return table(spark, sf_dir, "nation").select(F.concat(n, F.lit(".md")).alias("name"), text.alias("text"))
+
+
+# Room in a chunk of 128 tokens under "NAME > Long": the name's words and 2; the tail is 16 words, each window's last.
+_COUNT = "len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]'))::INT"
+_CHUNKS = f"""
+na AS (SELECT n_name AS n, n_nationkey AS k, 128 - len(regexp_extract_all(n_name, '[\\p{{L}}\\p{{N}}_]+')) - 2 AS room FROM nation),
+pi AS (SELECT n, k, room, unnest(range(0, 400 + k::INT, room - 16)) AS a FROM na),
+pw AS (SELECT n, (a // (room - 16))::INT AS seg, list_aggregate(list_transform(range(a, least(a + room, 400 + k::INT)), lambda i: 'w' || i), 'string_agg', ' ') AS body FROM pi WHERE a = 0 OR a + 16 < 400 + k::INT),
+ch AS (
+  SELECT n, 0 AS ord, n || ' > About' AS heading_path, 'text' AS kind, n || ' is one.' || chr(10) || 'It has rows? yes.' || chr(10) || '2 more!' || chr(10) || '- item one. Same item' || chr(10) || '1. first. Same' AS body FROM na
+  UNION ALL SELECT n, 1, n || ' > About > Code', 'code', '```' || chr(10) || '# no heading' || chr(10) || '<table>' || chr(10) || '```' FROM na
+  UNION ALL SELECT n, 2, n || ' > About > Code > Table', 'table', '<table>' || chr(10) || '<tr><th>k</th></tr>' || chr(10) || '<tr><td>' || n || '</td></tr>' || chr(10) || '</table>' FROM na
+  UNION ALL SELECT n, 3 + seg, n || ' > Long', 'text', body FROM pw),
+ct AS (SELECT n || '.md#' || printf('%04d', ord) AS id, n || '.md' AS doc, ord::INT AS ord, heading_path, kind, heading_path || chr(10) || body AS text FROM ch),
+cc AS (SELECT *, {_COUNT} AS n_tokens FROM ct)"""
+
+
+@query(f"WITH {_CHUNKS} SELECT *, n_tokens > 128 AS oversized FROM cc")
+def made_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure chunks of pages whose chunks can be told by hand."""
+    return chunking.chunk_documents(made_markdown(spark, sf_dir), 128, 16)
+
+
+@query(f"WITH {_CHUNKS} SELECT kind, count(*)::BIGINT AS n, min(n_tokens)::INT AS least, median(n_tokens)::INT AS median, round(avg(n_tokens), 6) AS mean, max(n_tokens)::INT AS most, count_if(n_tokens > 128)::BIGINT AS n_oversized FROM cc GROUP BY 1")
+def made_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_stats(made_chunks(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+
+
+_MADE = """ma AS (SELECT s.system, item_id AS qid, CASE (item_id + s.k) % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END AS support, (item_id * 7 + s.k) % 3 = 0 AS hit,
+  list_transform(range(item_id % 4), lambda i: 'r' || i) AS required FROM benchmark, (VALUES ('bm25', 1), ('fused', 2)) s(system, k))"""
+
+
+def made_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two systems' results with support and hits set by number, so that some contradict each other."""
+    q, k = F.col("qid"), F.col("k")
+    systems = spark.sql("select * from values ('bm25', 1), ('fused', 2) as t(system, k)")
+    support = F.when((q + k) % 5 == 0, 0.0).when((q + k) % 5 == 1, 0.5).otherwise(1.0)
+    gold_ = F.when((q * 7 + k) % 3 == 0, F.array(F.lit(5))).otherwise(F.array(F.lit(99)))
+    required = F.transform(F.filter(F.array(*map(F.lit, range(4))), lambda i: i < q % 4), lambda i: F.concat(F.lit("r"), i))
+    return questions(spark, sf_dir).crossJoin(F.broadcast(systems)).select("system", "qid", F.array(*map(F.lit, (4, 5, 6))).alias("ranked"), gold_.alias("gold"), F.lit(0.01).alias("seconds"), support.alias("support"), required.alias("required"))
+
+
+@query(f"""WITH {_MADE},
+k AS (SELECT system, qid, CASE WHEN support >= 1 AND NOT hit THEN 'support without evidence' WHEN support <= 0 AND hit THEN 'evidence without support' END AS kind FROM ma)
+SELECT qid, kind, string_agg(system, ',' ORDER BY system) AS systems, count(*) = 2 AS all_systems FROM k WHERE kind IS NOT NULL GROUP BY 1, 2""")
+def made_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluation.by_question(evaluation.disagreements(made_results(spark, sf_dir)), 2)
+    return found.select("qid", "kind", F.array_join("systems", ",").alias("systems"), "all_systems")
+
+
+@query(f"WITH {_MADE} SELECT DISTINCT qid, len(required)::INT AS n_required FROM ma WHERE len(required) <= 1")
+def made_thin_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.thin_anchors(made_results(spark, sf_dir), "system")
+
+
+@query("""SELECT p.p_floor, l.low AS ci_low, h.high AS ci_high, CASE WHEN low <= 0 AND high >= 0 THEN CASE WHEN p_floor > 0.05 THEN 'capped' ELSE 'undecided' END WHEN p_floor <= 0.05 THEN 'decided' ELSE 'overruled' END AS decision
+FROM (VALUES (0.001::DOUBLE), (0.05), (0.5)) p(p_floor), (VALUES (-0.5::DOUBLE), (0.0), (0.1)) l(low), (VALUES (-0.1::DOUBLE), (0.0), (0.4)) h(high)""")
+def decision_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = spark.createDataFrame([(p, a, b) for p in (0.001, 0.05, 0.5) for a in (-0.5, 0.0, 0.1) for b in (-0.1, 0.0, 0.4)], "p_floor double, ci_low double, ci_high double")
+    return made.withColumn("decision", evaluation.decided(F.col("p_floor"), F.col("ci_low"), F.col("ci_high")))
+
+
+@query("SELECT qid FROM (SELECT item_id AS qid, row_number() OVER (ORDER BY item_id) AS place, count(*) OVER () AS n FROM benchmark) WHERE place > 5 AND place <= n - 3")
+def sliced_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.sliced(questions(spark, sf_dir), "5:-3", "qid").select("qid")
+
+
+@query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k = 1")
+def last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.last_by_key(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn")
+
+
+@query("SELECT doc_id AS id, substr(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), 1, 90) AS squashed, printf('%s#%04d', 'doc' || doc_id, doc_id % 10000) AS chunk_id, 'a > doc' || doc_id AS path FROM documents")
+def text_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("doc"), "id")
+    return docs(spark, sf_dir).select("id", T.squashed(F.col("text")).alias("squashed"), T.chunk_id(name, F.col("id") % 10000).alias("chunk_id"), T.heading_path(F.array(F.lit("a"), name)).alias("path"))
+
+
+@query("SELECT page_id AS id, str_split(html, chr(10)) || ['end'] AS lines, (len(str_split(html, chr(10))) + 1)::INT AS n FROM pages")
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of pages, one more behind a carriage return and line feed, and none behind the last line feed."""
+    lines = T.lines(F.concat("html", F.lit("\r\nend\n")))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), lines.alias("lines"), F.size(lines).alias("n"))
+
+
+@query("SELECT p, CASE WHEN p IS NULL THEN 'n/a' WHEN p < 0.001 THEN '<.001' ELSE printf('%.3f', p) END AS shown FROM (SELECT DISTINCT CASE WHEN quality = 1 THEN doc_id / 100000.0::DOUBLE END AS p FROM labels)")
+def p_value_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, F.col("doc_id") / F.lit(100000.0)).alias("p")).distinct()
+    return made.select("p", T.p_value_text(F.col("p")).alias("shown"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/rankloom-scratch/{uuid.uuid4().hex}/{name}"
+
+
+@query("SELECT n_name AS id, 'text of ' || n_name AS text, n_nationkey::BIGINT AS n FROM nation WHERE n_nationkey % 4 <> 1")
+def json_lines_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as JSON lines, read back strictly; every fourth line is broken and told apart."""
+    at = scratch(spark, "lines")
+    made = table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 4 == 1, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("n_name").alias("id"), F.concat(F.lit("text of "), "n_name").alias("text"), F.col("n_nationkey").cast("long").alias("n")))).alias("value"))
+    made.coalesce(1).write.text(at)
+    rows, _ = readers.json_lines_strict(spark, at, "id string, text string, n long")
+    return rows.select("id", "text", "n")
+
+
+@query("SELECT system, item_id AS qid, CASE WHEN item_id % 2 = 0 THEN 1 ELSE 2 END AS run FROM benchmark, (VALUES ('bm25'), ('dense')) s(system)")
+def appended_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even questions are recorded by a first run; a second run of all, each twice, adds the odd ones once."""
+    at = scratch(spark, "results")
+    systems = spark.sql("select * from values ('bm25'), ('dense') as t(system)")
+    all_ = systems.crossJoin(questions(spark, sf_dir).select("qid"))
+    append_results(all_.where("qid % 2 = 0").withColumn("run", F.lit(1)), at)
+    second = all_.withColumn("run", F.lit(2))
+    append_results(second.unionByName(second), at)
+    return spark.read.parquet(at)
+
+
+@query("SELECT line, qid, text, gold, required FROM (SELECT n_nationkey::BIGINT AS line, n_name AS qid, 'how is ' || n_name || ' set?' AS text, [n_name || '.md#0001'] AS gold, ['spark.' || lower(n_name) || '.memory'] || [n_name] AS required FROM nation)")
+def labelled_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_name")
+    none = F.lit(None).cast("string")
+    golden_ = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("long").alias("line"), n.alias("id"), F.concat(F.lit("how is "), n, F.lit(" set?")).alias("question"), F.array(n).alias("source_docs"),
+        F.concat(F.lit("Set spark."), F.lower(n), F.lit(".memory; done.")).alias("answer"), F.array(n).alias("answer_spans"), F.lit("easy").alias("difficulty"), none.alias("failure_mode"))
+    gold_ = table(spark, sf_dir, "nation").select(n.alias("id"), F.array(F.concat(n, F.lit(".md#0001"))).alias("gold_chunks"), F.lit("").alias("why"))
+    return runs.labelled(golden_, gold_).select("line", "qid", "text", "gold", "required")
+
+
+@query(f"WITH {_RESULTS} SELECT system, n, metric, round(value, 6) AS value FROM sm")
+def baseline_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries recorded as a baseline and read back."""
+    at, found = scratch(spark, "baseline"), results(spark, sf_dir)
+    runs.write_baseline(found, found.select("qid").distinct().count(), "recorded for a check", at)
+    return runs.read_baseline(spark, at).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT name, chars FROM (SELECT 'doc' || doc_id AS name, len(text)::BIGINT AS chars FROM documents) ORDER BY chars DESC, name LIMIT 10")
+def largest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten longest: a report."""
+    found = labels.profile(docs(spark, sf_dir).select(F.concat(F.lit("doc"), "id").alias("name"), "text"))
+    return found.orderBy(F.desc("chars"), "name").limit(10).select("name", "chars")
