@@ -121,14 +121,15 @@ class Automaton:
         """Whether the label leaves the state: no gadget along the chain of clones cut it or, while it was what the label starts with, a part of it."""
         while state != self.START:
             owner, upto = self.owner[state], self.without[state][1]
-            part, until = label, len(self.owner)
+            part = label
             while True:
                 rank = self.cuts.get((owner, part))
-                if rank is not None and rank <= upto and rank <= until:
+                if rank is not None and rank <= upto:
                     return False
                 if part not in self.made:
                     break
-                part, until = self.made[part]
+                part, made_at = self.made[part]
+                upto = min(upto, made_at)
             state = self.base[state]
         return True
 

@@ -1,6 +1,7 @@
 """Results against plain Python, and cases at the edges: odd ids, clashing names, very long texts."""
 
 import hashlib
+import itertools
 import random
 import struct
 from collections import Counter
@@ -383,13 +384,11 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
 # ---- BPE
 
 
-def test_a_vocabulary_that_makes_the_walk_turn_back():
-    letters = {b: c for c, b in bpe.byte_letters().items()}
-    pairs = [("a", "a"), ("aa", "a"), ("a", "b"), ("aa", "aa"), ("b", "ab"), ("aaa", "b"), ("aaaa", "ab")]
-    vocab = {c: i for i, c in enumerate(letters.values())}
+def automaton_of(pairs):
+    """A file's automaton, its vocabulary, and plain merging of a word by the pairs in rank order."""
+    vocab = {c: i for i, c in enumerate(bpe.byte_letters())}
     for x, y in pairs:
         vocab.setdefault(x + y, len(vocab))
-    own = bpe.Automaton({"model": {"vocab": vocab, "merges": [list(p) for p in pairs]}})
 
     def merged(word):
         parts, ranks = list(word), {p: i for i, p in enumerate(pairs)}
@@ -405,12 +404,42 @@ def test_a_vocabulary_that_makes_the_walk_turn_back():
             parts = out
         return [vocab[p] for p in parts]
 
+    return bpe.Automaton({"model": {"vocab": vocab, "merges": [list(p) for p in pairs]}}), merged
+
+
+def test_a_vocabulary_that_makes_the_walk_turn_back():
+    own, merged = automaton_of([("a", "a"), ("aa", "a"), ("a", "b"), ("aa", "aa"), ("b", "ab"), ("aaa", "b"), ("aaaa", "ab")])
     rng = random.Random(15)
     for n in [*range(1, 60), 3000]:
         word = "".join(rng.choice("aaab") for _ in range(n))
         assert own.encode_word(word.encode()) == merged(word)
 
 
+def test_merges_that_no_path_reaches_leave_later_cuts_in_force():
+    pairs = [("a", "b"), ("b", "b"), ("a", "ab"), ("a", "bb"), ("b", "a"), ("b", "bb"), ("ba", "a"), ("a", "baa"), ("abb", "abb"), ("bb", "ba"), ("ab", "bb"), ("ba", "abb"), ("abaa", "bb")]
+    own, merged = automaton_of(pairs)
+    for n in range(1, 12):
+        for letters in itertools.product("ab", repeat=n):
+            word = "".join(letters)
+            assert own.encode_word(word.encode()) == merged(word)
+
+
+def test_random_vocabularies_against_plain_merging():
+    for seed in range(1500):
+        rng = random.Random(seed)
+        tokens, pairs = list("abc"[: rng.choice([1, 2, 2, 3])]), []
+        letters = list(tokens)
+        for _ in range(rng.randint(2, 40)):
+            a, b = rng.choice(tokens), rng.choice(tokens)
+            if a + b not in tokens and len(a + b) <= 12:
+                tokens.append(a + b)
+                pairs.append((a, b))
+        own, merged = automaton_of(pairs)
+        for _ in range(20):
+            word = "".join(rng.choice(letters) for _ in range(rng.randint(1, 24)))
+            assert own.encode_word(word.encode()) == merged(word), (pairs, word)
+
+
 # ---- Matroska
 
 
