@@ -257,17 +257,22 @@ def partitions_for(rows: int, each: int = 500_000) -> int:
 COPIES = 32
 
 
+def named(classes: DataFrame, found: DataFrame, key: str, least: str, name: str) -> DataFrame:
+    """key, n and, as ``name``, the smallest ``least`` of each class's component in found(node, component); its own where it has none."""
+    joined = cut(classes.select(key, least, "n").join(found.select(F.col("node").alias(key), "component"), key, "left"))
+    several = joined.where("component is not null")
+    names = several.groupBy("component").agg(F.min(least).alias(name)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    linked = several.withColumn("copy", F.pmod(F.xxhash64(key), F.lit(COPIES)).cast("int")).join(names, ["component", "copy"]).select(key, name, "n")
+    return cut(linked.unionByName(joined.where("component is null").select(key, F.col(least).alias(name), "n")))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable) for every document."""
     fps = cut(fingerprints(docs, shingle))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     indexed = classes.select(F.explode(variants(F.col("fp"), distance)).alias("key"), F.col("fp").alias("node"), "fp")
     found = components(links(indexed, [(1, distance)], partitions_for(classes.count() * 64)))
-    joined = cut(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left"))
-    several = joined.where("component is not null")
-    names = several.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
-    named = several.withColumn("copy", F.pmod(F.xxhash64("fp"), F.lit(COPIES)).cast("int")).join(names, ["component", "copy"]).select("fp", "component_id", "n")
-    labelled = cut(named.unionByName(joined.where("component is null").select("fp", F.col("least").alias("component_id"), "n")))
+    labelled = named(classes, found, "fp", "least", "component_id")
     return join_by_key(fps, labelled, "fp", "n", fps.count()).select("doc_id", "fp", "component_id")
 
 
@@ -281,6 +286,8 @@ _TIMES = _random.integers(0, 2**64, (WIDTH * BANDS, 1), np.uint64) | np.uint64(1
 _MIX = _random.integers(0, 2**64, (BANDS, WIDTH), np.uint64) | np.uint64(1)
 #: Slots of shingles that bound the number two sets share; shingles that are hashed at once.
 SLOTS, AT_ONCE = 1 << 20, 1024
+#: Shingles of a block of candidates; a task that verifies them holds two blocks.
+BLOCK = 1 << 21
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -300,24 +307,25 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, and of a text's distinct shingles: a digest d, a key for each band, and two sketches of 64 bits (a bit each of 128 least hashes)."""
+    """doc_id, and of a text's distinct shingles: a digest d, their number, a key for each band, and two sketches of 64 bits (a bit each of 128 least hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, bands, bits = [], [], []
+            d, sizes, bands, bits = [], [], [], []
             for t in batch.column(1):
                 hashes = shingle_set(t.as_py(), shingle)
                 least = min_hashes(hashes)
                 mixed = (least.reshape(BANDS, WIDTH) * _MIX).sum(axis=1, dtype=np.uint64)
                 d.append(set_digest(hashes))
+                sizes.append(len(hashes))
                 bands.append(mixed ^ (mixed >> np.uint64(31)))
                 bits.append(np.packbits((least[:128] >> np.uint64(31) & np.uint64(1)).astype(bool), bitorder="little").view("<u8"))
             keys = pa.array(np.concatenate(bands or [np.zeros(0, np.uint64)]).view(np.int64))
             k1, k2 = np.array(bits, np.uint64).reshape(-1, 2).T
             offsets = pa.array(np.arange(len(d) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(d), pa.ListArray.from_arrays(offsets, keys), _signed(k1), _signed(k2)], names=["doc_id", "d", "bands", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(d), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, keys), _signed(k1), _signed(k2)], names=["doc_id", "d", "size", "bands", "k1", "k2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, d long, bands array<long>, k1 long, k2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, d long, size long, bands array<long>, k1 long, k2 long")
 
 
 def connected(sets: list[np.ndarray]) -> np.ndarray:
@@ -356,34 +364,48 @@ def connected(sets: list[np.ndarray]) -> np.ndarray:
     return group
 
 
+def in_blocks(members: DataFrame) -> DataFrame:
+    """component, d, node, i, j of members(component, d, node, size): a row for each pair of blocks (i, j) that the member is in.
+
+    A component is dealt by hash into as many blocks as its shingles need, and
+    any two members meet in a pair of blocks; one block is a pair by itself. So
+    rows grow with the blocks of a component, and no task holds more than two.
+    """
+    blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.sum("size") / BLOCK), F.lit(1)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    dealt = join_by_key(members, blocks, "component", "n", members.count()).withColumn("own", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
+    others = F.when(F.col("blocks") == 1, F.array("own")).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
+    paired = dealt.withColumn("other", F.explode(others))
+    return paired.select("component", "d", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
 def verified(members: DataFrame, shingle: int, partitions: int) -> DataFrame:
-    """d, keeper (the smallest node of its group) of members(component, d, node, text); components are compared in whole."""
+    """Links (a, b) of digests that connect what is similar in each pair of blocks of members(component, i, j, d, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
-            group = connected([x for _, x in held.values()]).tolist()
-            least: dict[int, int] = {}
-            for g, (node, _) in zip(group, held.values(), strict=True):
-                least[g] = min(node, least.get(g, node))
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([least[g] for g in group], pa.int64())], names=["d", "keeper"])
+        def out(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+            first: dict[int, int] = {}
+            pairs = [(d, first.setdefault(g, d)) for g, d in zip(connected(list(held.values())).tolist(), held, strict=True)]
+            a, b = zip(*((x, y) for x, y in pairs if x != y), strict=True) if len(first) < len(pairs) else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         at, held = None, {}
         for batch in batches:
-            for component, d, node, text in zip(*batch.columns, strict=True):
-                component, d = component.as_py(), d.as_py()
-                if component != at:
+            for *group, d, text in zip(*batch.columns, strict=True):
+                group, d = [x.as_py() for x in group], d.as_py()
+                if group != at:
                     if held:
                         yield out(held)
-                    at, held = component, {}
+                    at, held = group, {}
                 if d not in held:
                     hashes = shingle_set(text.as_py(), shingle)
                     if set_digest(hashes) == d % 2**64:  # else another row of the same doc_id
-                        held[d] = node.as_py(), hashes
+                        held[d] = hashes
         if held:
             yield out(held)
 
-    rows = members.select("component", "d", "node", "text").repartition(partitions, "component").sortWithinPartitions("component")
-    return rows.mapInArrow(run, "d long, keeper long")
+    group = ["component", "i", "j"]
+    rows = members.select(*group, "d", "text").repartition(partitions, *group).sortWithinPartitions(*group)
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -393,17 +415,18 @@ def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     is 0.8 or more; groups are connected by such pairs. Texts of equal shingles
     are one class. Bands of least hashes find the candidates and sketches drop
     unlike ones; components of these are then compared by their whole shingle
-    sets, so no document goes without a pair of the similarity.
+    sets, two blocks of a component at once, so no document goes without a pair
+    of the similarity.
     Rows of equal doc_id stay or go together; null ids stay.
     """
     rows = cut(sketches(docs.select("doc_id", "text"), shingle))
-    classes = cut(rows.groupBy("d").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), *(F.any_value(c).alias(c) for c in ("bands", "k1", "k2"))).where("node is not null"))
+    classes = cut(rows.groupBy("d").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), *(F.any_value(c).alias(c) for c in ("size", "bands", "k1", "k2"))).where("node is not null"))
     indexed = classes.select(F.explode("bands").alias("key"), F.col("d").alias("node"), "k1", "k2")
     loose = components(links(indexed, [(2, SKETCH_BITS)], partitions_for(classes.count() * BANDS)))
-    members = cut(classes.select("d", "node").join(loose.withColumnRenamed("node", "d"), "d").select("component", "d", "node"))
+    members = cut(in_blocks(cut(classes.select("d", "node", "size").join(loose.withColumnRenamed("node", "d"), "d").select("component", "d", "node", "size"))))
     texts = members.join(docs.select("doc_id", "text"), F.col("node") == F.col("doc_id"))
-    found = verified(texts, shingle, partitions_for(members.count(), 20_000))
-    labelled = cut(classes.select("d", "node", "n").join(found, "d", "left").select("d", F.coalesce("keeper", "node").alias("keeper"), "n"))
+    found = components(verified(texts, shingle, partitions_for(members.count(), 20_000)))
+    labelled = named(classes, found, "d", "node", "keeper")
     gone = fresh("gone", docs)
     going = join_by_key(rows.select("doc_id", "d"), labelled, "d", "n", rows.count()).where("doc_id <> keeper").select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(cut(going), F.col("doc_id") == F.col(gone), "left_anti")
