@@ -121,16 +121,16 @@ def validate(spark: SparkSession, args: argparse.Namespace) -> int:
     lines = spark.read.text(args.golden, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "t"))
     fields = lines.select((F.col("at") + 1).alias("line"), F.from_json("t", "map<string,string>").alias("fields"))
     problems = labels.schema_problems(rows.join(fields, "line"), corpus.select("name")).orderBy("line", "problem", "detail")
-    ungrounded = labels.ungrounded(rows, corpus).orderBy("id", "kind", "missing")
+    ungrounded = labels.ungrounded(rows, corpus, "line").orderBy("line", "kind", "missing")
     show(problems)
     show(ungrounded)
     show(rows.groupBy("difficulty").count().orderBy("difficulty"))
     if args.claims:
-        claims = rows.select(F.col("id").alias("qid"), F.explode(T.claim_clauses(F.col("answer"))).alias("claim"))
-        cited = rows.select(F.col("id").alias("qid"), F.posexplode("source_docs").alias("pos", "name")).join(corpus, "name")
-        passages = cited.select("qid", "pos", F.posexplode(T.paragraphs(F.col("text"))).alias("at", "paragraph"))
-        passages = passages.select("qid", (F.col("pos") * 1_000_000 + F.col("at")).alias("ord"), "paragraph")
-        show(labels.weakest_first(labels.claim_coverage(claims, passages)))
+        claims = rows.select("line", F.col("id").alias("qid"), F.explode(T.claim_clauses(F.col("answer"))).alias("claim"))
+        cited = rows.select("line", F.posexplode("source_docs").alias("pos", "name")).join(corpus, "name")
+        passages = cited.select("line", "pos", F.posexplode(T.paragraphs(F.col("text"))).alias("at", "paragraph"))
+        passages = passages.select("line", (F.col("pos") * 1_000_000 + F.col("at")).alias("ord"), "paragraph")
+        show(labels.weakest_first(labels.claim_coverage(claims, passages, "line")))
     return 1 if problems.count() + ungrounded.count() else 0
 
 

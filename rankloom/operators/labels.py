@@ -39,28 +39,35 @@ def schema_problems(rows: DataFrame, corpus: DataFrame | None = None) -> DataFra
     return out
 
 
-def ungrounded(golden: DataFrame, corpus: DataFrame) -> DataFrame:
+def ungrounded(golden: DataFrame, corpus: DataFrame, by: str = "id") -> DataFrame:
     """id, kind, missing: configuration keys (case counts) and spans (it doesn't) that the cited texts lack.
 
-    Cited texts are joined without a separator, in their listed order.
+    Cited texts are joined without a separator, in their listed order. ``by``
+    names the column that tells rows apart (``line`` where ids may be repeated)
+    and is a column of the result too.
     """
-    cited = golden.select("id", F.posexplode_outer("source_docs").alias("pos", "name")).join(corpus.select("name", "text"), "name", "left")
-    body = cited.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "").alias("body"))
-    rows = golden.join(body, "id")
+    cited = golden.select(by, F.posexplode_outer("source_docs").alias("pos", "name")).join(corpus.select("name", "text"), "name", "left")
+    body = cited.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "").alias("body"))
+    rows, names = golden.join(body, by), dict.fromkeys([by, "id"])
     keys = F.filter(F.array_distinct(T.config_keys(F.col("answer"))), lambda k: ~F.col("body").contains(k))
     spans = F.filter(F.coalesce("answer_spans", F.array().cast("array<string>")), lambda s: ~F.lower("body").contains(F.lower(s)))
-    one = rows.select("id", F.lit("key").alias("kind"), F.explode(keys).alias("missing"))
-    return one.unionByName(rows.select("id", F.lit("span").alias("kind"), F.explode(spans).alias("missing")))
+    one = rows.select(*names, F.lit("key").alias("kind"), F.explode(keys).alias("missing"))
+    return one.unionByName(rows.select(*names, F.lit("span").alias("kind"), F.explode(spans).alias("missing")))
 
 
-def claim_coverage(claims: DataFrame, passages: DataFrame) -> DataFrame:
-    """qid, claim, coverage, paragraph: the paragraph (qid, ord, paragraph) with most of a claim's content words; the first of equals."""
-    words = claims.select("qid", "claim", T.content_words(F.col("claim")).alias("words"))
-    pairs = words.join(passages.select("qid", "ord", "paragraph", F.array_distinct(T.content_words(F.col("paragraph"))).alias("has")), "qid", "left")
+def claim_coverage(claims: DataFrame, passages: DataFrame, by: str = "qid") -> DataFrame:
+    """qid, claim, coverage, paragraph: the paragraph (qid, ord, paragraph) with most of a claim's content words; the first of equals.
+
+    ``by`` names the column that ties claims to passages (``line`` where ids
+    may be repeated) and is a column of the result too.
+    """
+    names = list(dict.fromkeys([by, "qid"]))
+    words = claims.select(*names, "claim", T.content_words(F.col("claim")).alias("words"))
+    pairs = words.join(passages.select(by, "ord", "paragraph", F.array_distinct(T.content_words(F.col("paragraph"))).alias("has")), by, "left")
     hits = F.size(F.filter("words", lambda w: F.array_contains(F.coalesce("has", F.array().cast("array<string>")), w)))
     scored = pairs.withColumn("coverage", hits / F.greatest(F.size("words"), F.lit(1)))
-    best = scored.groupBy("qid", "claim").agg(F.max(F.struct("coverage", (-F.coalesce("ord", F.lit(0))).alias("o"), "paragraph")).alias("b"))
-    return best.select("qid", "claim", "b.coverage", F.when(F.col("b.coverage") > 0, F.col("b.paragraph")).otherwise("").alias("paragraph"))
+    best = scored.groupBy(*names, "claim").agg(F.max(F.struct("coverage", (-F.coalesce("ord", F.lit(0))).alias("o"), "paragraph")).alias("b"))
+    return best.select(*names, "claim", "b.coverage", F.when(F.col("b.coverage") > 0, F.col("b.paragraph")).otherwise("").alias("paragraph"))
 
 
 def profile(files: DataFrame) -> DataFrame:

@@ -499,12 +499,12 @@ def schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.schema_problems(golden(spark, sf_dir), small_corpus(spark, sf_dir).select("name"))
 
 
-@query(f"""WITH g AS (SELECT * FROM ({_GOLDEN}) WHERE line < 23), j AS (SELECT g.*, coalesce(c.text, '') AS body FROM g LEFT JOIN {_CORPUS} c ON c.name = g.doc),
+@query(f"""WITH g AS ({_GOLDEN}), j AS (SELECT g.*, coalesce(c.text, '') AS body FROM g LEFT JOIN {_CORPUS} c ON c.name = g.doc),
 k AS (SELECT id, body, unnest(list_distinct(regexp_extract_all(answer, 'spark\\.[a-zA-Z0-9._]+[a-zA-Z0-9]'))) AS missing FROM j)
 SELECT id, 'key' AS kind, missing FROM k WHERE NOT contains(body, missing)
 UNION ALL SELECT id, 'span', n_name FROM j JOIN nation ON n_nationkey = line WHERE NOT contains(lower(body), lower(n_name))""")
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.ungrounded(golden(spark, sf_dir).where("line < 23"), small_corpus(spark, sf_dir))
+    return labels.ungrounded(golden(spark, sf_dir), small_corpus(spark, sf_dir), "line").drop("line")
 
 
 @query(f"SELECT line, unnest(list_sort(list_distinct(regexp_extract_all(answer, 'spark\\.[a-zA-Z0-9._]+[a-zA-Z0-9]')))) AS key FROM ({_GOLDEN})")
@@ -512,18 +512,18 @@ def config_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden(spark, sf_dir).select("line", F.explode(F.array_sort(F.array_distinct(T.config_keys(F.col("answer"))))).alias("key"))
 
 
-@query(f"""WITH cl AS (SELECT id AS qid, doc, 'rows of ' || n_name || ' move between partitions.' AS claim FROM ({_GOLDEN}) JOIN nation ON n_nationkey = line WHERE line < 23),
+@query(f"""WITH cl AS (SELECT line, id AS qid, doc, 'rows of ' || n_name || ' move between partitions.' AS claim FROM ({_GOLDEN}) JOIN nation ON n_nationkey = line),
 cw AS (SELECT *, list_filter(regexp_extract_all(lower(claim), '[a-z0-9]+'), lambda w: w NOT IN ({_CLAIM_STOP}) AND len(w) > 2) AS words FROM cl),
 pa AS (SELECT name, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) AS paragraph, generate_subscripts(regexp_split_to_array(text, '\\n\\s*\\n'), 1) AS ord FROM {_CORPUS}),
-sc AS (SELECT qid, claim, coalesce(ord, 0) AS ord, paragraph, len(list_filter(words, lambda w: list_contains(regexp_extract_all(lower(coalesce(paragraph, '')), '[a-z0-9]+'), w))) / greatest(len(words), 1)::DOUBLE AS coverage FROM cw LEFT JOIN pa ON pa.name = cw.doc)
+sc AS (SELECT line, qid, claim, coalesce(ord, 0) AS ord, paragraph, len(list_filter(words, lambda w: list_contains(regexp_extract_all(lower(coalesce(paragraph, '')), '[a-z0-9]+'), w))) / greatest(len(words), 1)::DOUBLE AS coverage FROM cw LEFT JOIN pa ON pa.name = cw.doc)
 SELECT qid, claim, round(coverage, 6) AS coverage, CASE WHEN coverage > 0 THEN paragraph ELSE '' END AS paragraph
-FROM (SELECT *, row_number() OVER (PARTITION BY qid, claim ORDER BY coverage DESC, ord) AS k FROM sc) WHERE k = 1""")
+FROM (SELECT *, row_number() OVER (PARTITION BY line, claim ORDER BY coverage DESC, ord) AS k FROM sc) WHERE k = 1""")
 def claim_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = golden(spark, sf_dir).where("line < 23")
-    claims = g.select(F.col("id").alias("qid"), F.explode(T.claim_clauses(F.col("answer"))).alias("claim"))
-    cited = g.select(F.col("id").alias("qid"), F.explode("source_docs").alias("name")).join(small_corpus(spark, sf_dir), "name")
-    passages = cited.select("qid", F.posexplode(T.paragraphs(F.col("text"))).alias("ord", "paragraph"))
-    return labels.claim_coverage(claims, passages).withColumn("coverage", F.round("coverage", 6))
+    g = golden(spark, sf_dir)
+    claims = g.select("line", F.col("id").alias("qid"), F.explode(T.claim_clauses(F.col("answer"))).alias("claim"))
+    cited = g.select("line", F.explode("source_docs").alias("name")).join(small_corpus(spark, sf_dir), "name")
+    passages = cited.select("line", F.posexplode(T.paragraphs(F.col("text"))).alias("ord", "paragraph"))
+    return labels.claim_coverage(claims, passages, "line").drop("line").withColumn("coverage", F.round("coverage", 6))
 
 
 @query(f"""SELECT name, len(text)::BIGINT AS chars, len(regexp_extract_all(text, '(?m)^#{{1,6}} '))::BIGINT AS headings, (len(regexp_extract_all(text, '(?m)^```')) // 2)::BIGINT AS fenced_blocks,

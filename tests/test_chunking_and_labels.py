@@ -54,6 +54,18 @@ def test_claims(spark):
     assert L.claim_coverage(claims, paras.where("ord = 2")).first()["paragraph"] == ""
 
 
+def test_repeated_ids_are_told_apart_by_line(spark):
+    rows = [(1, "q", "Set spark.a.b now.", ["x.md"], ["one"]), (2, "q", "Set spark.a.b now.", ["y.md"], ["two"]), (3, None, "Set spark.c.d now.", None, None)]
+    golden = spark.createDataFrame(rows, "line long, id string, answer string, source_docs array<string>, answer_spans array<string>")
+    corpus = spark.createDataFrame([("x.md", "spark.a.b and two"), ("y.md", "Two")], "name string, text string")
+    found = sorted(tuple(r) for r in L.ungrounded(golden, corpus, "line").select("line", "kind", "missing").collect())
+    assert found == [(1, "span", "one"), (2, "key", "spark.a.b"), (3, "key", "spark.c.d")]
+    claims = spark.createDataFrame([(1, "q", "alpha bravo"), (2, "q", "alpha bravo")], "line long, qid string, claim string")
+    paras = spark.createDataFrame([(1, 0, "alpha bravo"), (2, 0, "alpha only")], "line long, ord int, paragraph string")
+    best = L.claim_coverage(claims, paras, "line").orderBy("line").collect()
+    assert [(r["line"], r["coverage"], r["paragraph"]) for r in best] == [(1, 1.0, "alpha bravo"), (2, 0.5, "alpha only")]
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("a\r\nb\u2028c\n", "org.apache.spark.serializer.KryoSerializer. spark.x.y.")], "a string, b string")
     row = df.select(T.lines(F.col("a")).alias("l"), T.config_keys(F.col("b")).alias("k"), T.squashed(F.lit("  a  b ")).alias("s")).first()
