@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, fingerprints, language, licenses, matroska, mixing, sharding, simhash, suffixes, warc
+from rankloom.llm import bpe, divergence, fingerprints, language, licenses, matroska, mixing, sharding, simhash, suffixes, warc
 from rankloom.llm.common import table
 
 
@@ -52,10 +52,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_suffix_dedup, op2_language, op3_bpe, op4_licenses, op5_fingerprints, op6_mixing, op7_sharding, op8_matroska, op9_warc, op10_simhash)
+    own = (op1_suffix_dedup, op2_language, op3_bpe, op4_licenses, op5_fingerprints, op6_mixing, op7_sharding, op8_matroska, op9_warc, op10_simhash, op12_divergence)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op6_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE, "op12_divergence": divergence.ORACLE}
