@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, conversations, divergence, fingerprints, language, licenses, matroska, mixing, sharding, simhash, suffixes, warc
+from rankloom.llm import bpe, conversations, divergence, fingerprints, language, licenses, matroska, mixing, sharding, simhash, suffixes, toxicity, warc
 from rankloom.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_suffix_dedup, op2_language, op3_bpe, op4_licenses, op5_fingerprints, op6_mixing, op7_sharding, op8_matroska, op9_warc, op10_simhash, op12_divergence, op13_conversation_repair)
+    own = (op1_suffix_dedup, op2_language, op3_bpe, op4_licenses, op5_fingerprints, op6_mixing, op7_sharding, op8_matroska, op9_warc, op10_simhash, op11_toxicity, op12_divergence, op13_conversation_repair)
     return {f.__name__: f for f in own}
 
 
