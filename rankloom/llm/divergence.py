@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import cut, let
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+TERM, BETWEEN = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, BILLION, MOST_TERMS = 3, 10**9, 200
 #: Groups (language, source) whose table is broadcast; with more it is joined by a shuffle.
 BROADCAST_GROUPS = 100_000
@@ -41,10 +41,10 @@ BROADCAST_GROUPS = 100_000
 def term_counts(text: Column) -> Column:
     """array<struct<term, n>> of a text's distinct terms: sorted, then told apart where neighbours differ."""
     lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    words = F.sort_array(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0)))
+    words = F.sort_array(F.split(lowered, BETWEEN))  # several times faster than extracting the terms
 
     def runs(w: Column) -> Column:
-        firsts = F.filter(F.transform(w, lambda _, i: i), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        firsts = F.filter(F.transform(w, lambda x, i: F.when((x != "") & ((i == 0) | (x != F.get(w, i - 1))), i)), lambda i: i.isNotNull())
         return let(firsts, lambda f: F.transform(f, lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(f, k + 1), F.size(w)) - i).cast("long").alias("n"))))
 
     return let(words, runs)
@@ -94,16 +94,14 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, most_terms: int = MOST_
     def none(i: Column) -> Column:
         return F.get("none", i)
 
-    shares = F.transform("cells", lambda c: F.struct(c["i"].alias("i"), share(c["n"], group(c["i"])["total"] + F.col("v")).alias("p")))
-    priced = in_lang(wide).select("lang", "term", "cells", "none", shares.alias("ps"), share(F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + c["n"]), F.col("total") + F.col("v")).alias("q"))
+    shares = F.transform("cells", lambda c: F.struct(c["i"].alias("i"), share(c["n"], group(c["i"])["total"] + F.col("v")).alias("p"), none(c["i"]).alias("z")))
+    priced = in_lang(wide).select("lang", "term", shares.alias("ps"), share(F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + c["n"]), F.col("total") + F.col("v")).alias("q"))
 
     # what the terms of both add beyond what the terms of each add
-    def both(a: Column, b: Column) -> Column:
-        za, zb = none(a["i"]), none(b["i"])
-        return F.struct(a["i"].alias("a"), b["i"].alias("b"), (gain(a["p"], b["p"]) - gain(a["p"], zb) - gain(za, b["p"]) + gain(za, zb)).alias("value"))
-
-    first = priced.select("lang", "none", "ps", F.explode("ps").alias("x"))
-    shared = first.select("lang", F.explode(F.transform(F.filter("ps", lambda y: y["i"] != F.col("x.i")), lambda y: both(F.col("x"), y))).alias("e")).select("lang", "e.*")
+    first = priced.select("lang", "ps", F.explode("ps").alias("x"))
+    shared = first.select("lang", "x", F.explode(F.filter("ps", lambda y: y["i"] != F.col("x.i"))).alias("y")).select("lang", *(F.col(f"{e}.{c}").alias(f"{e}{c}") for e in "xy" for c in "ipz"))
+    beyond = gain(F.col("xp"), F.col("yp")) - gain(F.col("xp"), F.col("yz")) - gain(F.col("xz"), F.col("yp")) + gain(F.col("xz"), F.col("yz"))
+    shared = shared.select("lang", F.col("xi").alias("a"), F.col("yi").alias("b"), beyond.alias("value"))
     # what the terms of one add, against each source as if that had none of them
     alone = in_lang(histogram).withColumn("p", share(F.col("n"), group(F.col("i"))["total"] + F.col("v")))
     alone = alone.select("lang", "i", "m", "p", none(F.col("i")).alias("zi"), F.posexplode("none").alias("j", "zj")).where("i <> j")
