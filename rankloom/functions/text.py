@@ -23,12 +23,13 @@ LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """Runs of a-z and 0-9 in lower case; splitting between them is several times faster than extracting them."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def tokens(text: Column) -> Column:
     """Search tokens in order, duplicates kept; null text has none."""
-    return F.filter(F.coalesce(words(text), F.array().cast("array<string>")), lambda w: ~w.isin(*SEARCH_STOPWORDS))
+    return F.filter(F.coalesce(F.split(F.lower(text), "[^a-z0-9]+"), F.array().cast("array<string>")), lambda w: ~w.isin("", *SEARCH_STOPWORDS))
 
 
 def content_words(text: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
-from rankloom.operators import chunking, evaluation, index, labels, retrieval
+from rankloom.operators import blockmax, chunking, evaluation, index, labels, retrieval
 from rankloom.plans import runs
 from rankloom.sources import readers
 from rankloom.sources.readers import manifest, table
@@ -99,6 +99,12 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "postings", make)
 
 
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored postings in blocks."""
+    lengths = retrieval.lengths(docs(spark, sf_dir)).select("id", "dl")
+    return kept(spark, sf_dir, "blocks", lambda: blockmax.blocks_of(postings(spark, sf_dir), lengths))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, vec: the stored vectors of the documents."""
     return kept(spark, sf_dir, "vectors", lambda: index.stand_in(docs(spark, sf_dir)))
@@ -247,6 +253,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(bm25(spark, sf_dir, 10))
 
 
+@query(f"WITH {_BM25} SELECT qid, id, rank::INT AS rank, round(score, 6) AS score FROM bm WHERE rank <= 10")
+def bm25_blockmax_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from postings in blocks, without those that can't reach a question's tenth score."""
+    return _shown(blockmax.search(blocks(spark, sf_dir), retrieval.question_terms(questions(spark, sf_dir)), 10))
+
+
 @query(f"WITH {_FUSED} SELECT qid, id, rank::INT AS rank, round(score::DOUBLE, 6) AS score FROM ov WHERE rank <= 10")
 def overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(overlap(spark, sf_dir, 10))
