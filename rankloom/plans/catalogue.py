@@ -24,8 +24,9 @@ from rankloom.operators import blockmax, chunking, evaluation, index, labels, re
 from rankloom.plans import runs
 from rankloom.sources import readers
 from rankloom.sources.readers import manifest, table
-from rankloom.sources.stored import shared_dir, stored
-from rankloom.streaming.jobs import append_results
+from rankloom.sources.stored import place, shared_dir, stored
+from rankloom.streaming.jobs import append_results, stream_once
+from rankloom.streaming.sink import OnceSink
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL: dict[str, Query] = {}
@@ -728,6 +729,52 @@ def appended_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(at)
 
 
+def forget(spark: SparkSession, folder: str) -> str:
+    """Remove the last file of a folder of numbered files, as if it hadn't been written."""
+    fs, at = place(spark, folder)
+    last = max((s.getPath() for s in fs.listStatus(at) if not s.getPath().getName().startswith(".")), key=lambda p: int(p.getName().rpartition("-")[2]))
+    fs.delete(last, False)
+    return last.getName()
+
+
+def streamed_twice(spark: SparkSession, sf_dir: str, rows: DataFrame, key: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of even pages stream in batches; the last batch is run again after its commit, and again as if it had broken off before that; then all rows stream."""
+    at = scratch(spark, "stream")
+    sink = OnceSink(spark, f"{at}/out", key)
+
+    def run() -> None:
+        stream_once(spark, f"{at}/in", rows.schema.simpleString()[7:-1].replace(":", " "), sink, f"{at}/checkpoint", make, 2)
+
+    rows.where("page_id % 2 = 0").repartition(4).write.mode("append").parquet(f"{at}/in")
+    run()
+    forget(spark, f"{at}/checkpoint/commits")
+    run()
+    forget(spark, f"{at}/checkpoint/commits")
+    forget(spark, f"{at}/out/_commits")
+    run()
+    rows.unionByName(rows.where("page_id % 3 = 0")).repartition(4).write.mode("append").parquet(f"{at}/in")
+    run()
+    return sink.read()
+
+
+@query(f"""WITH t AS (SELECT page_id AS id, unnest({_TOK.replace('text', 'html')}) AS t FROM pages),
+v AS (SELECT id, h % 64 AS dim, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS s FROM (SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h FROM t) GROUP BY 1, 2)
+SELECT id, dim::INT AS dim, round(x, 6) AS x FROM (SELECT id, dim, s, s / sqrt(sum(s * s) OVER (PARTITION BY id)) AS x FROM v) WHERE s <> 0""")
+def streamed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages embedded by a stream with replays: every page once."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "html")
+    found = streamed_twice(spark, sf_dir, rows, ["id"], lambda b: b.select(F.col("page_id").alias("id"), retrieval.hashed_vector(F.col("html")).alias("vec")))
+    return found.select("id", F.posexplode("vec").alias("dim", "x")).where("x <> 0").select("id", "dim", F.round("x", 6).alias("x"))
+
+
+@query("""SELECT system, page_id AS qid, length(html)::BIGINT AS chars FROM pages, (VALUES ('bm25'), ('dense')) s(system)""")
+def streamed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two systems' results recorded by a stream with replays: every system and page once."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "html")
+    systems = F.explode(F.array(F.lit("bm25"), F.lit("dense")))
+    return streamed_twice(spark, sf_dir, rows, ["system", "qid"], lambda b: b.select(systems.alias("system"), F.col("page_id").alias("qid"), F.length("html").cast("long").alias("chars")))
+
+
 @query("SELECT line, qid, text, gold, required FROM (SELECT n_nationkey::BIGINT AS line, n_name AS qid, 'how is ' || n_name || ' set?' AS text, [n_name || '.md#0001'] AS gold, ['spark.' || lower(n_name) || '.memory'] || [n_name] AS required FROM nation)")
 def labelled_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_name")

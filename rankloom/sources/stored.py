@@ -23,19 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def _place(spark: SparkSession, path: str) -> tuple:
+def place(spark: SparkSession, path: str) -> tuple:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, at = _place(spark, path)
+    fs, at = place(spark, path)
     return fs.exists(at)
 
 
 def state(spark: SparkSession, path: str) -> str:
     """What tells whether a table's files are the same as before: bytes, number of files and the time of the last change."""
-    fs, at = _place(spark, path)
+    fs, at = place(spark, path)
     summary = fs.getContentSummary(at)
     return f"{path} {summary.getLength()} {summary.getFileCount()} {fs.getFileStatus(at).getModificationTime()}"
 
@@ -51,7 +51,7 @@ def stored(spark: SparkSession, name: str, inputs: Sequence[str], make: Callable
     if not exists(spark, path):
         made = f"{path}.{uuid.uuid4().hex}"
         make().write.parquet(made)
-        (fs, to), (_, here) = _place(spark, path), _place(spark, made)
+        (fs, to), (_, here) = place(spark, path), place(spark, made)
         if fs.exists(to) or not fs.rename(here, to):
             fs.delete(here, True)
     return spark.read.parquet(path)
