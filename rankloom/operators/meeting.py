@@ -26,7 +26,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, object, pa.Table]]:
+def _keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, int | None, pa.Table]]:
     """(task, key, rows) of a sorted stream; the key of questions is None."""
     now, held = None, []
     for batch in batches:
@@ -36,7 +36,7 @@ def _keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, ob
         changes = (group[1:] != group[:-1]) | (kind[1:] != kind[:-1]) | (values[1:] != values[:-1]) & (kind[1:] == 1)
         edges = np.flatnonzero(np.r_[True, changes, True]) if batch.num_rows else []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            at = (int(group[a]), None if kind[a] == 0 else values[a])
+            at = (int(group[a]), None if kind[a] == 0 else int(values[a]))
             if at != now and held:
                 yield (*now, pa.Table.from_batches(held))
                 held = []
@@ -58,8 +58,10 @@ def meet(questions: DataFrame, rows: DataFrame, key: str, order: list[str], run:
         stream = _keys(batches, key)
         ahead = next(stream, None)
         while ahead:
-            task, _, asked = ahead  # questions come first
+            task, rows_key, asked = ahead  # questions come first
             ahead = next(stream, None)
+            if rows_key is not None:
+                continue  # nobody asks
 
             def of_task(task: int = task) -> Iterator[pa.Table]:
                 nonlocal ahead

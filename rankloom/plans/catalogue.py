@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
-from rankloom.operators import blockmax, chunking, evaluation, index, labels, retrieval
+from rankloom.operators import balls, blockmax, chunking, evaluation, index, labels, retrieval
 from rankloom.plans import runs
 from rankloom.sources import readers
 from rankloom.sources.readers import manifest, table
@@ -265,17 +265,28 @@ def overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(overlap(spark, sf_dir, 10))
 
 
-@query("""WITH s AS (
+_DENSE_TOP = """WITH s AS (
   SELECT q.vec_id AS qid, v.vec_id AS id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
   FROM embeddings q JOIN embeddings v ON q.vec_id % 10 = 0 AND q.vec_id <> v.vec_id)
 SELECT qid, id, rank::INT AS rank, round(score, 6) AS score
-FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 10""")
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 10"""
+
+
+@query(_DENSE_TOP)
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions are a stated set: every tenth vector."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return _shown(retrieval.dense(v, v.where("id % 10 = 0").withColumnRenamed("id", "qid"), 10, exclude_self=True))
 
 
+@query(_DENSE_TOP)
+def dense_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from vectors in balls, without those that can't reach a question's tenth score; questions move as a table."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    stored_ = stored(spark, "balls", [f"{sf_dir}/embeddings.parquet"], lambda: balls.balls_of(v))
+    return _shown(balls.search(stored_, v.where("id % 10 = 0").withColumnRenamed("id", "qid"), 10, exclude_self=True))
+
+
 @query(f"WITH {_FUSED} SELECT qid, id, rank::INT AS rank, round(score, 6) AS score FROM fu")
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(hits(spark, sf_dir)["fused"])
