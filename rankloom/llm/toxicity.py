@@ -4,7 +4,7 @@ The terms' Levenshtein automata are intersected with a trie of the lexicon: a
 state is a set of trie nodes with the edits that led there, and a table of states
 is filled as words need it, so a word costs a look-up for each letter until no
 term is left. Terms of ``NEAR`` letters may be misspelled by one edit, of ``FAR``
-letters by two.
+letters by two, if one of ``OFTEN`` toxic documents has them.
 
 Where a term is met, a window of words tells quotation from abuse: quotation
 marks around it and words of reporting speak for a quotation, the second person
@@ -15,8 +15,8 @@ regression are learned from labelled rows outside the held-out fold: a sample of
 ``docs_per_class`` documents and ``bytes_per_class`` of each class, chosen by a
 hash. The regression is fitted on documents that its lexicon wasn't learned from.
 
-Every whole text is scored in one pass without a shuffle; a worker keeps what it
-found for a word, up to a bound, and forgets all when that is reached.
+Every whole text is scored in one pass without a shuffle; a worker keeps its table
+of states, up to a bound, and forgets all when that is reached.
 
 Defined cases: null, empty and wordless texts have no evidence and get the score
 of that. Without labels of both classes, all scores are the share of toxic labels
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -52,7 +53,10 @@ NEAR, FAR, SIDE = 5, 9, 8
 CONTEXT = (-3.0, 4.0, 1.5, -1.5, -1.0)
 #: Terms of the lexicon, documents that have one, and its least log odds.
 TERMS, LEAST_DOCS, LEAST_ODDS = 2000, 3, 2.0
-KEPT_WORDS, KEPT_STATES = 1_000_000, 200_000
+#: A term that one of so many toxic documents has may be misspelled; rarer ones count as they are.
+OFTEN = 20
+#: States that a worker keeps before it forgets all (some 50 MB).
+KEPT_STATES = 100_000
 FEATURES = 6
 
 
@@ -65,13 +69,16 @@ class Lexicon:
     exceed all limits below it.
     """
 
-    def __init__(self, terms: Sequence[str]) -> None:
+    def __init__(self, terms: Sequence[str], limits: Sequence[int] | None = None) -> None:
         self.terms = terms
+        self.limits = [self.allowed(t) for t in terms] if limits is None else limits
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
         self.limit: list[int] = [0]  # the largest number of edits that a term below allows
-        for number, term in enumerate(terms):
-            at, allowed = 0, self.allowed(term)
+        for number, (term, allowed) in enumerate(zip(terms, self.limits, strict=True)):
+            at = 0
+            if not allowed:
+                continue  # met as it is only
             self.limit[0] = max(self.limit[0], allowed)
             for letter in term:
                 if letter not in self.children[at]:
@@ -84,7 +91,6 @@ class Lexicon:
             self.ends[at] = number
         self.alphabet = {letter for c in self.children for letter in c}
         self.exact = {t: i for i, t in enumerate(terms)}
-        self.met: dict[str, tuple[tuple[int, int], ...]] = {}
         self._forget()
 
     @staticmethod
@@ -92,9 +98,9 @@ class Lexicon:
         return 2 if len(term) >= FAR else 1 if len(term) >= NEAR else 0
 
     def _forget(self) -> None:
-        self.number: dict[tuple, int] = {}
-        self.states: list[tuple[tuple[int, int], ...]] = []
-        self.moves: list[dict[str, int]] = []
+        self.number: dict[bytes, int] = {}
+        self.states: list[bytes] = []  # nodes and edits in turn, four bytes each
+        self.moves: dict[tuple[int, str], int] = {}
         self.start = self._state({0: 0})
 
     def _state(self, nodes: dict[int, int]) -> int:
@@ -108,16 +114,19 @@ class Lexicon:
                     todo.append(child)
         if not nodes:
             return -1
-        key = tuple(sorted(nodes.items()))
+        key = array("i", [x for pair in sorted(nodes.items()) for x in pair]).tobytes()
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
-            self.moves.append({})
         return self.number[key]
 
+    def _nodes(self, state: int) -> Iterator[tuple[int, int]]:
+        held = array("i", self.states[state])
+        return zip(held[::2], held[1::2], strict=True)
+
     def _step(self, state: int, letter: str) -> int:
         nodes: dict[int, int] = {}
-        for node, e in self.states[state]:
+        for node, e in self._nodes(state):
             if e < self.limit[node] and e + 1 < nodes.get(node, e + 2):
                 nodes[node] = e + 1  # a letter that the term lacks
             for other, child in self.children[node].items():
@@ -130,34 +139,33 @@ class Lexicon:
         """Terms within their allowed distance of a word: (number, distance), an exact one alone."""
         if word in self.exact:
             return ((self.exact[word], 0),)
-        if word in self.met:
-            return self.met[word]
-        if len(self.met) >= KEPT_WORDS or len(self.states) >= KEPT_STATES:
-            self.met.clear()
+        if len(self.states) >= KEPT_STATES:
             self._forget()
         at = self.start
         for letter in word:
-            letter = letter if letter in self.alphabet else ""
-            move = self.moves[at].get(letter)
+            move = self.moves.get((at, letter))
             if move is None:
-                move = self.moves[at][letter] = self._step(at, letter)
+                letter = letter if letter in self.alphabet else ""
+                move = self.moves.get((at, letter))
+                if move is None:
+                    move = self.moves[at, letter] = self._step(at, letter)
             at = move
             if at < 0:
-                break
-        found = () if at < 0 else tuple((n, e) for node, e in self.states[at] if (n := self.ends[node]) >= 0 and e <= self.allowed(self.terms[n]))
-        self.met[word] = found
-        return found
+                return ()
+        return tuple((n, e) for node, e in self._nodes(at) if (n := self.ends[node]) >= 0 and e <= self.limits[n])
 
 
-@lru_cache(4)
-def lexicon_of(terms: tuple[str, ...]) -> Lexicon:
+@lru_cache(1)
+def lexicon_of(terms: tuple[str, ...], limits: tuple[int, ...]) -> Lexicon:
     """The lexicon of some terms, which a worker keeps from task to task."""
-    return Lexicon(terms)
+    return Lexicon(terms, limits)
 
 
 @dataclass
 class Model:
     terms: list[str] = field(default_factory=list)
+    #: Edits by which each term may be misspelled.
+    limits: list[int] = field(default_factory=list)
     #: Evidence of each term, exact, one edit and two edits away.
     odds: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
@@ -165,10 +173,10 @@ class Model:
     base: float | None = 0.0
 
     def __post_init__(self) -> None:
-        self.lexicon = lexicon_of(tuple(self.terms))
+        self.lexicon = lexicon_of(tuple(self.terms), tuple(self.limits))
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "odds": self.odds, "weights": self.weights, "base": self.base}
+        return {"terms": self.terms, "limits": self.limits, "odds": self.odds, "weights": self.weights, "base": self.base}
 
     def __setstate__(self, state: dict) -> None:
         self.__init__(**state)
@@ -300,16 +308,18 @@ def learn(sample: DataFrame) -> Model:
     cells = {(h, c): F.count_if((F.col("half") == h) & (F.col("toxic") == c)).alias(f"n{h}{c}") for h in (0, 1) for c in (0, 1)}
     counted = sample.select("toxic", "half", "text").mapInArrow(words, "word string, toxic int, half int").groupBy("word").agg(*cells.values())
 
-    def lexicon(halves: tuple[int, ...]) -> list[str]:
+    def lexicon(halves: tuple[int, ...]) -> list[tuple[str, int]]:
         with1, with0 = (sum(F.col(f"n{h}{c}") for h in halves) for c in (1, 0))
         of1, of0 = (int(sum(n[h, c] for h in halves)) for c in (1, 0))
         odds = F.log((with1 + 0.5) / (of1 + 1)) - F.log((with0 + 0.5) / (of0 + 1))
         best = counted.select("word", odds.alias("odds"), with1.alias("docs")).where((F.col("docs") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS) & (F.length("word") >= 3))
-        return [r["word"] for r in best.orderBy(F.col("odds").desc(), "word").limit(TERMS).collect()]
+        found = best.orderBy(F.col("odds").desc(), "word").limit(TERMS).collect()
+        return [(r["word"], Lexicon.allowed(r["word"]) if OFTEN * r["docs"] >= of1 else 0) for r in found]
 
-    def with_evidence(terms: list[str], halves: tuple[int, ...]) -> Model:
+    def with_evidence(found: list[tuple[str, int]], halves: tuple[int, ...]) -> Model:
         """Evidence by how many documents of each class have a term, exact or misspelled; of rare misspellings half of the exact one."""
-        model = Model(terms, np.ones((len(terms), 3)), base=None)
+        terms, limits = [t for t, _ in found], [edits for _, edits in found]
+        model = Model(terms, limits, np.ones((len(terms), 3)), base=None)
 
         def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -324,7 +334,7 @@ def learn(sample: DataFrame) -> Model:
         seldom = have.sum(axis=0) < LEAST_DOCS
         seldom[:, 0] = False
         model.odds = np.where(seldom, odds[:, :1] / 2, odds)
-        return Model(terms, model.odds, base=None)
+        return Model(terms, limits, model.odds, base=None)
 
     def features(model: Model, half: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
