@@ -32,10 +32,10 @@ def labelled(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return runs.labelled(golden(spark, args.golden), readers.json_lines(spark, args.gold, readers.GOLD))
 
 
-def show(df: DataFrame, most: int = 1000) -> None:
-    """Print a report's rows, separated by tabs."""
+def show(df: DataFrame) -> None:
+    """Print all rows of a report, separated by tabs; the driver holds a partition at a time."""
     print("\t".join(df.columns))
-    for r in df.limit(most).collect():
+    for r in df.toLocalIterator():
         print("\t".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r))
 
 
@@ -129,7 +129,7 @@ def validate(spark: SparkSession, args: argparse.Namespace) -> int:
         claims = rows.select("line", F.col("id").alias("qid"), F.explode(T.claim_clauses(F.col("answer"))).alias("claim"))
         cited = rows.select("line", F.posexplode("source_docs").alias("pos", "name")).join(corpus, "name")
         passages = cited.select("line", "pos", F.posexplode(T.paragraphs(F.col("text"))).alias("at", "paragraph"))
-        passages = passages.select("line", (F.col("pos") * 1_000_000 + F.col("at")).alias("ord"), "paragraph")
+        passages = passages.select("line", (F.col("pos").cast("long") * (1 << 40) + F.col("at")).alias("ord"), "paragraph")
         show(labels.weakest_first(labels.claim_coverage(claims, passages, "line")))
     return 1 if problems.count() + ungrounded.count() else 0
 

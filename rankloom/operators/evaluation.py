@@ -7,7 +7,9 @@ Results are rows (system, qid, ranked, gold, seconds, support, required):
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,35 +90,88 @@ def compare(diffs: DataFrame) -> DataFrame:
     """For each (a, b, metric): n, diff, the exact two-sided sign-flip p, its floor, and the questions that moved.
 
     All 2^n sign vectors of up to ``EXACT_LIMIT`` questions are counted; beyond
-    that p is null.
+    that p is null. Sums of a vector's halves meet in the middle: those of one
+    half are put in order once, among the bounds that each sum of the other half
+    sets, and counted by a running sum, so there are some 3 x 2^(n/2) rows.
     """
     by = ["a", "b", "metric"]
     grouped = diffs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("qid", "diff"))).alias("rows"))
     grouped = grouped.select(*by, F.transform("rows", lambda r: r["diff"]).alias("d"))
     moved = F.size(F.filter("d", lambda x: F.abs(x) > SLACK))
     grouped = grouped.withColumns({"n": F.size("d"), "moved": moved, "observed": F.abs(_folded(F.col("d")))})
-    # Sign vectors of a half are sums in an array; each pair of halves' sums is a row.
     half = F.floor(F.col("n") / 2).cast("int")
     sums = lambda part: F.aggregate(part, F.array(F.lit(0.0)), lambda acc, x: F.concat(F.transform(acc, lambda y: y + x), F.transform(acc, lambda y: y - x)))
     small = grouped.where(F.col("n").between(1, EXACT_LIMIT))
-    halves = small.select(*by, "observed", sums(F.slice("d", F.lit(1), half)).alias("low"), sums(F.slice("d", half + 1, F.col("n"))).alias("high"))
-    flipped = halves.select(*by, "observed", "high", F.explode("low").alias("x")).select(*by, "observed", "x", F.explode("high").alias("y"))
-    tested = flipped.groupBy(*by).agg(F.avg((F.abs(F.col("x") + F.col("y")) >= F.col("observed") - SLACK).cast("double")).alias("p"))
+    halves = small.select(*by, "n", (F.col("observed") - SLACK).alias("least"), sums(F.slice("d", F.lit(1), half)).alias("low"), sums(F.slice("d", half + 1, F.col("n"))).alias("high"))
+    # at equal values a bound from below comes before the sums, and one from above behind them
+    marks = F.concat(
+        F.transform("low", lambda x: F.struct((F.col("least") - x).alias("at"), F.lit(0).alias("kind"))),
+        F.transform("high", lambda y: F.struct(y.alias("at"), F.lit(1).alias("kind"))),
+        F.transform("low", lambda x: F.struct((-F.col("least") - x).alias("at"), F.lit(2).alias("kind"))))
+    placed = halves.select(*by, "n", "least", F.size("high").alias("many"), F.explode(marks).alias("m")).select(*by, "n", "least", "many", "m.*")
+    so_far = F.count_if(F.col("kind") == 1).over(Window.partitionBy(*by).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    beyond = F.when(F.col("kind") == 0, F.col("many") - F.col("so_far")).when(F.col("kind") == 2, F.col("so_far"))
+    counted = placed.withColumn("so_far", so_far).groupBy(*by, "n", "least").agg(F.sum(beyond).alias("beyond"))
+    tested = counted.select(*by, F.when(F.col("least") <= 0, 1.0).otherwise(F.col("beyond") / F.pow(F.lit(2.0), F.col("n"))).alias("p"))
     floor = F.when(F.col("moved") == 0, 1.0).otherwise(2.0 / F.pow(F.lit(2.0), F.col("moved")))
     return grouped.join(tested, by, "left").select(*by, "n", (_folded(F.col("d")) / F.col("n")).alias("diff"), "p", floor.alias("p_floor"), "moved")
 
 
-def bootstrap(diffs: DataFrame, reps: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """a, b, metric, ci_low, ci_high by resampling questions with CPython's seeded generator."""
+def draws(seed: int, n: int, reps: int, at_once: int = 1 << 21) -> Iterator[np.ndarray]:
+    """Rows of n numbers below n, ``reps`` in all: what CPython's seeded ``randrange(n)`` gives one after another.
+
+    The generator's raw words are taken by blocks; a word's high bits are a
+    draw, and draws that are too large are passed over.
+    """
+    words, bits = np.random.MT19937(), n.bit_length()
+    state = random.Random(seed).getstate()[1]
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    rest, done = np.zeros(0, np.int64), 0
+    while done < reps:
+        drawn = (words.random_raw(at_once) >> np.uint64(32 - bits)).astype(np.int64)
+        rest = np.concatenate([rest, drawn[drawn < n]])
+        rows = min(len(rest) // n, reps - done)
+        if rows:
+            yield rest[: rows * n].reshape(rows, n)
+        rest, done = rest[rows * n :], done + rows
+
+
+def compensated(columns: Iterator[np.ndarray]) -> np.ndarray:
+    """Sums of columns as CPython's ``sum`` adds doubles: what a sum loses is kept and added last."""
+    total = lost = None
+    for x in columns:
+        if total is None:
+            total, lost = x + 0.0, np.zeros(len(x))
+            continue
+        new = total + x
+        lost = lost + np.where(np.abs(total) >= np.abs(x), (total - new) + x, (x - new) + total)
+        total = new
+    return total + lost
+
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        d = group.sort_values("qid")["diff"].tolist()
-        rng, n = random.Random(seed), len(d)
-        means = sorted(sum(d[rng.randrange(n)] for _ in range(n)) / n for _ in range(reps))
-        low, high = means[int(alpha / 2 * reps)], means[min(int((1 - alpha / 2) * reps), reps - 1)]
-        return pd.DataFrame({"a": [group["a"].iloc[0]], "b": [group["b"].iloc[0]], "metric": [group["metric"].iloc[0]], "ci_low": [low], "ci_high": [high]})
+def bootstrap(diffs: DataFrame, reps: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """a, b, metric, ci_low, ci_high by resampling questions with CPython's seeded generator, replayed in blocks.
 
-    return diffs.groupBy("a", "b", "metric").applyInPandas(run, "a string, b string, metric string, ci_low double, ci_high double")
+    Pairs of as many questions draw the same numbers, so they share a task's blocks: rows of a group are (a, b, metric, d).
+    """
+    by = ["a", "b", "metric"]
+    grouped = diffs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("qid", "diff"))).alias("rows"))
+    grouped = grouped.select(*by, F.transform("rows", lambda r: r["diff"]).alias("d")).withColumn("n", F.size("d"))
+    # Which of the means in order bound the interval.
+    low, high = int(alpha / 2 * reps), min(int((1 - alpha / 2) * reps), reps - 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for n, same in batch.groupby("n"):
+                d = np.stack([np.asarray(x, np.float64) for x in same["d"]])
+                means = [[] for _ in d]
+                for drawn in draws(seed, int(n), reps):
+                    for values, found in zip(d, means, strict=True):
+                        found.append(compensated(values[column] for column in drawn.T) / n)
+                ordered = np.sort(np.array([np.concatenate(x) for x in means]), axis=1)
+                yield pd.DataFrame({c: same[c].to_numpy() for c in by} | {"ci_low": ordered[:, low], "ci_high": ordered[:, high]})
+
+    return grouped.repartition("n", "metric").mapInPandas(run, "a string, b string, metric string, ci_low double, ci_high double")
 
 
 def bootstrap_hashed(diffs: DataFrame, reps: int = 1000, alpha: float = 0.05, seed: str = "b0") -> DataFrame:

@@ -6,9 +6,9 @@ BM25, plain term overlap, and their reciprocal rank fusion; and the four of an
 evaluation run: dense, bm25, fused, rerank (with the stand-in encoder and pair
 scorer).
 
-Searches read postings and vectors, and evaluations results, that are made once
-for a state of the tables and kept in the shared folder (``stored``), as a
-search engine keeps its index.
+Searches read postings, blocks and vectors that are made once for a state of the
+tables and of the code, and kept in the shared folder (``stored``), as a search
+engine keeps its index; hits and results are made by every query anew.
 """
 
 from __future__ import annotations
@@ -124,43 +124,35 @@ def dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return retrieval.dense(vectors(spark, sf_dir), index.stand_in(asked).withColumnRenamed("id", "qid"), k)
 
 
-def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """list, qid, id, rank, score: the first 50 hits of three searches for every question."""
-
-    def make() -> DataFrame:
-        found = {"bm25": bm25, "overlap": overlap, "dense": dense}
-        parts = [search(spark, sf_dir, 50).select(F.lit(name).alias("list"), "qid", "id", "rank", "score") for name, search in found.items()]
-        return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-    return kept(spark, sf_dir, "lists", make)
-
-
-def listed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return lists(spark, sf_dir).where(F.col("list") == name).drop("list")
+def searches(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    """The first 50 hits of some searches for every question. Several parts of a query read them, so each is made once in it."""
+    found = {"bm25": bm25, "overlap": overlap, "dense": dense}
+    return [found[name](spark, sf_dir, 50).persist() for name in names]
 
 
 def hits(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    a, b = listed(spark, sf_dir, "bm25"), listed(spark, sf_dir, "overlap")
+    a, b = searches(spark, sf_dir, "bm25", "overlap")
     return {"bm25": a, "overlap": b, "fused": retrieval.fuse([a, b], 10)}
 
 
 def four_hits(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The hits of the four systems of an evaluation run."""
-    a, b = listed(spark, sf_dir, "dense"), listed(spark, sf_dir, "bm25")
+    a, b = searches(spark, sf_dir, "dense", "bm25")
     pool = retrieval.fuse([a, b], 50)
     return {"dense": a, "bm25": b, "fused": pool, "rerank": retrieval.rerank(pool, questions(spark, sf_dir), docs(spark, sf_dir), 10)}
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, sf_dir, "results", lambda: results_of(spark, sf_dir, hits(spark, sf_dir)))
+    """The results of three systems, read by several parts of a query."""
+    return results_of(spark, sf_dir, hits(spark, sf_dir)).persist()
 
 
 def four_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, sf_dir, "four_results", lambda: results_of(spark, sf_dir, four_hits(spark, sf_dir)))
+    return results_of(spark, sf_dir, four_hits(spark, sf_dir)).persist()
 
 
 def results_of(spark: SparkSession, sf_dir: str, found: dict[str, DataFrame]) -> DataFrame:
-    """A row for each system and question that has gold documents."""
+    """A row for each system and question that has gold documents; a question without hits has an empty ranking."""
     rows = None
     for name, h in found.items():
         part = h.where("rank <= 10").select(F.lit(name).alias("system"), "qid", "id", "rank")
@@ -168,9 +160,12 @@ def results_of(spark: SparkSession, sf_dir: str, found: dict[str, DataFrame]) ->
     ranked = rows.groupBy("system", "qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("r"))
     ranked = ranked.select("system", "qid", F.transform("r", lambda x: x["id"]).alias("ranked"))
     wanted = gold(spark, sf_dir).groupBy("qid").agg(F.array_sort(F.collect_set("id")).alias("gold"))
+    wanted = wanted.select(F.explode(F.array(*map(F.lit, found))).alias("system"), "qid", "gold")
     anchors = questions(spark, sf_dir).select("qid", F.slice(F.array_sort(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda w: F.length(w) >= 8))), 1, 2).alias("required"))
     top5 = rows.where("rank <= 5").join(docs(spark, sf_dir), "id").groupBy("system", "qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
-    joined = ranked.join(wanted, "qid").join(anchors, "qid").join(top5, ["system", "qid"])
+    joined = wanted.join(anchors, "qid").join(ranked, ["system", "qid"], "left").join(top5, ["system", "qid"], "left")
+    none = {c: F.coalesce(c, F.array().cast(dict(joined.dtypes)[c])) for c in ("ranked", "texts")}
+    joined = joined.withColumns(none)
     support = evaluation.evidence_support(F.col("texts"), F.col("required"))
     return joined.select("system", "qid", "ranked", "gold", (F.size("ranked") / 1000.0).alias("seconds"), support.alias("support"), "required")
 
@@ -202,10 +197,10 @@ hi AS (SELECT 'bm25' AS system, qid, id, rank FROM bm WHERE rank <= 10 UNION ALL
 an AS (SELECT item_id AS qid, list_sort(list_distinct(list_filter({_TOK}, lambda w: len(w) >= 8)))[1:2] AS required FROM benchmark),
 tx AS (SELECT system, qid, lower(string_agg(text, chr(10) ORDER BY rank)) AS body FROM hi JOIN documents ON doc_id = id WHERE rank <= 5 GROUP BY 1, 2),
 re AS (
-  SELECT system, qid, ranked, gold, len(ranked) / 1000.0 AS seconds, required,
-    CASE WHEN len(required) = 0 THEN 1.0 ELSE len(list_filter(required, lambda r: contains(body, r))) / len(required)::DOUBLE END AS support
-  FROM (SELECT system, qid, list(id ORDER BY rank) AS ranked FROM hi GROUP BY 1, 2)
-    JOIN (SELECT qid, list(id) AS gold FROM go GROUP BY 1) USING (qid) JOIN an USING (qid) JOIN tx USING (system, qid)),
+  SELECT system, qid, coalesce(ranked, []::BIGINT[]) AS ranked, gold, len(coalesce(ranked, []::BIGINT[])) / 1000.0 AS seconds, required,
+    CASE WHEN len(required) = 0 THEN 1.0 ELSE len(list_filter(required, lambda r: contains(coalesce(body, ''), r))) / len(required)::DOUBLE END AS support
+  FROM (SELECT system, qid, gold FROM (VALUES ('bm25'), ('overlap'), ('fused')) s(system), (SELECT qid, list(id) AS gold FROM go GROUP BY 1))
+    JOIN an USING (qid) LEFT JOIN (SELECT system, qid, list(id ORDER BY rank) AS ranked FROM hi GROUP BY 1, 2) USING (system, qid) LEFT JOIN tx USING (system, qid)),
 me AS (SELECT *,
   {", ".join(f"len(list_intersect(gold, ranked[1:{k}])) / len(gold)::DOUBLE AS r{k}, (len(list_intersect(gold, ranked[1:{k}])) > 0)::INT::DOUBLE AS h{k}" for k in evaluation.KS)},
   coalesce(1.0 / list_min(list_filter([CASE WHEN list_contains(gold, ranked[i]) THEN i END for i in range(1, len(ranked) + 1)], lambda i: i IS NOT NULL)), 0.0) AS rr, seconds * 1000 AS ms
@@ -358,7 +353,8 @@ def carried_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FOUR = f"""{_DENSE}, {_GOLD},
 hi AS (SELECT 'dense' AS system, qid, id, rank FROM de WHERE rank <= 10 UNION ALL SELECT 'bm25', qid, id, rank FROM bm WHERE rank <= 10 UNION ALL SELECT 'fused', qid, id, rank FROM po4 WHERE rank <= 10 UNION ALL SELECT 'rerank', qid, id, rank FROM rr4),
-re AS (SELECT system, qid, ranked, gold FROM (SELECT system, qid, list(id ORDER BY rank) AS ranked FROM hi GROUP BY 1, 2) JOIN (SELECT qid, list(id) AS gold FROM go GROUP BY 1) USING (qid))"""
+re AS (SELECT system, qid, coalesce(ranked, []::BIGINT[]) AS ranked, gold FROM (SELECT system, qid, gold FROM (VALUES ('dense'), ('bm25'), ('fused'), ('rerank')) s(system), (SELECT qid, list(id) AS gold FROM go GROUP BY 1))
+  LEFT JOIN (SELECT system, qid, list(id ORDER BY rank) AS ranked FROM hi GROUP BY 1, 2) USING (system, qid))"""
 
 
 @query(f"""WITH {_FOUR} SELECT system, count(*)::BIGINT AS n, {", ".join(f"round(avg(len(list_intersect(gold, ranked[1:{k}])) / len(gold)::DOUBLE), 6) AS recall_{k}, round(avg((len(list_intersect(gold, ranked[1:{k}])) > 0)::INT::DOUBLE), 6) AS hit_{k}" for k in evaluation.KS)} FROM re GROUP BY 1""")
@@ -678,11 +674,21 @@ def made_thin_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.thin_anchors(made_results(spark, sf_dir), "system")
 
 
-@query("""SELECT p.p_floor, l.low AS ci_low, h.high AS ci_high, CASE WHEN low <= 0 AND high >= 0 THEN CASE WHEN p_floor > 0.05 THEN 'capped' ELSE 'undecided' END WHEN p_floor <= 0.05 THEN 'decided' ELSE 'overruled' END AS decision
-FROM (VALUES (0.001::DOUBLE), (0.05), (0.5)) p(p_floor), (VALUES (-0.5::DOUBLE), (0.0), (0.1)) l(low), (VALUES (-0.1::DOUBLE), (0.0), (0.4)) h(high)""")
+@query(f"""WITH {_RESULTS},
+gr AS (SELECT a, b, metric, list(diff ORDER BY qid) AS d FROM di GROUP BY 1, 2, 3),
+dr AS (SELECT a, b, metric, d, rep, i, d[1 + (('0x' || substr(md5('b0|' || rep || '|' || i), 1, 8))::BIGINT % len(d))] AS x FROM gr, range(1000) r(rep), range(100000) s(i) WHERE i < len(d)),
+mn AS (SELECT a, b, metric, rep, list_sum(list(x ORDER BY i)) / count(*) AS mean FROM dr GROUP BY 1, 2, 3, 4),
+pl AS (SELECT *, row_number() OVER (PARTITION BY a, b, metric ORDER BY mean, rep) AS place FROM mn),
+ci AS (SELECT a, b, metric, max(CASE WHEN place = 26 THEN mean END) AS low, max(CASE WHEN place = 976 THEN mean END) AS high FROM pl GROUP BY 1, 2, 3),
+fl AS (SELECT a, b, metric, len(list_filter(d, lambda x: abs(x) > 1e-12)) AS moved FROM gr),
+pf AS (SELECT a, b, metric, CASE WHEN moved = 0 THEN 1.0 ELSE 2.0 / pow(2.0, moved) END AS p_floor FROM fl)
+SELECT a, b, metric, CASE WHEN low <= 0 AND high >= 0 THEN CASE WHEN p_floor > 0.05 THEN 'capped' ELSE 'undecided' END WHEN p_floor <= 0.05 THEN 'decided' ELSE 'overruled' END AS decision
+FROM ci JOIN pf USING (a, b, metric)""")
 def decision_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = spark.createDataFrame([(p, a, b) for p in (0.001, 0.05, 0.5) for a in (-0.5, 0.0, 0.1) for b in (-0.1, 0.0, 0.4)], "p_floor double, ci_low double, ci_high double")
-    return made.withColumn("decision", evaluation.decided(F.col("p_floor"), F.col("ci_low"), F.col("ci_high")))
+    """What each pair of systems' interval and reachable p say of each metric."""
+    diffs = evaluation.paired(evaluation.per_question(results(spark, sf_dir)))
+    joined = evaluation.compare(diffs).join(evaluation.bootstrap_hashed(diffs), ["a", "b", "metric"])
+    return joined.select("a", "b", "metric", evaluation.decided(F.col("p_floor"), F.col("ci_low"), F.col("ci_high")).alias("decision"))
 
 
 @query("SELECT qid FROM (SELECT item_id AS qid, row_number() OVER (ORDER BY item_id) AS place, count(*) OVER () AS n FROM benchmark) WHERE place > 5 AND place <= n - 3")

@@ -13,7 +13,7 @@ import urllib.request
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
@@ -33,12 +33,34 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+MARK = 739188227
+#: Ranges of files whose line counts are joined by broadcast; more are joined by a shuffle.
+BROADCAST_RANGES = 1_000_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), text of every line of files that tasks read by ranges.
+
+    Each range's lines are counted, the counts summed over the ranges before it,
+    and a line is told by its place in its range. Lines end with a line feed, a
+    carriage return before it is left out, and the last one needs no end.
+    """
+    place = ["file", "start"]
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    ranges = read.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.withColumn("before", F.coalesce(before, F.lit(0))).persist()
+    joined = read.join(F.broadcast(ranges) if ranges.count() <= BROADCAST_RANGES else ranges, place)
+    return joined.select(F.element_at(F.split("file", "/"), -1).alias("file"), (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), F.regexp_replace("text", "\r$", "").alias("text"))
+
+
 def json_lines_strict(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows with their line numbers, and the lines that don't parse: (rows, problems(file, line, text))."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "text"))
-    found = whole.where(T.stripped(F.col("text")) != "").withColumn("row", F.from_json("text", schema)).withColumn("valid", F.expr("try_parse_json(text)").isNotNull())
-    rows = found.where("valid").select((F.col("at") + 1).alias("line"), "row.*")
-    return rows, found.where("not valid").select("file", (F.col("at") + 1).alias("line"), "text")
+    # A parser stops behind the first value, so what follows it shows in an array with a mark at its end.
+    mark = f"try_parse_json('[' || text || ',{MARK}]')"
+    valid = F.expr(f"try_parse_json(text) is not null and coalesce(try_variant_get({mark}, '$[1]', 'int') = {MARK}, false) and try_variant_get({mark}, '$[2]', 'string') is null")
+    found = numbered_lines(spark, path).where(T.stripped(F.col("text")) != "").withColumn("row", F.from_json("text", schema)).withColumn("valid", valid)
+    return found.where("valid").select("line", "row.*"), found.where("not valid").select("file", "line", "text")
 
 
 def corpus(spark: SparkSession, path: str, documentation_only: bool = True) -> DataFrame:

@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,13 +42,23 @@ def state(spark: SparkSession, path: str) -> str:
     return f"{path} {summary.getLength()} {summary.getFileCount()} {fs.getFileStatus(at).getModificationTime()}"
 
 
+@cache
+def code() -> str:
+    """A digest of the code that tables are made by: a change of it makes them anew."""
+    here = Path(__file__).resolve().parent.parent
+    digest = hashlib.sha256()
+    for file in sorted([*here.glob("functions/*.py"), *here.glob("operators/*.py")]):
+        digest.update(file.read_bytes())
+    return digest.hexdigest()
+
+
 def stored(spark: SparkSession, name: str, inputs: Sequence[str], make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` returned for this state of the input tables, from Parquet.
+    """What ``make`` returned for this state of the input tables and of the code, from Parquet.
 
     It is written under another name first, so no reader sees a part of it, and
     of two jobs that make the same table one is kept.
     """
-    key = hashlib.sha256("\n".join(state(spark, p) for p in inputs).encode()).hexdigest()[:24]
+    key = hashlib.sha256("\n".join([code(), *(state(spark, p) for p in inputs)]).encode()).hexdigest()[:24]
     path = f"{shared_dir(spark)}/rankloom-stored/{key}/{name}"
     if not exists(spark, path):
         made = f"{path}.{uuid.uuid4().hex}"
@@ -54,4 +66,6 @@ def stored(spark: SparkSession, name: str, inputs: Sequence[str], make: Callable
         (fs, to), (_, here) = place(spark, path), place(spark, made)
         if fs.exists(to) or not fs.rename(here, to):
             fs.delete(here, True)
+        else:  # where the other job was faster, some stores move a folder into the one that is there
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to, here.getName()), True)
     return spark.read.parquet(path)
