@@ -17,6 +17,11 @@ bounds of what any alignment can match, so skipping below the threshold loses
 nothing. Templates go with the task (they are a
 fixed, small table); documents are scanned whole and without a shuffle.
 
+What tells licenses apart is not left to coverage: a sentence that does no more
+than name a license must stand there word for word, and a stretch that names
+another version, or another of the family (lesser, affero, neither), isn't the
+template's however many words they share.
+
 Every template at or over the threshold is told with its best stretch, the best
 template first; the columns of the single license are those of the first.
 
@@ -36,10 +41,11 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rankloom.llm.license_texts import TEMPLATES
+from rankloom.llm.license_texts import FAMILIES, NAMING, TEMPLATES
 
 THRESHOLD = 0.8
 NONE = (None, 0.0, 0, None, None)
+NUMBER = re.compile(r"\d+(?:\.\d+)*")
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -49,6 +55,11 @@ def words_of(text: str) -> tuple[list[str], list[int], list[int]]:
     return [m[0].lower() for m in found], [m.start() for m in found], [m.end() for m in found]
 
 
+def versions(words: Sequence[str]) -> set[str]:
+    """The numbers that follow the word version, or v."""
+    return {b for a, b in zip(words, words[1:], strict=False) if a in ("version", "v") and NUMBER.fullmatch(b)}
+
+
 def increasing(pairs: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence of pairs (ordered by the first) that increases in the second, by patience piles."""
     tops: list[int] = []
@@ -185,14 +196,14 @@ class Scanner:
         words, starts, ends = words_of(text or "")
         here = Counter(w for w in words if w in self.vocabulary)
         for name, template, counts, distinct in self.templates:
-            need = self.threshold * len(template)
+            need = len(template) if name in NAMING else self.threshold * len(template)
             # A distinct word that the text lacks is one match less at least.
             if len(template) - len(distinct) + len(distinct & here.keys()) < need or sum(min(n, here[w]) for w, n in counts.items()) < need:
                 continue
             best, span = 0, (0, 0)
             for low, high in self.windows(words, counts, len(template), need):
-                n, first, end = self.stretch(words[low:high], template)
-                if n > best:
+                n, first, end = self.verbatim(words[low:high], template) if name in NAMING else self.stretch(words[low:high], template)
+                if n > best and not self.another(words[low + first : low + end + 1], template):
                     best, span = n, (starts[low + first], ends[low + end - 1])
             if best and best / len(template) >= self.threshold:
                 out.append((len(template), (name, best / len(template), best, *span)))
@@ -202,6 +213,19 @@ class Scanner:
         """The best license: name, coverage, words matched, and the stretch in characters."""
         return next(iter(self.every(text)), NONE)
 
+    @staticmethod
+    def verbatim(words: list[str], template: list[str]) -> tuple[int, int, int]:
+        """The first place where the template's words stand one after another."""
+        n = len(template)
+        at = next((i for i, w in enumerate(words) if w == template[0] and words[i : i + n] == template), None)
+        return (0, 0, 0) if at is None else (n, at, at + n)
+
+    @staticmethod
+    def another(stretch: list[str], template: list[str]) -> bool:
+        """Whether a stretch, with the word behind it, names another version or family than the template."""
+        named = versions(template)
+        return bool(named and versions(stretch) - named) or FAMILIES & set(stretch) != FAMILIES & set(template)
+
     @staticmethod
     def stretch(words: list[str], template: list[str]) -> tuple[int, int, int]:
         """How many template words the best stretch matches, and where it begins and ends."""
