@@ -201,7 +201,8 @@ def rerank(pool: DataFrame, questions: DataFrame, texts: DataFrame, k: int = 5,
     stand-in runs in the JVM.
     """
     pairs = pool.select("qid", "id", F.col("rank").alias("before")).join(texts.select("id", F.col("text").alias("passage")), "id").join(questions.select("qid", F.col("text").alias("question")), "qid")
-    score = F.pandas_udf(scorer, "double")("question", "passage") if scorer else coverage(F.col("question"), F.col("passage"))
+    udf = scorer if hasattr(scorer, "evalType") else scorer and F.pandas_udf(scorer, "double")
+    score = udf("question", "passage") if udf else coverage(F.col("question"), F.col("passage"))
     return top(pairs.select("qid", "id", "before", score.alias("score")), ["qid"], [F.round("score", 9).desc(), F.col("before")], k).select("qid", "id", "rank", "score")
 
 

@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
-from rankloom.operators import balls, blockmax, chunking, evaluation, index, labels, retrieval
+from rankloom.operators import balls, blockmax, chunking, evaluation, index, labels, models, retrieval
 from rankloom.plans import runs
 from rankloom.sources import readers
 from rankloom.sources.readers import manifest, table
-from rankloom.sources.stored import place, shared_dir, stored
+from rankloom.sources.stored import bucketed, place, shared_dir, stored
 from rankloom.streaming.jobs import append_results, stream_once
 from rankloom.streaming.sink import OnceSink
 
@@ -100,6 +100,18 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "postings", make)
 
 
+#: Bytes of text of a bucket.
+BUCKET_BYTES = 256 << 20
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, text: the stored texts in buckets of id, which candidates are joined to without moving a text."""
+    rows = docs(spark, sf_dir)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    return bucketed(spark, "texts", [f"{sf_dir}/documents.parquet"], lambda: rows, "id", buckets)
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored postings in blocks."""
     lengths = retrieval.lengths(docs(spark, sf_dir)).select("id", "dl")
@@ -139,7 +151,7 @@ def four_hits(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The hits of the four systems of an evaluation run."""
     a, b = searches(spark, sf_dir, "dense", "bm25")
     pool = retrieval.fuse([a, b], 50)
-    return {"dense": a, "bm25": b, "fused": pool, "rerank": retrieval.rerank(pool, questions(spark, sf_dir), docs(spark, sf_dir), 10)}
+    return {"dense": a, "bm25": b, "fused": pool, "rerank": retrieval.rerank(pool, questions(spark, sf_dir), texts(spark, sf_dir), 10)}
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,6 +321,12 @@ def rerank_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(retrieval.rerank(hits(spark, sf_dir)["fused"], questions(spark, sf_dir), docs(spark, sf_dir), 5))
 
 
+@query(SQL["rerank_stub"])
+def rerank_resident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a model that every worker loads once: here one that counts terms."""
+    return _shown(retrieval.rerank(hits(spark, sf_dir)["fused"], questions(spark, sf_dir), texts(spark, sf_dir), 5, models.pair_scorer("term-share", models.TermShare)))
+
+
 _DENSE = f"""{_FUSED},
 vc AS (SELECT id, h % 64 AS dim, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS s FROM (SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h FROM (SELECT id, unnest(toks) AS t FROM dt)) GROUP BY 1, 2),
 vn AS (SELECT id, dim, coalesce(s / nullif(sqrt(sum(s * s) OVER (PARTITION BY id)), 0), 0) AS x FROM vc),

@@ -52,8 +52,8 @@ def code() -> str:
     return digest.hexdigest()
 
 
-def stored(spark: SparkSession, name: str, inputs: Sequence[str], make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` returned for this state of the input tables and of the code, from Parquet.
+def kept(spark: SparkSession, name: str, inputs: Sequence[str], write: Callable[[str], None]) -> str:
+    """The folder of a table for this state of the input tables and of the code; ``write`` fills it where it isn't there.
 
     It is written under another name first, so no reader sees a part of it, and
     of two jobs that make the same table one is kept.
@@ -62,10 +62,34 @@ def stored(spark: SparkSession, name: str, inputs: Sequence[str], make: Callable
     path = f"{shared_dir(spark)}/rankloom-stored/{key}/{name}"
     if not exists(spark, path):
         made = f"{path}.{uuid.uuid4().hex}"
-        make().write.parquet(made)
+        write(made)
         (fs, to), (_, here) = place(spark, path), place(spark, made)
         if fs.exists(to) or not fs.rename(here, to):
             fs.delete(here, True)
         else:  # where the other job was faster, some stores move a folder into the one that is there
             fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to, here.getName()), True)
-    return spark.read.parquet(path)
+    return path
+
+
+def stored(spark: SparkSession, name: str, inputs: Sequence[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returned for this state of the input tables and of the code, from Parquet."""
+    return spark.read.parquet(kept(spark, name, inputs, lambda path: make().write.parquet(path)))
+
+
+def bucketed(spark: SparkSession, name: str, inputs: Sequence[str], make: Callable[[], DataFrame], column: str, buckets: int) -> DataFrame:
+    """The same in hash buckets of a column, so that joins by it leave these rows where they are.
+
+    The catalogue of the session is told of the files; another session tells its own.
+    """
+
+    def write(path: str) -> None:
+        draft = f"rankloom_draft_{uuid.uuid4().hex}"
+        make().repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).format("parquet").option("path", path).saveAsTable(draft)
+        spark.sql(f"DROP TABLE {draft}")  # its files stay: the folder is the caller's
+
+    path = kept(spark, f"{name}-{column}-{buckets}", inputs, write)
+    table = f"rankloom_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+    if not spark.catalog.tableExists(table):
+        columns = ", ".join(f"`{c}` {kind}" for c, kind in spark.read.parquet(path).dtypes)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY (`{column}`) SORTED BY (`{column}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
