@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import text as T
 from rankloom.operators import balls, blockmax, chunking, evaluation, index, labels, models, retrieval
 from rankloom.plans import runs
-from rankloom.sources import readers
+from rankloom.sources import pinned, readers
 from rankloom.sources.readers import manifest, table
 from rankloom.sources.stored import bucketed, place, shared_dir, stored
 from rankloom.streaming.jobs import append_results, stream_once
@@ -752,6 +752,18 @@ def json_lines_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "text", "n")
 
 
+@query("""SELECT 'page' || page_id || '.html' AS name, octet_length(encode(coalesce(html, '')))::BIGINT AS bytes, sha256(coalesce(html, '')) AS sha256, page_id <> (SELECT min(page_id) FROM pages) AS ok,
+CASE WHEN page_id <> (SELECT min(page_id) FROM pages) THEN length(coalesce(html, ''))::INT END AS chars FROM pages""")
+def pinned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as files with a manifest and read back by it; the first page's file gets a byte that isn't pinned."""
+    at, rows = scratch(spark, "pinned"), table(spark, sf_dir, "pages")
+    named = rows.select(F.concat(F.lit("page"), "page_id", F.lit(".html")).alias("name"), F.col("html").alias("text"), "page_id")
+    pinned.write(named, f"{at}/files", f"{at}/manifest")
+    first = named.orderBy("page_id").limit(1).select("name", F.concat(F.coalesce("text", F.lit("")), F.lit("!")).alias("text"))
+    pinned.write(first, f"{at}/files", f"{at}/other")
+    return pinned.read(spark, f"{at}/files", f"{at}/manifest").select("name", "bytes", "sha256", "ok", F.length("text").alias("chars"))
+
+
 @query("SELECT system, item_id AS qid, CASE WHEN item_id % 2 = 0 THEN 1 ELSE 2 END AS run FROM benchmark, (VALUES ('bm25'), ('dense')) s(system)")
 def appended_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even questions are recorded by a first run; a second run of all, each twice, adds the odd ones once."""
