@@ -764,6 +764,24 @@ def pinned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pinned.read(spark, f"{at}/files", f"{at}/manifest").select("name", "bytes", "sha256", "ok", F.length("text").alias("chars"))
 
 
+@query("SELECT 'page' || page_id || '.md' AS name, coalesce(html, '') AS text FROM pages")
+def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as Markdown files, beside files that aren't documentation, and read as a corpus."""
+    at = scratch(spark, "corpus")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page"), "page_id", F.lit(".md")).alias("name"), F.col("html").alias("text"))
+    others = spark.sql("select * from values ('README.md', 'x'), ('index.md', 'y'), ('notes.txt', 'z') as t(name, text)")
+    pinned.write(pages.unionByName(others), f"{at}/files", f"{at}/manifest")
+    return readers.corpus(spark, f"{at}/files")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def json_lines_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as JSON lines with blank lines between them, and read back."""
+    at, rows = scratch(spark, "turns"), table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows.select(F.concat(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), F.lit("\n")).alias("value")).write.text(at)
+    return readers.json_lines(spark, at, "conv_id long, turn long, role string, text string")
+
+
 @query("SELECT system, item_id AS qid, CASE WHEN item_id % 2 = 0 THEN 1 ELSE 2 END AS run FROM benchmark, (VALUES ('bm25'), ('dense')) s(system)")
 def appended_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even questions are recorded by a first run; a second run of all, each twice, adds the odd ones once."""
