@@ -360,6 +360,16 @@ def reranked_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(four_hits(spark, sf_dir)["rerank"])
 
 
+@query(f"""WITH {_DENSE} SELECT 'dense' AS stage, count(*)::BIGINT AS n FROM de UNION ALL SELECT 'bm25', count(*) FROM bm UNION ALL SELECT 'fuse', count(*) FROM po4 UNION ALL SELECT 'rerank', count(*) FROM rr4""")
+def stage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each stage of the whole pipeline, counted in one run of it."""
+    watched = runs.Watched()
+    lists = [watched.stage("dense", dense(spark, sf_dir, 50)), watched.stage("bm25", bm25(spark, sf_dir, 50))]
+    pool = watched.stage("fuse", retrieval.fuse(lists, 50))
+    rows, _ = watched.run(watched.stage("rerank", retrieval.rerank(pool, questions(spark, sf_dir), texts(spark, sf_dir), 10)))
+    return spark.createDataFrame(list(rows.items()), "stage string, n long")
+
+
 @query(f"WITH {_DENSE} SELECT qid, id, round(coalesce(de.score, bm.score), 6) AS score FROM de FULL JOIN bm USING (qid, id)")
 def carried_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = four_hits(spark, sf_dir)

@@ -8,7 +8,7 @@ import time
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
@@ -122,6 +122,25 @@ def stage_ms(index: I.Index, questions: DataFrame, k: int = DEPTH, *, pool: int
     return took
 
 
+class Watched:
+    """Rows that each stage of one run gives the next, counted while it runs: nothing is kept and no stage runs twice."""
+
+    def __init__(self) -> None:
+        self.stages: dict[str, Observation] = {}
+
+    def stage(self, name: str, made: DataFrame) -> DataFrame:
+        """The stage's rows, counted as they pass; each stage is read once in the plan."""
+        self.stages[name] = Observation()
+        return made.observe(self.stages[name], F.count(F.lit(1)).alias("n"))
+
+    def run(self, last: DataFrame) -> tuple[dict[str, int], float]:
+        """Rows by stage, and the seconds of the whole run."""
+        start = time.monotonic()
+        last.write.format("noop").mode("overwrite").save()
+        took = time.monotonic() - start
+        return {name: int(seen.get["n"]) for name, seen in self.stages.items()}, took
+
+
 def recorded(spark, out: str) -> DataFrame:
     """system, qid of the results that are there."""
     return spark.read.parquet(out).select("system", "qid") if exists(spark, out) else spark.createDataFrame([], "system string, qid string")
