@@ -12,12 +12,14 @@ document at most.
 The prefix sum never sorts a whole source in one task: keys fall into buckets
 of about ``rows_per_bucket`` rows, buckets are summed first (by ``running``, so
 that not even all buckets of a source need meet), and rows are sorted within
-(source, bucket) only.
+(source, bucket) only. Buckets are cut where the keys of the source's own mix
+of weights lie (weights are told apart by ``GRADES`` steps to an octave), so
+they are even at any weight.
 
 Defined cases: a null source is a source of its own, last in order. Rows of
 null ids draw by their source and size. A null or
 empty text has size 0 and is never taken. Repeated rows are rows of their own.
-Null, zero or negative quality weights count as 1. An empty table gives an
+Null, NaN, infinite, zero or negative quality weights count as 1. An empty table gives an
 empty result. Other columns of the input are ignored.
 """
 
@@ -31,6 +33,8 @@ from rankloom.llm.common import WORD, cut, fresh, hashed, running
 SEED = "mix-1"
 #: Weights of labelled documents; all others weigh 1.
 GOOD, POOR = 2.0, 0.5
+#: Steps of an octave in which weights are counted, to cut buckets by.
+GRADES = 16
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
@@ -55,6 +59,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     return per.select("source", "n", "source_size", target.alias("target"))
 
 
+def expected_share(key: Column, grades: Column) -> Column:
+    """The share of a source's keys that should lie below one, by how many rows have weights of each grade.
+
+    Grades are summed in their order, so every evaluation gives the same double,
+    and the sum never falls as keys grow.
+    """
+    below = F.aggregate(grades, F.lit(0.0), lambda total, g: total + g["rows"] * (1 - F.exp(-F.pow(F.lit(2.0), g["grade"] / float(GRADES)) * key)))
+    return below / F.aggregate(grades, F.lit(0.0), lambda total, g: total + g["rows"])
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -71,11 +85,15 @@ def mix(
     # A null id draws by what else is known of its row; equal rows are interchangeable.
     drawn_by = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(":", F.lit("null"), F.xxhash64(size, "source").cast("string")))
     u = (hashed(seed, drawn_by).cast("double") + 0.5) / float(1 << 48)
-    key = -F.log(u) / F.when(quality > 0, quality).otherwise(1.0)
-    rows = cut(docs.select("doc_id", "source", size.cast("long").alias("size"), key.alias("key")))
-    targets = source_targets(rows, weights, max_epochs)
-    place = F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("n") / rows_per_bucket))
-    dealt = rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", place)
+    weight = F.when((quality > 0) & (quality < float("inf")), quality).otherwise(1.0)
+    grade = F.round(F.log2(weight) * GRADES).cast("int")
+    rows = cut(docs.select("doc_id", "source", size.cast("long").alias("size"), (-F.log(u) / weight).alias("key"), grade.alias("grade")))
+    targets = source_targets(rows, weights, max_epochs).withColumnRenamed("source", "s")
+    grades = rows.groupBy("source", "grade").agg(F.count(F.lit(1)).alias("rows")).groupBy(F.col("source").alias("of"))
+    grades = grades.agg(F.sort_array(F.collect_list(F.struct("grade", "rows"))).alias("grades"))
+    targets = targets.join(grades, F.col("s").eqNullSafe(F.col("of"))).drop("of")
+    place = F.floor(expected_share(F.col("key"), F.col("grades")) * F.ceil(F.col("n") / rows_per_bucket))
+    dealt = rows.join(targets, F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", place).drop("s", "grade", "grades")
     sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     sums = running(sums, ["source"], "bucket", "in_bucket", "before").select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before")
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
