@@ -19,10 +19,12 @@ in the range of long.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import BLANKS, let
+from rankloom.llm.common import BLANKS, cut, let
 
 BINS, BITS, SHINGLE = 256, 8, 5
 #: A bin's number stands above its value, so that sorting groups hashes by bin.
@@ -98,35 +100,48 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", packed(signature(F.coalesce("text", F.lit("")))).alias("fingerprint"))
 
 
-def group_of(docs: DataFrame, rows_per_group: int) -> Column:
-    """A number for each id that never falls as ids grow, for about ``rows_per_group`` rows each; -1 for null ids.
-
-    Ids are cut at their quantiles, so one far id doesn't throw the others
-    together, and evenly between two quantiles. Differences are taken as
-    doubles, which the ends of the long range don't overflow.
-    """
-    n = docs.count()
-    cuts = max(1, min(QUANTILES, n // rows_per_group))
-    parts = max(1, min(PARTS, n // (rows_per_group * cuts)))
-    shares = [i / cuts for i in range(cuts + 1)]
-    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 10 * QUANTILES)).first()[0]
-    if found is None:
-        return F.lit(-1).cast("long")
-    lows = sorted(set(found))
+def last_not_above(bounds: Column, most: int, value: Column) -> Column:
+    """Where the last of some rising bounds (``most`` at most) that isn't above a value is, 0 if there is none, by binary search."""
     steps, step = [], 1
-    while step < len(lows):
+    while step < most:
         steps.append(step)
         step *= 2
-    bounds = F.lit(lows)
-    # Binary search for the last quantile that isn't above the id.
-    at = F.aggregate(F.lit([*reversed(steps), 0]), F.lit(0), lambda i, k: F.when((i + k < len(lows)) & (F.get(bounds, i + k) <= F.col("doc_id")), i + k).otherwise(i))
+    n = F.size(bounds)
+    return F.aggregate(F.lit([*reversed(steps), 0]), F.lit(0), lambda i, k: F.when((i + k < n) & (F.get(bounds, i + k) <= value), i + k).otherwise(i))
 
-    def inside(i: Column) -> Column:
-        low, high = F.get(bounds, i).cast("double"), F.get(bounds, F.least(i + 1, F.lit(len(lows) - 1))).cast("double")
-        share = (F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0))
-        return i.cast("long") * parts + F.greatest(F.lit(0), F.least(F.floor(share * parts), F.lit(parts - 1)))
 
-    return F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(let(at, inside))
+def grouping(docs: DataFrame, rows_per_group: int, tie: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds long columns ``turn`` and ``group`` to rows of docs, whose groups never fall as (doc_id, turn) grows.
+
+    A group has about ``rows_per_group`` rows. Ids are cut at their quantiles,
+    and each of these ranges at its own, so ids that lie close together or far
+    off don't throw others together. Rows of null ids are cut evenly by
+    ``turn``, a hash of ``tie``, into groups below 0; other rows' turn is 0.
+    """
+    n, known = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    cuts = max(1, min(QUANTILES, known // rows_per_group))
+    parts = max(1, min(PARTS, known // (rows_per_group * cuts)))
+    unknown = max(1, min(QUANTILES * PARTS, -(-(n - known) // rows_per_group)))
+    # Without null ids the text isn't read for their turn.
+    turn = F.when(F.col("doc_id").isNull(), F.xxhash64(*tie)).otherwise(F.lit(0).cast("long")) if known < n else F.lit(0).cast("long")
+    share = F.col("turn").cast("double") / 2.0**64 + 0.5
+    nulls = (F.least(F.floor(share * unknown), F.lit(unknown - 1)) - unknown).cast("long")
+    if not known:
+        return lambda rows: rows.withColumn("turn", turn).withColumn("group", nulls)
+    ids = F.col("doc_id").cast("long")
+    lows = sorted(set(docs.agg(F.percentile_approx(ids, [i / cuts for i in range(cuts + 1)], 10 * QUANTILES)).first()[0]))
+    of = last_not_above(F.lit(lows), len(lows), ids)
+    if parts == 1:
+        return lambda rows: rows.withColumn("turn", turn).withColumn("group", F.when(F.col("doc_id").isNull(), nulls).otherwise(of.cast("long")))
+    inner = docs.where("doc_id is not null").groupBy(of.alias("range")).agg(F.percentile_approx(ids, [i / parts for i in range(parts + 1)], 10 * PARTS).alias("bounds"))
+    inner = cut(inner)
+
+    def add(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("turn", turn).withColumn("of", F.when(F.col("doc_id").isNotNull(), of)).join(F.broadcast(inner), F.col("of") == F.col("range"), "left")
+        place = F.col("of").cast("long") * (parts + 1) + last_not_above(F.col("bounds"), parts + 1, ids)
+        return rows.withColumn("group", F.coalesce(place, nulls)).drop("of", "range", "bounds")
+
+    return add
 
 
 def with_next(docs: DataFrame, rows_per_group: int = 500) -> DataFrame:
@@ -134,25 +149,28 @@ def with_next(docs: DataFrame, rows_per_group: int = 500) -> DataFrame:
 
     Neighbours are found within a group of ids; the first row of a group also
     goes, as a copy, to the group that it follows on, so no window spans the
-    table. Only the table of groups is broadcast; ``QUANTILES`` and ``PARTS``
-    bound it. Null ids come last.
+    table. Only tables of groups are broadcast; ``QUANTILES`` and ``PARTS``
+    bound them. Null ids come last, by a hash of the next column (the text) and
+    then by it; rows of one id, and null ids of one text, share a group.
     """
-    group = group_of(docs, rows_per_group)
-    ends = docs.select("doc_id", group.alias("group")).groupBy("group").agg(F.max("doc_id").alias("first_id"))
+    kept = [c for c in docs.columns]
+    tie = [c for c in kept if c != "doc_id"][:1]
+    add = grouping(docs, rows_per_group, tie)
+    rows = add(docs)
+    ids = add(docs.select("doc_id", *tie))
+    ends = ids.groupBy("group").agg(F.max(F.struct("doc_id", "turn")).alias("first_row"))
     everywhere = Window.partitionBy()
     wanted = F.coalesce(F.lead("group").over(Window.orderBy("group")), F.min("group").over(everywhere))
-    ends = ends.select(F.col("group").alias("g"), "first_id", wanted.alias("wanted_by"))
-    kept = [c for c in docs.columns]
-    rows = docs.withColumn("group", group)
-    # A row that repeats the first id is copied as well; the window below takes the first copy only.
-    rows = rows.join(F.broadcast(ends), (F.col("group") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
+    ends = ends.select(F.col("group").alias("g"), F.col("first_row.doc_id").alias("first_id"), F.col("first_row.turn").alias("first_turn"), wanted.alias("wanted_by"))
+    # A row that repeats the first one's place is copied as well; the window below takes the first copy only.
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("turn") == F.col("first_turn"))
+    rows = rows.join(F.broadcast(ends), (F.col("group") == F.col("g")) & first, "left")
     own = F.struct(F.col("group").alias("at"), F.lit(False).alias("copy"))
     lent = F.struct(F.col("wanted_by").alias("at"), F.lit(True).alias("copy"))
-    rows = rows.select(*kept, F.explode(F.when(F.isnull("g"), F.array(own)).otherwise(F.array(own, lent))).alias("to"))
-    tie = [c for c in kept if c != "doc_id"][:1]
-    order = Window.partitionBy("to.at").orderBy("to.copy", F.col("doc_id").desc_nulls_last(), *tie)
+    rows = rows.select(*kept, "turn", F.explode(F.when(F.isnull("g"), F.array(own)).otherwise(F.array(own, lent))).alias("to"))
+    order = Window.partitionBy("to.at").orderBy("to.copy", F.col("doc_id").desc_nulls_last(), F.col("turn").desc(), *tie)
     rows = rows.withColumn("next", F.lead(F.struct(*kept)).over(order))
-    return rows.where(~F.col("to.copy")).drop("to")
+    return rows.where(~F.col("to.copy")).drop("to", "turn")
 
 
 def fingerprint_with_edits(docs: DataFrame) -> DataFrame:

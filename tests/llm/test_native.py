@@ -118,6 +118,34 @@ def test_neighbours_over_many_groups(spark):
     assert fingerprints.with_next(df.limit(0)).count() == 0
 
 
+def test_clumped_and_null_ids_make_even_groups(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "QUANTILES", 8)
+    monkeypatch.setattr(fingerprints, "PARTS", 64)
+    ids = [*range(2000), *(10**15 + 10**9 * i for i in range(2000))]  # two scales
+    rows = [(i, f"t{i}") for i in ids] + [(None, f"null {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    largest = fingerprints.grouping(docs, 20, ["text"])(docs).groupBy("group").count().agg(F.max("count")).first()[0]
+    assert largest <= 80
+    got = fingerprints.with_next(docs, 20).collect()
+    assert len(got) == len(rows)
+    after = {r["doc_id"]: r["next"] for r in got if r["doc_id"] is not None}
+    assert all(after[b]["doc_id"] == a for a, b in zip(ids, ids[1:], strict=False)) and after[0]["doc_id"] is None
+    hashes = {r["text"]: r["h"] for r in docs.where("doc_id is null").select("text", F.xxhash64("text").alias("h")).collect()}
+    nulls = sorted(hashes, key=hashes.get, reverse=True)
+    follows = {r["text"]: r["next"]["text"] for r in got if r["doc_id"] is None}
+    assert follows == dict(zip(nulls, [*nulls[1:], f"t{ids[-1]}"], strict=True)) and after[0]["text"] == nulls[0]
+
+
+@pytest.mark.parametrize("quality", [0.01, 0.5, 1.0, 100.0, None])
+def test_buckets_are_even_at_any_weight(spark, quality):
+    n = 100_000
+    weight = F.lit(quality) if quality else F.when(F.col("id") % 3 == 0, 0.03).when(F.col("id") % 3 == 1, 7.3).otherwise(1.0)
+    drawn = spark.range(n).select((-F.log((F.hash("id").cast("double") + 2.0**31 + 0.5) / 2.0**32) / weight).alias("key"), F.round(F.log2(weight) * mixing.GRADES).cast("int").alias("grade"))
+    grades = drawn.groupBy("grade").agg(F.count(F.lit(1)).alias("rows")).agg(F.sort_array(F.collect_list(F.struct("grade", "rows"))).alias("grades"))
+    placed = drawn.crossJoin(grades).groupBy(F.floor(mixing.expected_share(F.col("key"), F.col("grades")) * 100)).count()
+    assert placed.agg(F.max("count")).first()[0] <= 1400
+
+
 @pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
 def test_likeness_estimates_jaccard(spark, share):
     n = 400
