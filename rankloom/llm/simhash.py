@@ -281,6 +281,8 @@ _TIMES = _random.integers(0, 2**64, (WIDTH * BANDS, 1), np.uint64) | np.uint64(1
 _MIX = _random.integers(0, 2**64, (BANDS, WIDTH), np.uint64) | np.uint64(1)
 #: Slots of shingles that bound the number two sets share; shingles that are hashed at once.
 SLOTS, AT_ONCE = 1 << 20, 1024
+#: Shingles of a block of candidates; a task that verifies them holds about two blocks.
+BLOCK = 1 << 21
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -300,24 +302,25 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, and of a text's distinct shingles: a digest d, a key for each band, and two sketches of 64 bits (a bit each of 128 least hashes)."""
+    """doc_id, and of a text's distinct shingles: a digest d, their number, a key for each band, and two sketches of 64 bits (a bit each of 128 least hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, bands, bits = [], [], []
+            d, sizes, bands, bits = [], [], [], []
             for t in batch.column(1):
                 hashes = shingle_set(t.as_py(), shingle)
                 least = min_hashes(hashes)
                 mixed = (least.reshape(BANDS, WIDTH) * _MIX).sum(axis=1, dtype=np.uint64)
                 d.append(set_digest(hashes))
+                sizes.append(len(hashes))
                 bands.append(mixed ^ (mixed >> np.uint64(31)))
                 bits.append(np.packbits((least[:128] >> np.uint64(31) & np.uint64(1)).astype(bool), bitorder="little").view("<u8"))
             keys = pa.array(np.concatenate(bands or [np.zeros(0, np.uint64)]).view(np.int64))
             k1, k2 = np.array(bits, np.uint64).reshape(-1, 2).T
             offsets = pa.array(np.arange(len(d) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(d), pa.ListArray.from_arrays(offsets, keys), _signed(k1), _signed(k2)], names=["doc_id", "d", "bands", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(d), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, keys), _signed(k1), _signed(k2)], names=["doc_id", "d", "size", "bands", "k1", "k2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, d long, bands array<long>, k1 long, k2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, d long, size long, bands array<long>, k1 long, k2 long")
 
 
 def connected(sets: list[np.ndarray]) -> np.ndarray:
@@ -356,25 +359,26 @@ def connected(sets: list[np.ndarray]) -> np.ndarray:
     return group
 
 
-def verified(members: DataFrame, shingle: int, partitions: int) -> DataFrame:
-    """d, keeper (the smallest node of its group) of members(component, d, node, text); components are compared in whole."""
+def verified(members: DataFrame, by: list[str], shingle: int, partitions: int) -> DataFrame:
+    """d, keeper, lead (the smallest node of its group, and the digest of that) of members(by..., d, node, text); rows equal in ``by`` are compared in whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
             group = connected([x for _, x in held.values()]).tolist()
-            least: dict[int, int] = {}
-            for g, (node, _) in zip(group, held.values(), strict=True):
-                least[g] = min(node, least.get(g, node))
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([least[g] for g in group], pa.int64())], names=["d", "keeper"])
+            least: dict[int, tuple[int, int]] = {}
+            for g, (d, (node, _)) in zip(group, held.items(), strict=True):
+                least[g] = min((node, d), least.get(g, (node, d)))
+            keepers, leads = zip(*(least[g] for g in group), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (list(held), keepers, leads)], names=["d", "keeper", "lead"])
 
         at, held = None, {}
         for batch in batches:
-            for component, d, node, text in zip(*batch.columns, strict=True):
-                component, d = component.as_py(), d.as_py()
-                if component != at:
+            for *group, d, node, text in zip(*batch.columns, strict=True):
+                group, d = [x.as_py() for x in group], d.as_py()
+                if group != at:
                     if held:
                         yield out(held)
-                    at, held = component, {}
+                    at, held = group, {}
                 if d not in held:
                     hashes = shingle_set(text.as_py(), shingle)
                     if set_digest(hashes) == d % 2**64:  # else another row of the same doc_id
@@ -382,8 +386,46 @@ def verified(members: DataFrame, shingle: int, partitions: int) -> DataFrame:
         if held:
             yield out(held)
 
-    rows = members.select("component", "d", "node", "text").repartition(partitions, "component").sortWithinPartitions("component")
-    return rows.mapInArrow(run, "d long, keeper long")
+    rows = members.select(*by, "d", "node", "text").repartition(partitions, *by).sortWithinPartitions(*by)
+    return rows.mapInArrow(run, "d long, keeper long, lead long")
+
+
+def in_pairs_of_blocks(dealt: DataFrame) -> DataFrame:
+    """component, i, j, d, node of dealt(component, d, node, blocks): a row for each pair of blocks (i, j) that a member is in.
+
+    Members are dealt to blocks by hash, and any two meet in a pair of blocks.
+    """
+    own = F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")
+    paired = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
+    return paired.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "d", "node")
+
+
+def keepers(members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """d, keeper (the smallest node of its group) of candidates, members(component, d, node, size), compared by the texts of docs.
+
+    A component of up to two blocks of shingles is compared in one task. A
+    larger one is dealt into blocks, whose pairs are compared, each in a task,
+    and what they link is connected anew: the same groups, as every two members
+    meet in a pair.
+    """
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        return rows.join(docs.select("doc_id", "text"), F.col("node") == F.col("doc_id"))
+
+    n = members.count()
+    blocks = F.when(F.sum("size") > 2 * BLOCK, F.ceil(F.sum("size") / BLOCK)).otherwise(1).cast("int")
+    blocks = cut(members.groupBy("component").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n")))
+    if not blocks.where("blocks > 1").head(1):
+        return verified(with_text(members), ["component"], shingle, partitions_for(n, 20_000)).select("d", "keeper")
+    dealt = cut(join_by_key(members, blocks, "component", "n", n))
+    small, large = dealt.where("blocks = 1"), dealt.where("blocks > 1")
+    pairs = cut(in_pairs_of_blocks(large))
+    linked = verified(with_text(pairs), ["component", "i", "j"], shingle, partitions_for(pairs.count(), 20_000))
+    found = components(linked.select(F.col("d").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "d")
+    found = cut(found.join(large.select("d", "node"), "d"))
+    least = found.groupBy("component").agg(F.min("node").alias("keeper"), F.count(F.lit(1)).alias("n"))
+    named = join_by_key(found, least, "component", "n", found.count()).select("d", "keeper")
+    return named.unionByName(verified(with_text(small), ["component"], shingle, partitions_for(n, 20_000)).select("d", "keeper"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -393,17 +435,16 @@ def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     is 0.8 or more; groups are connected by such pairs. Texts of equal shingles
     are one class. Bands of least hashes find the candidates and sketches drop
     unlike ones; components of these are then compared by their whole shingle
-    sets, so no document goes without a pair of the similarity.
+    sets, at most about two blocks in a task, so no document goes without a
+    pair of the similarity.
     Rows of equal doc_id stay or go together; null ids stay.
     """
     rows = cut(sketches(docs.select("doc_id", "text"), shingle))
-    classes = cut(rows.groupBy("d").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), *(F.any_value(c).alias(c) for c in ("bands", "k1", "k2"))).where("node is not null"))
+    classes = cut(rows.groupBy("d").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), *(F.any_value(c).alias(c) for c in ("size", "bands", "k1", "k2"))).where("node is not null"))
     indexed = classes.select(F.explode("bands").alias("key"), F.col("d").alias("node"), "k1", "k2")
     loose = components(links(indexed, [(2, SKETCH_BITS)], partitions_for(classes.count() * BANDS)))
-    members = cut(classes.select("d", "node").join(loose.withColumnRenamed("node", "d"), "d").select("component", "d", "node"))
-    texts = members.join(docs.select("doc_id", "text"), F.col("node") == F.col("doc_id"))
-    found = verified(texts, shingle, partitions_for(members.count(), 20_000))
-    labelled = cut(classes.select("d", "node", "n").join(found, "d", "left").select("d", F.coalesce("keeper", "node").alias("keeper"), "n"))
+    members = cut(classes.select("d", "node", "size").join(loose.withColumnRenamed("node", "d"), "d").select("component", "d", "node", "size"))
+    labelled = cut(classes.select("d", "node", "n").join(keepers(members, docs, shingle), "d", "left").select("d", F.coalesce("keeper", "node").alias("keeper"), "n"))
     gone = fresh("gone", docs)
     going = join_by_key(rows.select("doc_id", "d"), labelled, "d", "n", rows.count()).where("doc_id <> keeper").select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(cut(going), F.col("doc_id") == F.col(gone), "left_anti")

@@ -156,7 +156,9 @@ def shingles_of(text):
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
-def test_one_of_each_equals_brute_force(spark):
+@pytest.mark.parametrize("block", [simhash.BLOCK, 150])
+def test_one_of_each_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)  # of 150 shingles: most components are dealt into blocks
     rng = random.Random(10)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     rows = []
