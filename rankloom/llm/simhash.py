@@ -257,12 +257,17 @@ def partitions_for(rows: int, each: int = 500_000) -> int:
 COPIES = 32
 
 
+def near_fingerprints(fps: DataFrame, n: int, distance: int = 4) -> DataFrame:
+    """node, component (a name for all that are reachable) of each of n distinct fingerprints (a column fp) that links to another."""
+    indexed = fps.select(F.explode(variants(F.col("fp"), distance)).alias("key"), F.col("fp").alias("node"), "fp")
+    return components(links(indexed, [(1, distance)], partitions_for(n * 64)))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable) for every document."""
     fps = cut(fingerprints(docs, shingle))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    indexed = classes.select(F.explode(variants(F.col("fp"), distance)).alias("key"), F.col("fp").alias("node"), "fp")
-    found = components(links(indexed, [(1, distance)], partitions_for(classes.count() * 64)))
+    found = near_fingerprints(classes, classes.count(), distance)
     joined = cut(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left"))
     several = joined.where("component is not null")
     names = several.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
@@ -301,14 +306,16 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, and of a text's distinct shingles: a digest d, their number, a key for each band, and two sketches of 64 bits (a bit each of 128 least hashes)."""
+def sketches(docs: DataFrame, shingle: int = 5, fingerprinted: int = 4) -> DataFrame:
+    """doc_id, the text's fingerprint fp, and of its distinct shingles: a digest d, their number, a key for each band, and two sketches of 64 bits (a bit each of 128 least hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, sizes, bands, bits = [], [], [], []
+            fps, d, sizes, bands, bits = [], [], [], [], []
             for t in batch.column(1):
-                hashes = shingle_set(t.as_py(), shingle)
+                text = t.as_py()
+                fps.append(majority(shingle_hashes(text, fingerprinted)))
+                hashes = shingle_set(text, shingle)
                 least = min_hashes(hashes)
                 mixed = (least.reshape(BANDS, WIDTH) * _MIX).sum(axis=1, dtype=np.uint64)
                 d.append(set_digest(hashes))
@@ -318,9 +325,9 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
             keys = pa.array(np.concatenate(bands or [np.zeros(0, np.uint64)]).view(np.int64))
             k1, k2 = np.array(bits, np.uint64).reshape(-1, 2).T
             offsets = pa.array(np.arange(len(d) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(d), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, keys), _signed(k1), _signed(k2)], names=["doc_id", "d", "size", "bands", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(fps), _signed(d), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, keys), _signed(k1), _signed(k2)], names=["doc_id", "fp", "d", "size", "bands", "k1", "k2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, d long, size long, bands array<long>, k1 long, k2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long, d long, size long, bands array<long>, k1 long, k2 long")
 
 
 def connected(sets: list[np.ndarray]) -> np.ndarray:
@@ -428,21 +435,41 @@ def keepers(members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     return named.unionByName(verified(with_text(small), ["component"], shingle, partitions_for(n, 20_000)).select("d", "keeper"))
 
 
+def by_fingerprints(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between digests d of rows(d, fp) whose fingerprints are equal or reach one another by links, as ``near_duplicates`` finds them: stars."""
+    held = cut(rows.groupBy("fp", "d").agg(F.count(F.lit(1)).alias("n")))
+    fps = cut(held.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+    found = near_fingerprints(fps, fps.count()).withColumnRenamed("node", "fp")
+    named = join_by_key(held.select("fp", "d"), cut(fps.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "n")), "fp", "n", held.count())
+    named = cut(named.select("component", "d").distinct())
+    centres = cut(named.groupBy("component").agg(F.min("d").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return join_by_key(named, centres, "component", "n", named.count()).where("d <> b").select(F.col("d").alias("a"), "b")
+
+
+def candidates(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, component: digests that links of fingerprints or of bands of least hashes, whose sketches are alike, connect."""
+    indexed = classes.select(F.explode("bands").alias("key"), F.col("d").alias("node"), "k1", "k2")
+    banded = links(indexed, [(2, SKETCH_BITS)], partitions_for(classes.count() * BANDS))
+    return components(by_fingerprints(rows.where("doc_id is not null").select("d", "fp")).unionByName(banded))
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The documents, all columns, without near copies: the smallest doc_id of each group stays.
 
     Texts are near copies if the Jaccard similarity of their distinct shingles
     is 0.8 or more; groups are connected by such pairs. Texts of equal shingles
-    are one class. Bands of least hashes find the candidates and sketches drop
-    unlike ones; components of these are then compared by their whole shingle
+    are one class. SimHash finds candidates, as in ``near_duplicates``: all that
+    reach one another by fingerprints of four-word shingles. Texts of the
+    similarity whose fingerprints differ in more bits (a passage put in) are
+    found by bands of least hashes, whose sketches drop unlike ones.
+    Components of both are then compared by their whole shingle
     sets, at most about two blocks in a task, so no document goes without a
     pair of the similarity.
     Rows of equal doc_id stay or go together; null ids stay.
     """
     rows = cut(sketches(docs.select("doc_id", "text"), shingle))
     classes = cut(rows.groupBy("d").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), *(F.any_value(c).alias(c) for c in ("size", "bands", "k1", "k2"))).where("node is not null"))
-    indexed = classes.select(F.explode("bands").alias("key"), F.col("d").alias("node"), "k1", "k2")
-    loose = components(links(indexed, [(2, SKETCH_BITS)], partitions_for(classes.count() * BANDS)))
+    loose = candidates(rows, classes)
     members = cut(classes.select("d", "node", "size").join(loose.withColumnRenamed("node", "d"), "d").select("component", "d", "node", "size"))
     labelled = cut(classes.select("d", "node", "n").join(keepers(members, docs, shingle), "d", "left").select("d", F.coalesce("keeper", "node").alias("keeper"), "n"))
     gone = fresh("gone", docs)

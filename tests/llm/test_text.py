@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rankloom.llm import bpe, language, licenses, simhash, suffixes
 from rankloom.llm.components import components
@@ -183,6 +184,22 @@ def test_one_of_each_equals_brute_force(spark, monkeypatch, block):
     assert len(near) > 200 and kept == {i for i in sets if up[i] == i}
 
 
+def test_candidates_of_the_pipeline_hold_the_links_of_fingerprints(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [[word() for _ in range(400)] for _ in range(30)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)]
+    rows += [(100 + 10 * i + k, " ".join([*b[:at], word(), *b[at + 1 :]])) for i, b in enumerate(base) for k, at in enumerate((50, 200, 350))]
+    docs = frame(spark, rows)
+    want = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert len(set(want.values())) < len(rows) - 20
+    held = simhash.sketches(docs).persist()
+    bandless = held.groupBy("d").agg(F.min("doc_id").alias("node"), F.array().cast("array<long>").alias("bands"), F.first("k1").alias("k1"), F.first("k2").alias("k2"))
+    named = {r["node"]: r["component"] for r in simhash.candidates(held, bandless).collect()}
+    got = {r["doc_id"]: named.get(r["d"], r["d"]) for r in held.collect()}
+    assert all((got[a] == got[b]) == (want[a] == want[b]) for a in got for b in got)
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
