@@ -80,3 +80,19 @@ def test_dense_questions_in_blocks(spark, monkeypatch):
 def test_hashed_vector_has_unit_length(spark):
     row = frame(spark, [("some words here",), ("",)], "t string").select(R.hashed_vector(F.col("t"), 16).alias("v")).collect()
     assert sum(x * x for x in row[0]["v"]) == pytest.approx(1) and not any(row[1]["v"])
+
+
+def test_hashed_vector_against_plain_python_and_without_a_pass_for_each_dimension(spark):
+    import hashlib
+
+    texts = ["some words here", "", None, "the of", "a1 a1 B2 é-c3 " * 50, " ".join(f"w{i % 97}" for i in range(3000))]
+    got = frame(spark, [(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3).select("i", R.hashed_vector(F.col("t"), 16).alias("v"))
+    for r in got.collect():
+        sums = [0.0] * 16
+        for w in "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in (texts[r["i"]] or "").lower()).split():
+            if w not in T.SEARCH_STOPWORDS:
+                h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+                sums[h % 16] += 1 - 2 * (h // 16 % 2)
+        n = math.sqrt(sum(x * x for x in sums))
+        assert r["v"] == [x / n if n else 0.0 for x in sums]
+    assert "md5" not in got._jdf.queryExecution().toString()  # 2 passes over the tokens for each dimension were in the plan
