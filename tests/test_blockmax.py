@@ -58,3 +58,17 @@ def test_nothing_to_find(corpus):
     blocks = blockmax.blocks_of(weights, docs)
     assert blockmax.search(blocks, asked.limit(0)).count() == 0
     assert blockmax.search(blockmax.blocks_of(weights.limit(0), docs.limit(0)), asked).count() == 0
+
+
+def test_blocks_from_tokens_find_the_same_and_move_documents_only(spark, corpus):
+    _, weights, asked = corpus
+    docs = spark.createDataFrame([(i, f"c{i % 7} c{i % 5} c1 " + f"r{i % 50} " * (i % 9)) for i in range(900)] + [(900, None), (901, "")], "id long, text string")
+    tokenized = R.lengths(docs)
+    stats = R.corpus_stats(tokenized)
+    posted = R.postings(tokenized)
+    idfs = R.document_frequency(posted).join(F.broadcast(stats)).select("term", R.idf(F.col("n"), F.col("df")).alias("idf"))
+    for shard, window in ((4096, 32), (100, 4)):
+        made = blockmax.blocks_of_tokens(tokenized, shard, window)
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0  # postings were grouped twice
+        got = rows(blockmax.search(blockmax.with_weights(made, idfs, stats), asked, 10, 3))
+        assert got and got == rows(R.score_weights(R.weighted(posted, stats), asked, 10))
