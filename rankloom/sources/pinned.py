@@ -32,6 +32,9 @@ SCHEMA = "name string, text string, bytes long, sha256 string, ok boolean"
 #: Bytes of a manifest that a task reads: the lines of some 10,000 files.
 RANGE = 1 << 20
 PIECE = 1 << 16
+#: Bytes of texts that a task holds at once, and one text more; rows of as many files.
+HELD, ROWS = 1 << 22, 1000
+COLUMNS = pa.schema([("name", pa.string()), ("text", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string()), ("ok", pa.bool_())])
 
 
 def store(path: str) -> tuple[files.FileSystem, str]:
@@ -82,7 +85,19 @@ class PinnedReader(DataSourceReader):
         parts = [found] if found.is_file else [i for i in fs.get_file_info(files.FileSelector(path)) if i.is_file and not i.base_name.startswith(("_", "."))]
         return [Range(i.path, low, min(low + self.size, i.size)) for i in sorted(parts, key=lambda i: i.path) for low in range(0, i.size, self.size)] or [Range("", 0, 0)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        """The rows of a range, in batches of ``HELD`` bytes of text; Spark would hold 10,000 files."""
+        rows, held = [], 0
+        for row in self.rows(partition):
+            rows.append(row)
+            held += row[2] if row[4] else 0
+            if held >= HELD or len(rows) >= ROWS:
+                yield batch_of(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    def rows(self, partition: Range) -> Iterator[tuple]:
         if not partition.path:
             return
         listing, _ = store(self.manifest)
@@ -105,6 +120,10 @@ class PinnedReader(DataSourceReader):
             yield name, content.decode("utf-8", "replace") if ok else None, entry["bytes"], entry["sha256"], ok
 
 
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), COLUMNS, strict=True)], schema=COLUMNS)
+
+
 class PinnedCorpus(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -131,8 +150,8 @@ def write(rows: DataFrame, folder: str, manifest: str) -> None:
         fs.create_dir(at, recursive=True)
         for batch in batches:
             lines = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                content = (text or "").encode("utf-8", "replace")
+            for name, text in zip(batch.column(0), batch.column(1), strict=True):  # one text after another becomes Python's
+                name, content = name.as_py(), (text.as_py() or "").encode("utf-8", "replace")
                 with fs.open_output_stream(f"{at}/{name}") as f:
                     f.write(content)
                 lines.append(json.dumps({"name": name, "sha256": hashlib.sha256(content).hexdigest(), "bytes": len(content)}, ensure_ascii=False))

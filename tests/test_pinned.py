@@ -44,3 +44,16 @@ def test_names_are_told_apart_before_files_are_opened(spark, corpus):
         pinned.read(spark, str(at / "files"), str(at / "manifest")).count()
     with pytest.raises(Exception, match="manifest"):
         spark.read.format(pinned.NAME).option("path", "x").load().count()
+
+
+def test_a_task_holds_few_texts_at_once(corpus, tmp_path, monkeypatch):
+    at, want = corpus
+    reader = pinned.PinnedReader({"path": str(at / "files"), "manifest": str(at / "manifest")})
+    monkeypatch.setattr(pinned, "HELD", 300)
+    sizes, names = [], []
+    for part in reader.partitions():
+        for batch in reader.read(part):
+            names += batch.column(0).to_pylist()
+            sizes.append(sum(batch.column(2).to_pylist()))
+            assert sum(batch.column(2).to_pylist()[:-1]) < 300
+    assert sorted(names) == sorted(want) and len(sizes) > 10
