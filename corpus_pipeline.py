@@ -1,7 +1,8 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
-kept; all but the last return the columns of documents. ``run`` writes each
+kept; all but the last return the columns of documents. Stages that run Python
+bound the session's Arrow batches (``small_batches``). ``run`` writes each
 stage's result as Parquet in the folder that the cluster shares and reads it
 again for the next; what a stage left there goes when its result is written.
 The last stage's input stays until ``rankloom.llm.common.release`` is called.
@@ -14,21 +15,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm import bpe, language, mixing, simhash, suffixes
-from rankloom.llm.common import checkpoints, release, remove, remove_later, shared_dir, table
+from rankloom.llm.common import checkpoints, release, remove, remove_later, shared_dir, small_batches, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
+    small_batches(spark)
     return language.keep_known(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings that a smaller document has."""
+    small_batches(spark)
     return suffixes.without_repeats(docs)
 
 
@@ -39,6 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and the decoded text."""
+    small_batches(spark)
     return bpe.encode_documents(docs)
 
 

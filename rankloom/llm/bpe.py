@@ -34,6 +34,7 @@ import json
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -41,9 +42,9 @@ from pyspark.sql import DataFrame
 
 #: How the byte-level pre-tokenizer splits text (fixed values of the format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words whose encoding is kept; the table starts anew beyond that.
-MOST_WORDS = 600_000
-MOST_ARCS = 2_000_000
+#: Words of a full table (the one before it is kept too), and arcs, whose table starts anew beyond that. A task's end empties them, as the worker stays.
+MOST_WORDS = 150_000
+MOST_ARCS = 250_000
 
 
 def default_tokenizer() -> str:
@@ -191,26 +192,49 @@ class Automaton:
             out.append(self.specials[piece].to_bytes(4, "little") if i % 2 else b"".join(map(get, self.split(piece))))
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Empty the tables that grow with the texts."""
+        self.words.forget()
+        self.arcs.clear()
+
     def decode(self, ids: bytes) -> str:
         labels = memoryview(ids).cast("I")
         return b"".join(map(self.labels.__getitem__, labels)).decode("utf-8", "replace")
 
 
 class _Words(dict):
-    """word: its ids, made when first asked for."""
+    """word: its ids, made when first asked for; words of the full table before come over when they are met again, so frequent ones stay."""
 
     def __init__(self, automaton: Automaton) -> None:
         super().__init__()
         self.automaton = automaton
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        ids = array("I", self.automaton.encode_word(word.encode("utf-8"))).tobytes()
+        ids = self.before.get(word)
+        if ids is None:
+            ids = array("I", self.automaton.encode_word(word.encode("utf-8"))).tobytes()
         if len(word) <= 64:
+            if len(self) >= MOST_WORDS:
+                self.before = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.before = {}
+        self.clear()
+
+
+@contextmanager
+def loaded(path: str) -> Iterator[Automaton]:
+    """The worker's automaton, for a task: what it learned of the task's texts doesn't stay in the worker, which goes on to other stages."""
+    bpe = load(path)
+    try:
+        yield bpe
+    finally:
+        bpe.forget()
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Automaton:
@@ -226,13 +250,13 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        for batch in batches:
-            for rows in _pieces(batch):
-                ids = [bpe.encode(t or "") for t in rows.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([bpe.decode(x) for x in ids], pa.string())],
-                    names=["doc_id", "ids", "n_tokens", "decoded"])
+        with loaded(path) as bpe:
+            for batch in batches:
+                for rows in _pieces(batch):
+                    ids = [bpe.encode(t or "") for t in rows.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([bpe.decode(x) for x in ids], pa.string())],
+                        names=["doc_id", "ids", "n_tokens", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary, n_tokens long, decoded string")
 
@@ -242,15 +266,15 @@ def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        for batch in batches:
-            n, of_ids, of_text = [], [], []
-            for text in batch.column(1):
-                ids = bpe.encode(text.as_py() or "")
-                n.append(len(ids) // 4)
-                of_ids.append(hashlib.sha256(ids).hexdigest())
-                of_text.append(hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with loaded(path) as bpe:
+            for batch in batches:
+                n, of_ids, of_text = [], [], []
+                for text in batch.column(1):
+                    ids = bpe.encode(text.as_py() or "")
+                    n.append(len(ids) // 4)
+                    of_ids.append(hashlib.sha256(ids).hexdigest())
+                    of_text.append(hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

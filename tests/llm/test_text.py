@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -341,3 +342,46 @@ def test_every_license_is_told(spark):
     assert rows[1][1][got[2]["licenses"][1]["span_start"] : got[2]["licenses"][1]["span_end"]] == worn
     assert all(tuple(r["licenses"][0]) == tuple(r)[1:6] for i, r in got.items() if i < 3)
     assert got[3]["licenses"] == got[4]["licenses"] == []
+
+
+def test_bpe_tables_stay_small_and_leave_with_the_task(monkeypatch):
+    """They stayed in the worker after the stage: up to 600,000 words and 2,000,000 arcs."""
+    tokenizers = pytest.importorskip("tokenizers")
+    pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(bpe, "MOST_WORDS", 50)
+    path = bpe.default_tokenizer()
+    texts = [" the" + "".join(f" w{i}x{k}" for i in range(60)) for k in range(4)]
+    with bpe.loaded(path) as automaton:
+        got = [automaton.encode(t) for t in texts]
+        assert len(automaton.words) <= 50
+        assert len(automaton.words.before) <= 50
+        assert " w" in automaton.words  # a frequent word comes over from the full table
+    assert not automaton.words
+    assert not automaton.words.before
+    assert not automaton.arcs
+    fresh = tokenizers.Tokenizer.from_file(path)
+    for text, ids in zip(texts, got, strict=True):
+        assert list(memoryview(ids).cast("I")) == fresh.encode(text, add_special_tokens=False).ids
+
+
+def test_pipeline_batches_are_bounded_by_bytes(spark):
+    """Stages got 10,000 texts at once, up to 64 MB."""
+    import corpus_pipeline
+    from rankloom.llm import common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    before = spark.conf.get(common.BATCH_BYTES)
+    docs = spark.range(0, 40, 1, 1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 50000) as text", "cast(null as string) as lang", "'s' as source", "0L as n_chars")
+    try:
+        corpus_pipeline.tokens(spark, docs, "")
+        found = [r["n"] for r in docs.select("doc_id", "text").mapInArrow(sizes, "n long").collect()]
+        assert len(found) > 2
+        assert max(found) <= 2 * common.BATCH
+        spark.conf.set(common.BATCH_BYTES, "1m")
+        common.small_batches(spark)
+        assert spark.conf.get(common.BATCH_BYTES) == "1m"
+    finally:
+        spark.conf.set(common.BATCH_BYTES, before)
